@@ -9,6 +9,10 @@ from wardspark import schemas
 from wardspark.config import SCORE_KEYS
 from wardspark.functions import hashing
 
+# Quotes doubled, white space at the ends of values kept.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+
 LOG_SOURCES = ("api", "cli", "dashboard")
 
 
@@ -21,8 +25,7 @@ def results_table(results: DataFrame, row_id: str = "id") -> DataFrame:
 
 
 def write_results_csv(results: DataFrame, path: str, row_id: str = "id") -> None:
-    results_table(results, row_id).write.csv(path, header=True, quote='"', escape='"',
-                                             mode="errorifexists")
+    results_table(results, row_id).write.csv(path, mode="errorifexists", **CSV_OPTIONS)
 
 
 def result_json(results: DataFrame) -> DataFrame:
