@@ -8,6 +8,8 @@ is therefore spelt out as explicit classes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,6 +102,22 @@ def fold_case(text: Column) -> Column:
     return F.replace(F.replace(low, F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
 
 
+def fold_length(text: Column) -> Column:
+    """Case-folded text with the same number of characters: the one letter whose lower
+    case is two characters long becomes a plain i."""
+    return fold_case(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
+# Syntax whose meaning changes when a pattern is lower-cased.
+_CASE_BOUND = re.compile(r"\\[A-Z]|\(\?(?!:)|[A-Z]-[a-z]")
+
+
+def folds(pattern: str) -> bool:
+    """Whether ignoring case in ``pattern`` is the same as matching its lower case on
+    case-folded text, which is several times faster."""
+    return pattern.isascii() and not _CASE_BOUND.search(pattern)
+
+
 def contains_any(text: Column, words) -> Column:
     out = F.lit(False)
     for w in words:

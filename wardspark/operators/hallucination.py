@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions import patterns as P
 from wardspark.functions import text as T
+from wardspark.session import compute_once
 
 SIGNALS = ["uncertainty", "overconfidence", "fabrication", "contradiction", "words"]
 
@@ -67,8 +68,9 @@ def detected_items(info: Column) -> Column:
 
 
 def hallucination_signals(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumns({f"{k}_hits" if k != "words" else "word_count": c
-                           for k, c in signals(F.col(text)).items()})
+    found = {f"{k}_hits" if k != "words" else "word_count": c
+             for k, c in signals(F.col(text)).items()}
+    return compute_once(df.withColumns(found), df.columns, list(found))
 
 
 def hallucination_score(df: DataFrame, text: str, threshold: float = 0.6) -> DataFrame:

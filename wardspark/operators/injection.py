@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions import patterns as P
 from wardspark.functions import text as T
+from wardspark.session import compute_once
 
 CATEGORIES = list(P.INJECTION_PATTERNS)
 
@@ -30,15 +31,22 @@ def _guarded(category: str):
     return zip(P.INJECTION_PATTERNS[category][1], ANCHORS[category])
 
 
-def categories(text: Column) -> dict[str, Column]:
-    """Per category, whether any of its patterns occurs."""
-    folded = T.fold_case(text)
+def _occurs(folded: Column, pattern: str, words: list[str]) -> Column:
+    return T.contains_any(folded, words) & F.rlike(folded, F.lit(T.spark_regex(pattern.lower())))
+
+
+def prepared(text: Column) -> dict[str, Column]:
+    """Forms of a text that the matchers share; to be columns of an earlier projection."""
+    return {"low": F.lower(text), "folded": T.fold_case(text)}
+
+
+def categories(folded: Column) -> dict[str, Column]:
+    """Per category, whether any of its patterns occurs in the case-folded text."""
     out = {}
     for category in CATEGORIES:
         hit = F.lit(False)
         for pattern, words in _guarded(category):
-            regex = F.lit(T.spark_regex(pattern.lower()))
-            hit = hit | (T.contains_any(folded, words) & F.rlike(folded, regex))
+            hit = hit | _occurs(folded, pattern, words)
         out[category] = F.coalesce(hit, F.lit(False))
     return out
 
@@ -49,26 +57,26 @@ def score_of(hits: dict[str, Column]) -> Column:
 
 
 def score(text: Column) -> Column:
-    return score_of(categories(text))
+    return score_of(categories(T.fold_case(text)))
 
 
-def matches(text: Column) -> dict[str, Column]:
-    """Per category, the matched texts pattern by pattern, cut at 50 characters."""
-    low, folded = F.lower(text), T.fold_case(text)
+def matches(low: Column, folded: Column) -> dict[str, Column]:
+    """Per category, the matched texts pattern by pattern."""
     nothing = F.array().cast("array<string>")
     out = {}
     for category in CATEGORIES:
-        parts = [F.when(T.contains_any(folded, words),
+        parts = [F.when(_occurs(folded, pattern, words),
                         F.regexp_extract_all(low, F.lit(T.spark_regex(pattern, True)), F.lit(0)))
                  .otherwise(nothing) for pattern, words in _guarded(category)]
-        out[category] = F.transform(F.concat(*parts), lambda m: F.substring(m, 1, 50))
+        out[category] = F.coalesce(F.concat(*parts), nothing)
     return out
 
 
 def detail_of(found: dict[str, Column]) -> Column:
+    """Detail struct from the matches of each category, shown cut at 50 characters."""
     names = F.array(*[F.lit(c) for c in found])
-    by_category = F.map_filter(F.map_from_arrays(names, F.array(*found.values())),
-                               lambda _, v: F.size(v) > 0)
+    shown = F.array(*[F.transform(m, lambda v: F.substring(v, 1, 50)) for m in found.values()])
+    by_category = F.map_filter(F.map_from_arrays(names, shown), lambda _, v: F.size(v) > 0)
     value = score_of({c: F.size(m) > 0 for c, m in found.items()})
     count = F.lit(0)
     for m in found.values():
@@ -83,7 +91,7 @@ def detail_of(found: dict[str, Column]) -> Column:
 
 
 def detail(text: Column) -> Column:
-    return detail_of(matches(text))
+    return detail_of(matches(F.lower(text), T.fold_case(text)))
 
 
 def detected_items(info: Column) -> Column:
@@ -94,7 +102,8 @@ def detected_items(info: Column) -> Column:
 
 
 def injection_categories(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumns(categories(F.col(text)))
+    folded = df.withColumn("_folded", T.fold_case(F.col(text)))
+    return compute_once(folded.withColumns(categories(F.col("_folded"))), df.columns, CATEGORIES)
 
 
 def injection_score(df: DataFrame, text: str, threshold: float = 0.5) -> DataFrame:
@@ -104,8 +113,9 @@ def injection_score(df: DataFrame, text: str, threshold: float = 0.5) -> DataFra
 
 
 def injection_detail(df: DataFrame, text: str) -> DataFrame:
-    found = matches(F.col(text))
-    out = df.withColumns({f"_{c}": m for c, m in found.items()})
-    out = out.withColumn("prompt_injection", detail_of({c: F.col(f"_{c}") for c in found}))
-    return (out.drop(*[f"_{c}" for c in found])
-            .withColumn("detected_items", detected_items(F.col("prompt_injection"))))
+    forms = df.withColumns({f"_{k}": c for k, c in prepared(F.col(text)).items()})
+    found = {f"_{c}": m for c, m in matches(F.col("_low"), F.col("_folded")).items()}
+    out = compute_once(forms.withColumns(found), df.columns, list(found))
+    info = detail_of({c[1:]: F.col(c) for c in found})
+    out = out.withColumn("prompt_injection", info).drop(*found)
+    return out.withColumn("detected_items", detected_items(F.col("prompt_injection")))

@@ -196,8 +196,7 @@ def score_quartiles(log: DataFrame) -> DataFrame:
     """Five-number summary per metric whose scores sum to more than 0."""
     long = log.select(F.explode("scores").alias("metric", "value"))
     points = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
-    positive = long.groupBy("metric").agg(F.sum("value").alias("_sum")).filter("_sum > 0")
-    return quantiles(long, "metric", "value", points).join(positive.drop("_sum"), "metric")
+    return quantiles(long, "metric", "value", points).filter("total > 0").drop("total")
 
 
 def flag_value_counts(log: DataFrame) -> DataFrame:

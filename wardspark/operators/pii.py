@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from wardspark.functions import patterns as P
 from wardspark.functions import text as T
 from wardspark.functions.masking import mask_pii
+from wardspark.session import compute_once
 
 CATEGORIES = list(P.PII_PATTERNS)
 
+# Characters a match can begin with; e-mails may begin with nearly any.
+STARTS = {
+    "phone_us": r"[+(\d]", "phone_intl": r"[+1-9]", "ssn": r"\d", "credit_card": r"[1-6]",
+    "ip_address": r"[0-9]", "date_of_birth": r"[0-2]", "address": r"\d", "zip_code": r"\d",
+    "passport": r"[A-Z]", "drivers_license": r"[A-Z]",
+}
+
 
 def enabled(categories=None) -> list[str]:
     """The requested known categories, or all; unknown names are ignored."""
@@ -25,7 +33,12 @@ def _possible(text: Column, category: str) -> Column:
 
 
 def _regex(category: str) -> Column:
+    """The category's pattern, tried only where its first character may stand: word edges
+    are costly to test at every position."""
     pattern, ignore_case = P.PII_PATTERNS[category]
+    start = STARTS.get(category)
+    if start:
+        pattern = f"(?={start})(?:{pattern})"
     return F.lit(T.spark_regex(pattern, ignore_case))
 
 
@@ -84,9 +97,9 @@ def detected_items(info: Column) -> Column:
 
 
 def pii_counts(df: DataFrame, text: str, categories=None) -> DataFrame:
-    found = counts(F.col(text), categories)
-    out = df.withColumns({f"{c}_count": n for c, n in found.items()})
-    return out.withColumn("total_matches", total_of({c: F.col(f"{c}_count") for c in found}))
+    found = {f"{c}_count": n for c, n in counts(F.col(text), categories).items()}
+    out = compute_once(df.withColumns(found), df.columns, list(found))
+    return out.withColumn("total_matches", total_of({c: F.col(c) for c in found}))
 
 
 def pii_score(df: DataFrame, text: str, threshold: float = 0.1, categories=None) -> DataFrame:
@@ -95,11 +108,10 @@ def pii_score(df: DataFrame, text: str, threshold: float = 0.1, categories=None)
 
 
 def pii_detail(df: DataFrame, text: str, categories=None) -> DataFrame:
-    found = matches(F.col(text), categories)
-    out = df.withColumns({f"_{c}": m for c, m in found.items()})
-    out = out.withColumn("pii", detail_of({c: F.col(f"_{c}") for c in found}))
-    return (out.drop(*[f"_{c}" for c in found])
-            .withColumn("detected_items", detected_items(F.col("pii"))))
+    found = {f"_{c}": m for c, m in matches(F.col(text), categories).items()}
+    out = compute_once(df.withColumns(found), df.columns, list(found))
+    out = out.withColumn("pii", detail_of({c[1:]: F.col(c) for c in found})).drop(*found)
+    return out.withColumn("detected_items", detected_items(F.col("pii")))
 
 
 def pii_report(df: DataFrame, text: str, categories=None) -> DataFrame:

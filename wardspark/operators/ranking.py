@@ -43,29 +43,31 @@ def running_total(df: DataFrame, by: list[str], order: list[Column], out: str,
                          (F.col("_before") + F.col("_inside")).alias(out))
 
 
-def quantiles(df: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` per ``by``, one column per point.
+def quantiles(df: DataFrame, by: str, value: str, points: dict[str, float],
+              total: str = "total") -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per ``by``, one column per point, and the
+    sum of the values.
 
     Equal values are counted before anything else, so a value shared by a third of the rows
-    is one row. Ranks come from ``running_total`` over the distinct values, and only the
-    values around a wanted rank reach the last aggregation.
+    is one row. Ranks come from ``running_total`` over the distinct values, and all that
+    follows reads its written result, not ``df`` again.
     """
     counted = (df.filter(F.col(value).isNotNull()).groupBy(by, value)
                .agg(F.count("*").alias("_n")))
     ranked = running_total(counted, [by], [F.col(value)], "_upto", F.col("_n"))
-    size = df.filter(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("_size"))
-    ranked = ranked.join(size, by)
-    low = F.col("_upto") - F.col("_n")  # ranks low .. _upto-1 hold this value
-    picks = []
-    for name, q in points.items():
-        at = (F.col("_size") - 1) * F.lit(float(q))
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(F.max(F.when((rank >= low) & (rank < F.col("_upto")), F.col(value)))
-                         .alias(f"_{name}_{side}"))
-    found = ranked.groupBy(by).agg(F.max("_size").alias("_size"), *picks)
-    shown = []
-    for name, q in points.items():
-        at = (F.col("_size") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        shown.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return found.select(by, *shown)
+    sizes = ranked.groupBy(by).agg(F.max("_upto").alias("_size"),
+                                   F.sum(F.col(value) * F.col("_n")).alias(total))
+    placed = ranked.join(sizes, by)
+    before = F.col("_upto") - F.col("_n")  # ranks before .. _upto - 1 hold this value
+    at = {name: (F.col("_size") - 1) * F.lit(float(q)) for name, q in points.items()}
+    picks = [F.max(F.when((rank(at[name]) >= before) & (rank(at[name]) < F.col("_upto")),
+                          F.col(value))).alias(f"_{name}_{side}")
+             for name in points for side, rank in (("low", F.floor), ("high", F.ceil))]
+    found = placed.groupBy(by).agg(F.first("_size").alias("_size"), F.first(total).alias(total),
+                                   *picks)
+
+    def between(name: str) -> Column:
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        return low + (high - low) * (at[name] - F.floor(at[name]))
+
+    return found.select(by, total, *[between(name).alias(name) for name in points])

@@ -2,7 +2,6 @@
 
 A rule set is a small, curated list, so it is part of the plan: every rule becomes one
 literal expression, compiled once per task, and no rule table is joined with the texts.
-Long rule sets are cut into slices, one array column each, to keep projections small.
 """
 
 from __future__ import annotations
@@ -15,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
+from wardspark.session import compute_once
 
-SLICE = 200          # rules per array column
+# Up to so many rules the matchers are part of the generated code; more of them would
+# outgrow a Java method, and are evaluated as an expression tree instead.
+CODEGEN_RULES = 64
 MAX_RULES = 100_000  # a rule table longer than this is refused, not cut
 
 
@@ -63,8 +65,7 @@ def _compiles(spark, rule: Rule) -> bool:
     """Whether a regex rule is valid; an invalid one is reported and never fires."""
     try:
         re.compile(rule.pattern)
-        regex = T.spark_regex(rule.pattern, True)
-        spark.range(1).select(F.rlike(F.lit(""), F.lit(regex))).head()
+        spark._jvm.java.util.regex.Pattern.compile(T.spark_regex(rule.pattern, True))
         return True
     except Exception as problem:  # noqa: BLE001 - whichever engine refuses it
         warnings.warn(f"rule {rule.rule_id}: pattern dropped: {str(problem).splitlines()[0]}")
@@ -91,13 +92,21 @@ def for_target(rules: list[Rule], target: str) -> list[Rule]:
     return [r for r in rules if r.apply_to in (target, "both")]
 
 
-def _fires(text: Column, low: Column, rule: Rule) -> Column:
-    if rule.rule_type == "regex":
-        return F.rlike(text, F.lit(T.spark_regex(rule.pattern, True)))
-    return T.contains_any(low, rule.keywords)
+def prepared(text: Column) -> dict[str, Column]:
+    """Forms of a text that the matchers share; to be columns of an earlier projection."""
+    return {"low": F.lower(text), "folded": T.fold_length(text)}
 
 
-def hit_positions(text: Column, rules: list[Rule], on_empty: bool = False) -> Column:
+def _fires(text: Column, forms: dict[str, Column], rule: Rule) -> Column:
+    if rule.rule_type == "keyword":
+        return T.contains_any(forms["low"], rule.keywords)
+    if T.folds(rule.pattern):
+        return F.rlike(forms["folded"], F.lit(T.spark_regex(rule.pattern.lower())))
+    return F.rlike(text, F.lit(T.spark_regex(rule.pattern, True)))
+
+
+def hit_positions(text: Column, forms: dict[str, Column], rules: list[Rule],
+                  on_empty: bool = False) -> Column:
     """Ascending 1-based positions in ``rules`` of those that fire on ``text``.
 
     No rule fires on empty text, unless ``on_empty``.
@@ -105,17 +114,24 @@ def hit_positions(text: Column, rules: list[Rule], on_empty: bool = False) -> Co
     nothing = F.array().cast("array<int>")
     if not rules:
         return nothing
-    low = F.lower(text)
-    slices = []
-    for start in range(0, len(rules), SLICE):
-        marks = [F.when(_fires(text, low, r), start + i + 1).otherwise(0)
-                 for i, r in enumerate(rules[start:start + SLICE])]
-        slices.append(F.array_remove(F.array(*marks), 0))
-    found = F.concat(*slices) if len(slices) > 1 else slices[0]
+    marks = F.array(*[F.when(_fires(text, forms, r), i + 1).otherwise(0)
+                      for i, r in enumerate(rules)])
+    if len(rules) <= CODEGEN_RULES:
+        found = F.array_remove(marks, 0)
+    else:
+        found = F.filter(marks, lambda p: p > 0)
     silent = text.isNull() if on_empty else T.is_empty(text)
     return F.when(silent, nothing).otherwise(found)
 
 
+def add_hits(df: DataFrame, text: str, rules: list[Rule], out: str,
+             on_empty: bool = False) -> DataFrame:
+    """``df`` with the positions of the rules that fire on column ``text``."""
+    forms = {f"_{k}": c for k, c in prepared(F.col(text)).items()}
+    hits = hit_positions(F.col(text), {k[1:]: F.col(k) for k in forms}, rules, on_empty)
+    return compute_once(df.withColumns(forms).withColumn(out, hits), df.columns, [out])
+
+
 def _lookup(rules: list[Rule], field: str) -> Column:
     return F.array(*[F.lit(getattr(r, field)) for r in rules])
 
@@ -167,7 +183,7 @@ def detail(text: Column, positions: Column, rules: list[Rule]) -> Column:
 
 def _with_positions(df: DataFrame, text: str, rules, target: str):
     active = for_target(usable(df.sparkSession, rules), target)
-    return df.withColumn("_hits", hit_positions(F.col(text), active)), active
+    return add_hits(df, text, active, "_hits"), active
 
 
 def rule_hits(df: DataFrame, text: str, rules, target: str = "both") -> DataFrame:
@@ -197,12 +213,12 @@ def rule_match_stats(df: DataFrame, text: str, timestamp: str, rules,
                      target: str = "both") -> DataFrame:
     """Number of matches and last match time of every rule, unmatched ones included.
 
-    The texts are reduced to one row of counters per task before anything is shuffled.
+    Matches are counted per task before anything is shuffled.
     """
     active = for_target(usable(df.sparkSession, rules), target)
     listed = rules_from_rows(rules)
-    hit = df.select(hit_positions(F.col(text), active).alias("_hits"),
-                    F.col(timestamp).alias("_ts"))
+    dated = df.select(F.col(text).alias("_text"), F.col(timestamp).alias("_ts"))
+    hit = add_hits(dated, "_text", active, "_hits")
     found = (hit.select(F.explode("_hits").alias("_hit"), "_ts")
              .groupBy("_hit").agg(F.count("*").alias("match_count"),
                                   F.max("_ts").alias("last_matched_at")))

@@ -15,6 +15,7 @@ from wardspark.config import SCORE_KEYS, EvalConfig
 from wardspark.functions import hashing
 from wardspark.functions import text as T
 from wardspark.operators import alignment, hallucination, injection, pii, rules, toxicity
+from wardspark.session import compute_once, spread_small
 
 # --- fixed values: flag texts, each followed by ": " and the score with two decimals ---
 
@@ -69,6 +70,22 @@ class _Plan:
 
     # -- per evaluator: columns with matches, then the score made of them --
 
+    def prepared(self, name: str) -> dict[str, Column]:
+        """Columns that the matches share."""
+        if name == "prompt_injection":
+            return {f"{k}_prompt": c for k, c in injection.prepared(self.prompt).items()}
+        if name != "custom_rules":
+            return {}
+        return {f"rules_{side}_{k}": c
+                for side, text in (("prompt", self.prompt), ("response", self.response))
+                for k, c in rules.prepared(text).items()}
+
+    def rule_hits(self, side: str) -> Column:
+        text, active = ((self.prompt, self.prompt_rules) if side == "prompt"
+                        else (self.response, self.response_rules))
+        forms = {k: F.col(f"_rules_{side}_{k}") for k in ("low", "folded")}
+        return rules.hit_positions(text, forms, active)
+
     def matches(self, name: str) -> dict[str, Column]:
         c, n = self.config, self.names
         if name == "toxicity":
@@ -86,10 +103,11 @@ class _Plan:
                 found = pii.counts(self.response, c.pii_categories)
             return out | {f"pii_response_{k}": v for k, v in found.items()}
         if name == "prompt_injection":
-            found = (injection.matches if c.details else injection.categories)(self.prompt)
+            low, folded = F.col("_low_prompt"), F.col("_folded_prompt")
+            found = (injection.matches(low, folded) if c.details
+                     else injection.categories(folded))
             return {f"injection_{k}": v for k, v in found.items()}
-        return {"rules_prompt": rules.hit_positions(self.prompt, self.prompt_rules),
-                "rules_response": rules.hit_positions(self.response, self.response_rules)}
+        return {f"rules_{side}": self.rule_hits(side) for side in ("prompt", "response")}
 
     def sided_scores(self, name: str) -> dict[str, Column]:
         """Scores of evaluators that look at both sides."""
@@ -154,12 +172,10 @@ class _Plan:
         running = F.lit(True)
         for name in self.config.enabled:
             guard = (lambda c: F.when(running, c)) if self.config.fail_fast else (lambda c: c)
-            found = {f"_{k}": guard(c) for k, c in self.matches(name).items()}
-            if found:
-                out = out.withColumns(found)
-            sides = {f"_{k}": guard(c) for k, c in self.sided_scores(name).items()}
-            if sides:
-                out = out.withColumns(sides)
+            for stage in (self.prepared, self.matches, self.sided_scores):
+                found = {f"_{k}": guard(c) for k, c in stage(name).items()}
+                if found:
+                    out = out.withColumns(found)
             value = guard(F.when(errors[name].isNull(), self.score(name)))
             out = out.withColumn(f"_{name}", value)
             flagged = exceeds(name, F.col(f"_{name}"), F.lit(self.config.threshold(name)))
@@ -170,6 +186,15 @@ class _Plan:
                 running = F.col(f"_on_{name}")
         return out
 
+    def is_kept(self, column: str) -> bool:
+        """Whether flags, scores or details still need a column of ``scored``."""
+        if column.startswith(("_has_", "_on_", "_pii_in_")):
+            return True
+        if column.removeprefix("_") in SCORE_KEYS:
+            return True
+        return self.config.details and (column == "_rules_response" or column.startswith(
+            ("_toxicity_input", "_pii_response_", "_injection_")))
+
     def flags(self) -> Column:
         found = []
         for name in self.config.enabled:
@@ -238,10 +263,16 @@ def evaluate(df: DataFrame, config: EvalConfig = EvalConfig(), rule_list=(),
 
     Adds ``scores MAP``, ``flags ARRAY``, ``passed``, ``metadata STRUCT``, ``pair_key``,
     ``evaluation_id`` and, if the configuration asks for it, ``detailed_results STRUCT``.
-    The operator is a projection: it moves no rows, in batch and in streams alike.
+    The operator is a projection: it moves no rows, in batch and in streams alike, unless
+    the whole table is small.
     """
+    df = spread_small(df)
     plan = _Plan(df, config, rule_list, names)
-    out = plan.scored().withColumn("flags", plan.flags())
+    out = plan.scored()
+    private = [c for c in out.columns if c not in df.columns and plan.is_kept(c)]
+    if private:
+        out = compute_once(out, df.columns, private)
+    out = out.withColumn("flags", plan.flags())
     added = {"scores": plan.scores(), "passed": F.size("flags") == 0,
              "metadata": plan.metadata(),
              "pair_key": hashing.pair_key(plan.prompt, plan.response)}
@@ -280,11 +311,13 @@ def apply_api_rules(df: DataFrame, rule_list, names: PairColumns = PairColumns()
     never fire here, and rules do look at empty texts.
     """
     active = [r for r in rules.usable(df.sparkSession, rule_list) if r.pattern]
-    sides = []
+    out, sides = df, []
     for column, target in ((names.prompt, "prompt"), (names.response, "response")):
         mine = rules.for_target(active, target)
-        sides.append(rules.violations(rules.hit_positions(F.col(column), mine, True), mine))
-    out = df.withColumn("rule_violations", F.concat(*sides))
+        out = rules.add_hits(out, column, mine, f"_{target}_hits", on_empty=True)
+        sides.append(rules.violations(F.col(f"_{target}_hits"), mine))
+    out = out.withColumn("rule_violations", F.concat(*sides)).select(
+        *df.columns, "rule_violations")
     shown = F.transform(F.filter("rule_violations", lambda v: v["action"] == "flag"),
                         lambda v: F.concat(F.lit("Custom rule violation: "), v["name"]))
     return out.withColumns({

@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_BYTES = 512 << 20
 
 # Changeable at run time; they only affect how plans run, and UTC timestamps.
 SETTINGS = {
@@ -34,6 +37,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # plans have many expressions; recording the call site of each doubles their cost
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -61,6 +66,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt out to all cores.
+
+    Scoring is bound by CPU, and a small file may be read by a single task. Above
+    ``SMALL_BYTES`` (estimated by the optimizer) the scan has tasks enough, and rows stay
+    where they are.
+    """
+    if df.isStreaming:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def compute_once(df: DataFrame, keep: list[str], computed: list[str]) -> DataFrame:
+    """``keep`` and ``computed``, the latter behind a generator of one row.
+
+    Without it a filter on a derived column is pushed down with the whole expression in it,
+    and every match runs a second time.
+    """
+    one = F.array(F.struct(*[F.col(c) for c in computed]))
+    return df.select(*[F.col(c) for c in keep], F.inline(one))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that every reader sees the same rows in
     the same partitions even after executors are lost."""
