@@ -85,8 +85,8 @@ def quoted(text: str) -> str:
 
 
 def planted(text: Column, key: Column, phrases: list[str]) -> Column:
-    phrase = F.element_at(F.array(*[F.lit(p) for p in phrases]),
-                          (key % len(phrases) + 1).cast("int"))
+    listed = F.split(F.lit("\u0001".join(phrases)), "\u0001")  # folded into one constant
+    phrase = F.element_at(listed, (key % len(phrases) + 1).cast("int"))
     return (F.when(key % 61 == 5, F.lit("   ")).when(key % 61 == 6, F.lit(""))
             .otherwise(F.concat(text, F.lit(" "), phrase)))
 

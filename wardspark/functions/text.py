@@ -21,6 +21,23 @@ _EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _NO_EDGE = rf"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
 
 
+# A word character that must come right after, or came right before, a word edge.
+_WORD_AFTER = re.compile(r"(\\[dw]|[A-Za-z0-9_])(?![?*{]|$)|([A-Za-z0-9_])$")
+_WORD_BEFORE = re.compile(r"(?:\\[dw]|(?<!\\)[A-Za-z0-9_])$")
+
+
+def _edge(pattern: str, at: int) -> str:
+    """The word edge at position ``at``, as the cheapest test its neighbours allow."""
+    after = _WORD_AFTER.match(pattern, at + 2)
+    if after:
+        first = after.group(1) or after.group(2)
+        first = f"[{_SHORTHAND[first[1]]}]" if first[0] == "\\" else first
+        return f"(?={first})(?<![{WORD}])"
+    if _WORD_BEFORE.search(pattern[:at]):
+        return f"(?![{WORD}])"
+    return _EDGE
+
+
 def spark_regex(pattern: str, ignore_case: bool = False) -> str:
     """The ``java.util.regex`` pattern that finds what Python's ``pattern`` finds."""
     out = ["(?iud)" if ignore_case else "(?d)"]
@@ -36,7 +53,7 @@ def spark_regex(pattern: str, ignore_case: bool = False) -> str:
             elif k.lower() in _SHORTHAND:
                 out.append(f"[^{_SHORTHAND[k.lower()]}]")
             elif k in "bB" and not in_class:
-                out.append(_EDGE if k == "b" else _NO_EDGE)
+                out.append(_edge(pattern, i) if k == "b" else _NO_EDGE)
             elif k == "Z":
                 out.append(r"\z")
             else:
@@ -72,7 +89,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and all-white-space text."""
-    return ~F.coalesce(F.rlike(text, F.lit(f"[^{SPACE}]")), F.lit(False))
+    return ~F.coalesce(text.rlike(f"[^{SPACE}]"), F.lit(False))
 
 
 def is_empty(text: Column) -> Column:
@@ -119,10 +136,10 @@ def folds(pattern: str) -> bool:
 
 
 def contains_any(text: Column, words) -> Column:
-    out = F.lit(False)
+    out = None
     for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+        out = text.contains(w) if out is None else out | text.contains(w)
+    return F.lit(False) if out is None else out
 
 
 def two_decimals(number: Column) -> Column:
@@ -145,7 +162,7 @@ def keep_present(*columns: Column) -> Column:
 
 def total(columns: list[Column]) -> Column:
     """Number of true conditions among ``columns``."""
-    out = F.lit(0)
+    out = None
     for c in columns:
-        out = out + c.cast("int")
-    return out
+        out = c.cast("int") if out is None else out + c.cast("int")
+    return F.lit(0) if out is None else out

@@ -20,12 +20,12 @@ def signals(text: Column) -> dict[str, Column]:
     low = F.lower(text)
     lexicons = {"uncertainty": P.UNCERTAINTY, "overconfidence": P.OVERCONFIDENCE,
                 "fabrication": P.FABRICATION}
-    out = {name: T.total([F.contains(low, F.lit(k)) for k in keys])
+    out = {name: T.total([low.contains(k) for k in keys])
            for name, keys in lexicons.items()}
     contradictions = []
     for pattern, needs in zip(P.CONTRADICTIONS, _CONTRADICTION_NEEDS):
-        first, second = (F.contains(low, F.lit(w)) for w in needs)
-        contradictions.append(first & second & F.rlike(low, F.lit(T.spark_regex(pattern))))
+        first, second = (low.contains(w) for w in needs)
+        contradictions.append(first & second & low.rlike(T.spark_regex(pattern)))
     out["contradiction"] = T.total(contradictions)
     out = {name: F.coalesce(c, F.lit(0)) for name, c in out.items()}
     out["words"] = T.word_count(text)
@@ -50,7 +50,7 @@ def score(text: Column) -> Column:
 
 
 def _phrases(low: Column, lexicon: list[str]) -> Column:
-    return T.keep_present(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in lexicon])
+    return T.keep_present(*[F.when(low.contains(k), k) for k in lexicon])
 
 
 def detail(text: Column) -> Column:

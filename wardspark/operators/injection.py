@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ def _guarded(category: str):
 
 
 def _occurs(folded: Column, pattern: str, words: list[str]) -> Column:
-    return T.contains_any(folded, words) & F.rlike(folded, F.lit(T.spark_regex(pattern.lower())))
+    return T.contains_any(folded, words) & folded.rlike(T.spark_regex(pattern.lower()))
 
 
 def prepared(text: Column) -> dict[str, Column]:
@@ -44,10 +47,8 @@ def categories(folded: Column) -> dict[str, Column]:
     """Per category, whether any of its patterns occurs in the case-folded text."""
     out = {}
     for category in CATEGORIES:
-        hit = F.lit(False)
-        for pattern, words in _guarded(category):
-            hit = hit | _occurs(folded, pattern, words)
-        out[category] = F.coalesce(hit, F.lit(False))
+        hits = [_occurs(folded, pattern, words) for pattern, words in _guarded(category)]
+        out[category] = F.coalesce(reduce(operator.or_, hits), F.lit(False))
     return out
 
 

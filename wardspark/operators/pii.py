@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ def enabled(categories=None) -> list[str]:
 def _possible(text: Column, category: str) -> Column:
     """What any match needs: an at sign in e-mails, a digit elsewhere."""
     if category == "email":
-        return F.contains(text, F.lit("@"))
-    return F.rlike(text, F.lit(rf"{T.DIGIT}"))
+        return text.contains("@")
+    return text.rlike(T.DIGIT)
 
 
 def _regex(category: str) -> Column:
@@ -54,10 +57,7 @@ def matches(text: Column, categories=None) -> dict[str, Column]:
 
 
 def total_of(found: dict[str, Column]) -> Column:
-    out = F.lit(0)
-    for c in found.values():
-        out = out + c
-    return out
+    return reduce(operator.add, found.values()) if found else F.lit(0)
 
 
 def score_of(total: Column) -> Column:

@@ -101,8 +101,8 @@ def _fires(text: Column, forms: dict[str, Column], rule: Rule) -> Column:
     if rule.rule_type == "keyword":
         return T.contains_any(forms["low"], rule.keywords)
     if T.folds(rule.pattern):
-        return F.rlike(forms["folded"], F.lit(T.spark_regex(rule.pattern.lower())))
-    return F.rlike(text, F.lit(T.spark_regex(rule.pattern, True)))
+        return forms["folded"].rlike(T.spark_regex(rule.pattern.lower()))
+    return text.rlike(T.spark_regex(rule.pattern, True))
 
 
 def hit_positions(text: Column, forms: dict[str, Column], rules: list[Rule],
