@@ -13,6 +13,8 @@ from wardspark.config import SCORE_KEYS, EvalConfig
 from wardspark.functions import patterns as P
 from wardspark.plans import batch
 from wardspark.plans import evaluate as ev
+from wardspark.session import scratch_path
+from wardspark.sources.results import CSV_OPTIONS
 
 
 
@@ -185,6 +187,26 @@ def _(spark, sf):
     return out.select("conv_id", "turn", _flags(), "passed")
 
 
+_NO_MODELS = EvalConfig(toxicity=False, alignment=False, pii=True, prompt_injection=True)
+
+
+@check("evaluate_file", f"""
+{B.evaluated_sql(_NO_MODELS)} SELECT id, len(flags) = 0 AS passed, len(flags) AS flags_count,
+  round(hal, 6) AS hallucination_risk, round(pii, 6) AS pii_risk,
+  (SELECT count(*) FILTER (len(flags) > 0) FROM evaluated) AS all_failed FROM evaluated""")
+def _(spark, sf):
+    """All pairs through CSV files, in and out."""
+    source, target = scratch_path(spark, "pairs-csv"), scratch_path(spark, "results-csv")
+    B.pairs(spark, sf).select("id", "prompt", "response").write.csv(source, **CSV_OPTIONS)
+    summary = batch.evaluate_file(spark, source, target, _NO_MODELS, id_col="id")
+    rows = spark.read.csv(target, header=True)
+    return rows.select("id", F.col("passed").cast("boolean").alias("passed"),
+                       F.col("flags_count").cast("int").alias("flags_count"),
+                       *[B.six(F.col(c).cast("double")).alias(c)
+                         for c in ("hallucination_risk", "pii_risk")],
+                       summary.select("failed").scalar().alias("all_failed"))
+
+
 @check("batch_fail_fast", f"""
 {B.EVALUATED}, b AS (SELECT id, conv_id, turn, len(flags) = 0 AS passed FROM evaluated)
 SELECT id, passed FROM b WHERE turn <= coalesce(

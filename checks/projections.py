@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import base as B
+from checks import sql as S
 from checks.planting import quoted
 from checks.registry import check
+from wardspark.functions import text as T
 from wardspark.operators import projections as R
 from wardspark.operators import report
 from wardspark.session import scratch_path
@@ -103,9 +105,31 @@ def _(spark, sf):
                                          " | ").alias("advice"))
 
 
-@check("report_rows")
+_TITLES = {"tox": "Toxicity", "ali": "Alignment", "hal": "Hallucination Risk", "pii": "Pii Risk",
+           "inj": "Prompt Injection Risk", "rul": "Custom Rules"}
+_SCORE_LINES = " || chr(10) || ".join(
+    f"(SELECT '- ' || CASE c WHEN 'green' THEN '🟢' WHEN 'orange' THEN '🟡' ELSE '🔴' END || ' **"
+    f"{_TITLES[n]}**: ' || printf('%.3f', value) FROM (SELECT value, {_status_sql('report')} AS c "
+    f"FROM (SELECT '{B.KEYS[n]}' AS metric, {n} AS value)))"
+    for n in sorted(B.SCORES, key=B.KEYS.get))
+_BULLETS = "array_to_string(list_transform({}, lambda x: '- ' || x), chr(10))"
+
+
+@check("report_rows", f"""
+{B.EVALUATED} SELECT id, concat_ws(chr(10), '# Evaluation Report', '',
+  '**Generated**: 2024-02-01 00:00:00', '', '## Input', '', '### Prompt', '```', prompt, '```',
+  '### Response', '```', response, '```', '## Evaluation Results', '',
+  '**Overall Status**: ' || CASE WHEN len(flags) = 0 THEN 'PASSED' ELSE 'FAILED' END, '',
+  '### Scores', {_SCORE_LINES}, '', CASE WHEN len(flags) > 0 THEN '### Issues Detected' || chr(10)
+  || {_BULLETS.format('flags')} ELSE '### No Issues Detected' END, '',
+  '## Detailed Analysis', '- Words: ' || {S.words('response')}, '',
+  '## Recommendations', {_BULLETS.format(f"""CASE WHEN len(flags) = 0
+  THEN [{', '.join(map(quoted, R.ADVICE_PASSED))}]
+  ELSE list_filter([{_ADVICE_SQL}], lambda x: x IS NOT NULL) END""")}) AS report
+FROM evaluated""")
 def _(spark, sf):
-    out = report.report_rows(B.evaluated(spark, sf), "2024-02-01 00:00:00")
+    words = F.concat(F.lit("Words: "), T.word_count(F.col("response")).cast("string"))
+    out = report.report_rows(B.evaluated(spark, sf), "2024-02-01 00:00:00", F.array(words))
     return out.select("id", "report")
 
 

@@ -109,21 +109,27 @@ def newest(log: DataFrame, size: int = HISTORY) -> DataFrame:
     return page(slim, [F.col("timestamp").desc(), F.col("evaluation_id").desc()], size)
 
 
-def metrics_summary(log: DataFrame, size: int = HISTORY) -> DataFrame:
-    """Counts, latency and rate over the newest evaluations."""
+def _rates(totals: DataFrame) -> DataFrame:
+    """Average latency and evaluations per minute from sums and the time range."""
     def seconds(column):
         return F.unix_micros(column) / F.lit(1e6)
 
-    out = newest(log, size).agg(
-        F.count("*").alias("total_evaluations"), F.count_if("passed").alias("passed_count"),
-        F.count_if(~F.col("passed")).alias("failed_count"),
-        F.coalesce(F.avg(F.coalesce("latency_ms", F.lit(0.0))), F.lit(0.0))
-        .alias("average_latency_ms"),
-        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     span = seconds(F.col("last")) - seconds(F.col("first"))
+    mean = F.try_divide("latency", F.col("total_evaluations"))
     per_minute = F.try_divide(F.col("total_evaluations"), span) * F.lit(60.0)
-    return out.withColumn("evaluations_per_minute",
-                          F.coalesce(per_minute, F.lit(0.0))).drop("first", "last")
+    return totals.withColumns({
+        "average_latency_ms": F.coalesce(mean, F.lit(0.0)),
+        "evaluations_per_minute": F.coalesce(per_minute, F.lit(0.0))}
+    ).drop("latency", "first", "last")
+
+
+def metrics_summary(log: DataFrame, size: int = HISTORY) -> DataFrame:
+    """Counts, latency and rate over the newest evaluations."""
+    return _rates(newest(log, size).agg(
+        F.count("*").alias("total_evaluations"), F.count_if("passed").alias("passed_count"),
+        F.count_if(~F.col("passed")).alias("failed_count"),
+        F.sum("latency_ms").alias("latency"),
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last")))
 
 
 def scores_summary(log: DataFrame) -> DataFrame:
@@ -156,18 +162,32 @@ def _plain(value: Column, decimals: int) -> Column:
     return F.replace(F.format_number(value, decimals), F.lit(","), F.lit(""))
 
 
-def prometheus_rows(log: DataFrame) -> DataFrame:
-    """Rows of metric name, type and value text, from the newest evaluations."""
-    entries = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"),
-                                 _plain(F.col(c), d).alias("value"))
-                        for c, (name, kind, d) in EXPORTED.items()])
-    totals = metrics_summary(log).select(F.inline(entries))
+def prometheus_rows(log: DataFrame, size: int = HISTORY) -> DataFrame:
+    """Rows of metric name, type and value text, from one scan for the newest evaluations.
+
+    Each evaluation is spread over its scores and counted on the first of them.
+    """
+    rows = newest(log, size).select("timestamp", "passed", "latency_ms",
+                                    F.posexplode_outer("scores").alias("at", "metric", "score"))
+    first = F.coalesce(F.col("at") == 0, F.lit(True))
+    by_metric = rows.groupBy("metric").agg(
+        F.count_if(first).alias("n"), F.count_if(first & F.col("passed")).alias("passed"),
+        F.sum(F.when(first, F.col("latency_ms"))).alias("latency"),
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+        F.avg("score").alias("avg"))
     before, after = EXPORTED_SCORE.split("{metric}")
-    metric = F.replace(F.col("metric"), F.lit("-"), F.lit("_"))
-    averages = scores_summary(newest(log)).select(
-        F.concat(F.lit(before), metric, F.lit(after)).alias("name"), F.lit("gauge").alias("type"),
-        _plain(F.col("avg"), 4).alias("value"))
-    return totals.unionByName(averages)
+    average = F.struct(
+        F.concat(F.lit(before), F.replace("metric", F.lit("-"), F.lit("_")), F.lit(after))
+        .alias("name"), F.lit("gauge").alias("type"), _plain(F.col("avg"), 4).alias("value"))
+    totals = _rates(by_metric.agg(
+        F.sum("n").alias("total_evaluations"), F.sum("passed").alias("passed_count"),
+        (F.sum("n") - F.sum("passed")).alias("failed_count"), F.sum("latency").alias("latency"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.collect_list(F.when(F.col("avg").isNotNull(), average)).alias("averages")))
+    fixed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"),
+                               _plain(F.coalesce(F.col(c), F.lit(0)), d).alias("value"))
+                      for c, (name, kind, d) in EXPORTED.items()])
+    return totals.select(F.inline(F.concat(fixed, "averages")))
 
 
 def history_metrics(log: DataFrame) -> DataFrame:

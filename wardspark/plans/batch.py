@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspark.config import SCORE_KEYS, EvalConfig
 from wardspark.functions import hashing
 from wardspark.functions import text as T
+from wardspark.operators.metrics import file_summary
 from wardspark.plans.evaluate import PairColumns, evaluate, exceeds, flag_text
+from wardspark.session import cut_lineage
+from wardspark.sources.pairs import read_pairs_csv
+from wardspark.sources.results import write_results_csv
 
 
 def evaluate_batch(df: DataFrame, position: str, config: EvalConfig = EvalConfig(),
@@ -19,6 +23,19 @@ def evaluate_batch(df: DataFrame, position: str, config: EvalConfig = EvalConfig
     return evaluate(df, config, rule_list, names)
 
 
+def evaluate_file(spark: SparkSession, path: str, output: str,
+                  config: EvalConfig = EvalConfig(), rule_list=(), **columns) -> DataFrame:
+    """Evaluates the pairs of a CSV file into CSV files; returns the summary.
+
+    Results are cut from their lineage, so that files and summary come from one evaluation.
+    """
+    pairs = read_pairs_csv(spark, path, **columns)
+    results = evaluate(pairs, config, rule_list).drop("prompt", "response")
+    results = cut_lineage(results)
+    write_results_csv(results, output)
+    return file_summary(results)
+
+
 def dedup_evaluate(df: DataFrame, config: EvalConfig = EvalConfig(), rule_list=(),
                    names: PairColumns = PairColumns()) -> DataFrame:
     """Evaluates each distinct pair once and gives its copies the same result.
