@@ -80,7 +80,12 @@ def _(spark, sf):
 
 
 @check("details", f"""
-{B.EVALUATED} SELECT id, CASE WHEN tox_1 >= tox_2 THEN 'toxicity' ELSE 'insult' END AS max_category,
+{B.EVALUATED} SELECT id, CASE WHEN {S.blank('response')} THEN NULL WHEN tox_1 >= tox_2
+  THEN 'toxicity' ELSE 'insult' END AS max_category, pii_r AS pii_response_score,
+  array_to_string(list_filter([{', '.join(
+      f"CASE WHEN {S.pii_count('response', c)} > 0 THEN '{c}: ' || {S.pii_count('response', c)} "
+      "|| ' found' END" for c in P.PII_PATTERNS)}], lambda x: x IS NOT NULL), '|') AS pii_items,
+  inj <= 0.5::DOUBLE AS injection_passed,
   {S.lexicon_list('lower(response)', P.UNCERTAINTY)} AS uncertainty_phrases,
   {S.words('response')} AS word_count, pii_r_n AS pii_matches,
   {' + '.join(f"len({S.injection_matches('prompt', c)})" for c in P.INJECTION_PATTERNS)}
@@ -94,13 +99,18 @@ def _(spark, sf):
     out = B.evaluated(spark, sf, replace(B.FULL, details=True))
     d = F.col("detailed_results")
     return out.select(
-        "id", d["toxicity"]["max_category"].alias("max_category"),
-        F.array_join(d["hallucination"]["uncertainty_phrases"], "|").alias("uncertainty_phrases"),
-        d["hallucination"]["word_count"].alias("word_count"),
-        d["pii"]["total_matches"].alias("pii_matches"),
-        d["prompt_injection"]["total_patterns_matched"].alias("injection_matches"),
-        F.array_join(d["custom_rules"]["triggered_rules"]["rule_id"], "|").alias("response_rules"),
-        d["alignment"]["alignment_level"].alias("alignment_level"),
+        "id", d["toxicity"]["details"]["max_category"].alias("max_category"),
+        F.array_join(d["hallucination"]["details"]["uncertainty_phrases"], "|")
+        .alias("uncertainty_phrases"),
+        d["hallucination"]["details"]["word_count"].alias("word_count"),
+        d["pii"]["details"]["total_matches"].alias("pii_matches"),
+        d["pii"]["score"].alias("pii_response_score"),
+        F.array_join(d["pii"]["detected_items"], "|").alias("pii_items"),
+        d["prompt_injection"]["details"]["total_patterns_matched"].alias("injection_matches"),
+        d["prompt_injection"]["passed"].alias("injection_passed"),
+        F.array_join(d["custom_rules"]["details"]["triggered_rules"]["rule_id"], "|")
+        .alias("response_rules"),
+        d["alignment"]["details"]["alignment_level"].alias("alignment_level"),
         *B.flat_scores(out), _flags())
 
 

@@ -78,7 +78,10 @@ def test_fail_fast_keeps_the_failing_score_only(spark):
     assert (r.flags, list(r.scores)) == (["High toxicity detected: 0.90"], ["toxicity"])
     assert r.detailed_results.toxicity is None and r.detailed_results.pii is None
     full = evaluate(rows(spark, bad), replace(config, fail_fast=False)).head()
-    assert len(full.flags) == 3 and full.detailed_results.pii.total_matches == 1
+    assert len(full.flags) == 3 and full.detailed_results.pii.details.total_matches == 1
+    assert full.detailed_results.pii.detected_items == ["email: 1 found"]
+    assert (full.detailed_results.toxicity.score, full.detailed_results.toxicity.detected_items) == (
+        0.9, ["toxicity"])
 
 
 def test_model_errors_stay_with_their_row(spark):

@@ -1,0 +1 @@
+"""Auditing language-model interactions with Spark."""

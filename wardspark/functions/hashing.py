@@ -16,7 +16,9 @@ def text_hash(text: Column) -> Column:
 
 def pair_key(prompt: Column, response: Column) -> Column:
     """Digest of the pair joined by the fixed separator ``|||``."""
-    return F.sha2(F.concat(prompt, F.lit("|||"), response), 256)
+    blank = F.lit("")
+    return F.sha2(F.concat(F.coalesce(prompt, blank), F.lit("|||"), F.coalesce(response, blank)),
+                  256)
 
 
 def evaluation_id(row_id: Column, key: Column) -> Column:

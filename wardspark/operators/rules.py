@@ -26,7 +26,7 @@ MAX_RULES = 100_000  # a rule table longer than this is refused, not cut
 class Rule:
     rule_id: str
     name: str
-    pattern: str
+    pattern: str = ""
     rule_type: str = "regex"
     severity: float = 0.5
     action: str = "flag"

@@ -148,20 +148,43 @@ class _Plan:
         column = {"toxicity": n.toxicity_error, "alignment": n.alignment_error}.get(name)
         return self.optional(column, "string") if column else F.lit(None).cast("string")
 
-    def detail(self, name: str) -> Column:
+    def detail(self, name: str) -> tuple[Column, Column, Column]:
+        """Score, detail struct and detected items. They are those of the response, of the
+        prompt for prompt injection, and of the pair for alignment."""
+        value = F.col(f"_{name}")
         if name == "toxicity":
-            return toxicity.detail(F.col("_toxicity_input"))
+            given = F.col("_toxicity_input")
+            info = F.when(~T.is_blank(self.response), toxicity.detail(given))
+            items = toxicity.detected_items(given, self.config.toxicity_threshold)
+            return value, info, F.when(value > 0, items)
         if name == "alignment":
-            return alignment.detail(F.col("_alignment"), self.prompt, self.response)
+            nothing = F.array().cast("array<string>")
+            return value, alignment.detail(value, self.prompt, self.response), nothing
         if name == "hallucination":
-            return hallucination.detail(self.response)
+            info = hallucination.detail(self.response)
+            return value, info, hallucination.detected_items(info)
         if name == "pii":
-            return pii.detail_of({k: F.col(f"_pii_response_{k}")
+            info = pii.detail_of({k: F.col(f"_pii_response_{k}")
                                   for k in pii.enabled(self.config.pii_categories)})
+            return F.col("_pii_in_response"), info, pii.detected_items(info)
         if name == "prompt_injection":
-            return injection.detail_of({k: F.col(f"_injection_{k}")
+            info = injection.detail_of({k: F.col(f"_injection_{k}")
                                         for k in injection.CATEGORIES})
-        return rules.detail(self.response, F.col("_rules_response"), self.response_rules)
+            return value, info, injection.detected_items(info)
+        positions = F.col("_rules_response")
+        info = rules.detail(self.response, positions, self.response_rules)
+        return (rules.score_of(positions, self.response_rules), info,
+                F.transform(info["triggered_rules"], lambda r: r["name"]))
+
+    def result(self, name: str) -> Column:
+        """One evaluator's part of ``detailed_results``."""
+        value, info, items = self.detail(name)
+        limit = F.lit(self.config.threshold(name))
+        passed = value >= limit if name == "alignment" else value <= limit
+        none = F.array().cast("array<string>")
+        return F.struct(value.alias("score"), passed.alias("passed"), info.alias("details"),
+                        F.coalesce(items, none).alias("detected_items"),
+                        F.lit(1.0).alias("confidence"))
 
     # -- stages --
 
@@ -227,7 +250,7 @@ class _Plan:
     def details(self) -> Column:
         shown = []
         for name in self.config.enabled:
-            info = self.detail(name)
+            info = self.result(name)
             if self.config.fail_fast:
                 info = F.when(F.col(f"_on_{name}"), info)
             if name in ("toxicity", "alignment"):
