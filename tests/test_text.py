@@ -112,6 +112,22 @@ def test_contradictions_match_python(texts):
     assert hits
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_words_are_found_wherever_they_overlap(spark, monkeypatch, limit):
+    """All substrings of a small alphabet, with words that begin or hold other words."""
+    rng = random.Random(3)
+    words = {"".join(rng.choice("ab .é😀(") for _ in range(rng.randint(1, 4))) for _ in range(60)}
+    texts = ["".join(rng.choice("ab .é😀(x") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    monkeypatch.setattr(T, "SCAN_WORDS", limit)
+    known = T.Words(words)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("f", known.found(F.col("t")))
+    listed = sorted(words)
+    rows = df.select("t", *[known.has(F.col("f"), w).alias(f"w{i}") for i, w in enumerate(listed)])
+    for r in rows.collect():
+        for i, w in enumerate(listed):
+            assert r[f"w{i}"] == (w in r.t), (w, r.t)
+
+
 CUSTOM = [r"\$\d+(\.\d{2})?", r"(?P<a>\w)\W(?P=a)", r"[^a-z\s&[]+x", r"\bst\B", r"a[]x]b", r"i.s",
           r"[A-z]{3}\Z", r"spam|kind", r"école", r"(is)\s\1", r"s{2}", r"\AIgnore"]
 

@@ -8,7 +8,11 @@ is therefore spelt out as explicit classes.
 
 from __future__ import annotations
 
+import bisect
+import operator
 import re
+from functools import reduce
+from itertools import groupby, takewhile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,6 +146,61 @@ def contains_any(text: Column, words) -> Column:
     return F.lit(False) if out is None else out
 
 
+SCAN_WORDS = 128  # from about so many words on, one pattern beats a search for each
+
+
+class Words:
+    """A set of words to look for in a text, as substrings.
+
+    Few words are searched for one by one. Many are merged by their common beginnings into
+    one pattern inside a look-ahead, so that overlapping occurrences count. At each place the
+    longest word is reported; a word also occurs wherever a longer one that begins with it
+    does.
+    """
+
+    def __init__(self, words):
+        self.words = sorted({w for w in words if w})
+        self.merged = len(self.words) > SCAN_WORDS
+
+    def found(self, text: Column) -> Column:
+        """What ``has`` asks: the distinct words reported in ``text``, or the text itself.
+        To be a column of an earlier projection."""
+        if not self.merged:
+            return text
+        pattern = f"(?=({_merged(self.words)}))"
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+    def has(self, found: Column, word: str) -> Column:
+        """Whether ``word`` occurs, given what was ``found``."""
+        if not word:
+            return F.lit(True)
+        if not self.merged:
+            return found.contains(word)
+        at = bisect.bisect_left(self.words, word)
+        longer = list(takewhile(lambda w: w.startswith(word), self.words[at:]))
+        if len(longer) == 1:
+            return F.array_contains(found, word)
+        return F.arrays_overlap(found, F.split(F.lit("\u0001".join(longer)), "\u0001"))
+
+    def has_any(self, found: Column, words) -> Column:
+        return reduce(operator.or_, [self.has(found, w) for w in words])
+
+
+def _merged(words: list[str]) -> str:
+    """Pattern of sorted distinct words that tries the longest first."""
+    out = []
+    for first, group in groupby((w for w in words if w), key=lambda w: w[0]):
+        rest = [w[1:] for w in group]
+        symbol = first if first.isalnum() else f"\\{first}"
+        tail = _merged(rest)
+        if tail and "" in rest:
+            tail = f"(?:{tail})?"
+        elif len([r for r in rest if r]) > 1:
+            tail = f"(?:{tail})"
+        out.append(symbol + tail)
+    return "|".join(out)
+
+
 def two_decimals(number: Column) -> Column:
     """Two decimals, ties to even on the exact binary value."""
     return F.format_number(number, 2)

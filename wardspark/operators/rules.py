@@ -92,14 +92,19 @@ def for_target(rules: list[Rule], target: str) -> list[Rule]:
     return [r for r in rules if r.apply_to in (target, "both")]
 
 
-def prepared(text: Column) -> dict[str, Column]:
-    """Forms of a text that the matchers share; to be columns of an earlier projection."""
-    return {"low": F.lower(text), "folded": T.fold_length(text)}
+def _vocabulary(rules: list[Rule]) -> T.Words:
+    return T.Words(k for r in rules if r.rule_type == "keyword" for k in r.keywords)
 
 
-def _fires(text: Column, forms: dict[str, Column], rule: Rule) -> Column:
+def prepared(text: Column, rules: list[Rule]) -> dict[str, Column]:
+    """What the matchers share: the case-folded text and the keywords of all rules that one
+    scan has found; to be columns of an earlier projection."""
+    return {"folded": T.fold_length(text), "keywords": _vocabulary(rules).found(F.lower(text))}
+
+
+def _fires(text: Column, forms: dict[str, Column], rule: Rule, words: T.Words) -> Column:
     if rule.rule_type == "keyword":
-        return T.contains_any(forms["low"], rule.keywords)
+        return words.has_any(forms["keywords"], rule.keywords)
     if T.folds(rule.pattern):
         return forms["folded"].rlike(T.spark_regex(rule.pattern.lower()))
     return text.rlike(T.spark_regex(rule.pattern, True))
@@ -114,7 +119,8 @@ def hit_positions(text: Column, forms: dict[str, Column], rules: list[Rule],
     nothing = F.array().cast("array<int>")
     if not rules:
         return nothing
-    marks = F.array(*[F.when(_fires(text, forms, r), i + 1).otherwise(0)
+    words = _vocabulary(rules)
+    marks = F.array(*[F.when(_fires(text, forms, r, words), i + 1).otherwise(0)
                       for i, r in enumerate(rules)])
     if len(rules) <= CODEGEN_RULES:
         found = F.array_remove(marks, 0)
@@ -127,7 +133,7 @@ def hit_positions(text: Column, forms: dict[str, Column], rules: list[Rule],
 def add_hits(df: DataFrame, text: str, rules: list[Rule], out: str,
              on_empty: bool = False) -> DataFrame:
     """``df`` with the positions of the rules that fire on column ``text``."""
-    forms = {f"_{k}": c for k, c in prepared(F.col(text)).items()}
+    forms = {f"_{k}": c for k, c in prepared(F.col(text), rules).items()}
     hits = hit_positions(F.col(text), {k[1:]: F.col(k) for k in forms}, rules, on_empty)
     return compute_once(df.withColumns(forms).withColumn(out, hits), df.columns, [out])
 

@@ -76,14 +76,15 @@ class _Plan:
             return {f"{k}_prompt": c for k, c in injection.prepared(self.prompt).items()}
         if name != "custom_rules":
             return {}
-        return {f"rules_{side}_{k}": c
-                for side, text in (("prompt", self.prompt), ("response", self.response))
-                for k, c in rules.prepared(text).items()}
+        sides = (("prompt", self.prompt, self.prompt_rules),
+                 ("response", self.response, self.response_rules))
+        return {f"rules_{side}_{k}": c for side, text, active in sides
+                for k, c in rules.prepared(text, active).items()}
 
     def rule_hits(self, side: str) -> Column:
         text, active = ((self.prompt, self.prompt_rules) if side == "prompt"
                         else (self.response, self.response_rules))
-        forms = {k: F.col(f"_rules_{side}_{k}") for k in ("low", "folded")}
+        forms = {k: F.col(f"_rules_{side}_{k}") for k in ("keywords", "folded")}
         return rules.hit_positions(text, forms, active)
 
     def matches(self, name: str) -> dict[str, Column]:
