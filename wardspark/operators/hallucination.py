@@ -15,9 +15,10 @@ SIGNALS = ["uncertainty", "overconfidence", "fabrication", "contradiction", "wor
 _CONTRADICTION_NEEDS = [["is", "not"], ["always", "never"], ["all", "no"]]
 
 
-def signals(text: Column) -> dict[str, Column]:
-    """Counts per signal; all zero on blank text."""
-    low = F.lower(text)
+def signals(text: Column, low: Column | None = None) -> dict[str, Column]:
+    """Counts per signal; all zero on blank text. ``low`` is the lower-cased text, best given
+    as a column of an earlier projection."""
+    low = F.lower(text) if low is None else low
     lexicons = {"uncertainty": P.UNCERTAINTY, "overconfidence": P.OVERCONFIDENCE,
                 "fabrication": P.FABRICATION}
     out = {name: T.total([low.contains(k) for k in keys])
@@ -42,7 +43,8 @@ def score_of(found: dict[str, Column]) -> Column:
             part = part * F.lit(0.5)
         part = part * F.lit(weight)
         risk = part if risk is None else risk + part
-    return F.when(found["words"] == 0, F.lit(0.0)).otherwise(F.least(risk, F.lit(1.0)))
+    # a factor, not a branch: Spark shares repeated parts only outside of branches
+    return F.least(risk, F.lit(1.0)) * F.when(found["words"] == 0, 0.0).otherwise(1.0)
 
 
 def score(text: Column) -> Column:
@@ -69,8 +71,9 @@ def detected_items(info: Column) -> Column:
 
 def hallucination_signals(df: DataFrame, text: str) -> DataFrame:
     found = {f"{k}_hits" if k != "words" else "word_count": c
-             for k, c in signals(F.col(text)).items()}
-    return compute_once(df.withColumns(found), df.columns, list(found))
+             for k, c in signals(F.col(text), F.col("_lower")).items()}
+    lowered = df.withColumn("_lower", F.lower(F.col(text)))
+    return compute_once(lowered.withColumns(found), df.columns, list(found))
 
 
 def hallucination_score(df: DataFrame, text: str, threshold: float = 0.6) -> DataFrame:

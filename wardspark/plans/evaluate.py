@@ -72,6 +72,8 @@ class _Plan:
 
     def prepared(self, name: str) -> dict[str, Column]:
         """Columns that the matches share."""
+        if name == "hallucination":
+            return {"lower_response": F.lower(self.response)}
         if name == "prompt_injection":
             return {f"{k}_prompt": c for k, c in injection.prepared(self.prompt).items()}
         if name != "custom_rules":
@@ -94,7 +96,7 @@ class _Plan:
         if name == "alignment":
             return {}
         if name == "hallucination":
-            return hallucination.signals(self.response)
+            return hallucination.signals(self.response, F.col("_lower_response"))
         if name == "pii":
             out = {f"pii_prompt_{k}": v
                    for k, v in pii.counts(self.prompt, c.pii_categories).items()}

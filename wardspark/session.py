@@ -52,9 +52,11 @@ def shared_folder(spark: SparkSession) -> str:
     cluster must name one.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
+    named, current = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if named and not current:
+        context.setCheckpointDir(named)
+    if named or current:
+        return named or current
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="wardspark-"))
