@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from wardspark.llm.common import whole_row
 
@@ -191,25 +192,32 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.withColumn("decoded", decoded("ids"))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, keys: list[str]) -> DataFrame:
-    """``keys`` with ``n_tokens, ids_sha256, decoded_sha256`` of each text: the ids stay in the
-    task, only their digests come out."""
+def digests(docs: DataFrame, path: str, pattern: str, keys: list[str],
+            with_ids: bool = False) -> DataFrame:
+    """``keys`` with ``n_tokens, ids_sha256, decoded_sha256`` of each text, and ``ids`` if asked
+    for; else the ids stay in the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            count, ids_sha, text_sha = [], [], []
+            count, ids_sha, text_sha, lists = [], [], [], []
             for value in batch.column("text"):
                 ids = v.encode(value.as_py() or "")
                 count.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(v.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keys], pa.array(count, pa.int64()),
-                 pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                [*keys, "n_tokens", "ids_sha256", "decoded_sha256"])
+                lists.append(ids)
+            columns = [*[batch.column(k) for k in keys], pa.array(count, pa.int64()),
+                       pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                bounds = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(
+                    pa.array(bounds), pa.array(np.frombuffer(b"".join(lists), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = docs.select(*keys).schema
     for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"),
                        ("decoded_sha256", "string")):
         schema = schema.add(name, kind)
+    if with_ids:
+        schema = schema.add("ids", ArrayType(IntegerType()))
     return docs.select(*keys, "text").mapInArrow(run, schema)

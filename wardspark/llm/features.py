@@ -31,6 +31,8 @@ def byte_grams(data: bytes, lengths: tuple[int, ...], bits: int) -> Iterator[np.
 
 
 def word_buckets(data: bytes, bits: int) -> np.ndarray:
-    """Buckets of the words between ASCII white space."""
+    """Buckets of the words between ASCII white space and of neighbouring pairs. A pair goes by
+    the difference of its hashes, so a word said twice is one feature, whatever the word."""
     crc = np.array([zlib.crc32(w) for w in data.split()], np.uint32)
-    return (crc * _FACTORS[0]) >> np.uint32(32 - bits)
+    both = np.concatenate((crc, np.diff(crc) ^ _FACTORS[3]))
+    return (both * _FACTORS[0]) >> np.uint32(32 - bits)

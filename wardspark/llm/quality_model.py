@@ -28,7 +28,7 @@ DIM = 16
 GRAMS = (3, 4, 5)
 # About so many rows of each label are fitted; all others are only scored.
 SAMPLE_PER_LABEL = 1000
-EPOCHS = 6
+EPOCHS = 8
 RATE = 0.5
 
 
@@ -80,8 +80,8 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
             back = layer @ wrong
             layer -= lr * np.outer(hidden, wrong)
             bias -= lr * 0.1 * wrong
-            # a feature's share is tiny; its step is scaled by the size of the text's features
-            vectors[at] -= (lr * len(at) * share)[:, None] * back
+            # scaled so that the text's mean moves by the rate, however many features it has
+            vectors[at] -= (lr / float(share @ share) * share)[:, None] * back
     return vectors, layer, bias
 
 
@@ -100,12 +100,12 @@ def train(docs: DataFrame, label: str, per_label: int = SAMPLE_PER_LABEL) -> Mod
             yield pd.DataFrame({"y": batch["y"], "at": [a for a, _ in found],
                                 "n": [n for _, n in found]})
 
-    sample = labelled_sample(labelled, "y", per_label, F.col("doc_id"))
+    sample = labelled_sample(labelled.filter("text != ''"), "y", per_label, F.col("doc_id"))
     fitted = (sample.select("text", "y").mapInPandas(run, "y int, at array<int>, n array<float>")
               .toPandas())
     order = np.argsort([(int(np.sum(a)), len(a)) for a in fitted["at"]], axis=0)[:, 0]
     fitted = fitted.iloc[order]  # independent of the order in which tasks end
-    rows = [(np.asarray(a), np.asarray(n) / max(np.sum(n), 1))
+    rows = [(np.asarray(a), np.asarray(n) / np.sum(n))
             for a, n in zip(fitted["at"], fitted["n"])]
     labels = fitted["y"].to_numpy()
     vectors, layer, bias = sgd(rows, labels)
