@@ -1,15 +1,18 @@
 """Exact and near matches of test passages by a distributed positional inverted index.
 
-The index holds a posting (term, document, position) for the terms that a search asks for. A
-phrase is looked up from its rarest terms: their lists, shifted by each term's offset in the
-phrase, are intersected by one grouping on (document, start, phrase); the few starts left are
-compared with the phrase word by word. Terms are counted over all documents first.
-
-No key gathers anything: counts are combined per task, the intersection is keyed by the
-place in a document, and a document's matches are at most those of its own words. Rows with a null
-or empty text have no words. Repeated rows each get the same result (a row is found again by id
-and text). Test items without words are ignored; items without id mark words but aren't
-counted as items. Empty tables give no matches.
+The index holds a posting (term, document, position) for the terms that a search asks for. A test
+item is searched for as its windows; each window from its rarest terms, counted over all documents
+first. Their lists are intersected: a posting, shifted by the term's offset, proposes where a
+segment of the item (twenty windows) would start, and the proposals for one place of one document are
+combined to a bit mask of the terms found. A window whose key terms are all there is then
+compared with the document word by word.
+
+Postings stay partitioned by document, so the intersection, the list of matches of a document and the
+comparison need no shuffle but that of the documents. No key gathers anything: counts are combined per
+task, and a document's matches are at most those of its own words. Rows with a null or empty text
+have no words. Repeated rows each get the same result (a row is found again by id and text). Test
+items without words are ignored; items without id mark words but aren't counted as items. Empty tables
+give no matches.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from wardspark.llm.common import KEY, ascii_lower, row_key, small, whole_row, wr
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 RAREST = 3
+# Windows of a segment; with the words of the last they fit a mask of 64 bits.
+SEGMENT = 20
 
 
 def term_list(text: Column) -> Column:
@@ -30,22 +35,27 @@ def term_list(text: Column) -> Column:
 
 
 def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``window, terms, items``: the distinct windows of the items (``item_id, text``) with
-    the sorted distinct ids, as text, of the items that hold them."""
+    """``item, seg, at, window, terms, items``: the windows of the distinct items (``item_id,
+    text``). ``at`` is the place of a window in its segment, ``items`` the sorted ids, as
+    text, of the items with these words."""
     terms = items.select(F.col("item_id").cast("string").alias("item_id"),
-                         term_list(F.col("text")).alias("terms"))
+                         term_list(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
+    distinct = terms.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     last = F.greatest(F.size("terms") - width, F.lit(0))
-    starts = (terms.filter(F.size("terms") > 0)
-              .select("item_id", "terms", F.explode(F.sequence(F.lit(0), last)).alias("s"))
-              .select("item_id", F.slice("terms", F.col("s") + 1, F.lit(width)).alias("terms")))
-    return (starts.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-            .select(F.md5(F.array_join("terms", " ")).alias("window"), "terms", "items"))
+    starts = distinct.select("terms", "items", F.md5(F.array_join("terms", " ")).alias("item"),
+                             F.explode(F.sequence(F.lit(0), last)).alias("s"))
+    seg = F.floor(F.col("s") / SEGMENT).cast("int")
+    return starts.select(
+        "item", seg.alias("seg"), (F.col("s") - seg * SEGMENT).alias("at"),
+        F.concat_ws("-", "item", "s").alias("window"),
+        F.slice("terms", F.col("s") + 1, F.lit(width)).alias("terms"), "items")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``k1, k2, pos, term``: the places of the given terms (distinct) in the documents."""
-    places = docs.select(*row_key(F.col("doc_id"), F.col("text")),
-                         F.posexplode(term_list(F.col("text"))).alias("pos", "term"))
+    """``k1, k2, pos, term``: the places of the given terms (distinct) in the documents,
+    all those of a document in one partition."""
+    dealt = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").repartition(*KEY)
+    places = dealt.select(*KEY, F.posexplode(term_list(F.col("text"))).alias("pos", "term"))
     return places.join(small(terms), "term", "left_semi")
 
 
@@ -68,27 +78,34 @@ def rarest_terms(docs: DataFrame, phrases: DataFrame, rarest: int | None = RARES
             .select("window", "term", "offset", "rank", full.alias("full")))
 
 
-def intersect(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """``k1, k2, start, window``: places where all key terms stand at their offsets."""
-    shifted = (index.join(small(keys), "term")
-               .select(*KEY, "window", "full",
-                       (F.col("pos") - F.col("offset")).alias("start"),
-                       F.expr("shiftleft(1, rank)").alias("bit"))
-               .filter("start >= 0"))
-    return (shifted.groupBy(*KEY, "start", "window")
-            .agg(F.bit_or("bit").alias("bits"), F.first("full").alias("full"))
-            .filter("bit_count(bits) = full").select(*KEY, "start", "window"))
+def intersect(index: DataFrame, phrases: DataFrame, keys: DataFrame) -> DataFrame:
+    """``k1, k2, start, terms, items``: places where all key terms of a window stand at their
+    offsets. ``phrases`` are windows, ``keys`` their rarest terms."""
+    placed = keys.join(phrases.select("window", "item", "seg", "at"), "window").withColumn(
+        "bit", F.col("at") + F.col("offset"))
+    need = placed.groupBy("window").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("need"))
+    wanted = written(phrases.join(need, "window"), "wanted")
+    fewest = placed.groupBy("item", "seg").agg(F.min("full").alias("fewest"))
+    lists = written(placed.select("term", "item", "seg", "bit").distinct()
+                    .join(fewest, ["item", "seg"]), "lists")
+    proposed = index.join(small(lists), "term").select(
+        *KEY, "item", "seg", "fewest", (F.col("pos") - F.col("bit")).alias("base"),
+        F.expr("shiftleft(1L, bit)").alias("mask"))
+    met = (proposed.groupBy(*KEY, "item", "seg", "base", "fewest")
+           .agg(F.bit_or("mask").alias("mask")).filter("bit_count(mask) >= fewest"))
+    return (met.join(small(wanted, 20_000), ["item", "seg"])
+            .filter("mask & need = need AND base + at >= 0")
+            .select(*KEY, (F.col("base") + F.col("at")).alias("start"), "terms", "items"))
 
 
 def matched(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``_row`` (the whole row of ``docs``), ``terms`` and ``hits``, a list of
+    """``_row`` (the whole row of ``docs``), ``n_words`` and ``hits``, a list of
     ``(start, len, items)``, for each document."""
     phrases = written(windows(items.select("item_id", "text"), width), "windows")
     texts = docs.select("doc_id", "text")
     keys = written(rarest_terms(texts, phrases), "keys")
     index = postings(texts, written(keys.select("term").distinct(), "key-terms"))
-    places = intersect(index, keys).join(small(phrases, 20_000), "window")
-    by_doc = places.groupBy(*KEY).agg(
+    by_doc = intersect(index, phrases, keys).groupBy(*KEY).agg(
         F.collect_list(F.struct("start", F.col("terms").alias("want"), "items")).alias("found"))
     rows = docs.select(whole_row(docs).alias("_row"), *row_key(docs["doc_id"], docs["text"]))
     joined = rows.join(by_doc, KEY, "left")
