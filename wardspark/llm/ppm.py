@@ -35,8 +35,8 @@ from wardspark.llm.common import written
 ORDER = 4
 PAD, END = 0xFE, 0xFF
 END_TOKEN = b" "  # no word holds a space
-BLOCK_BYTES = 24 << 20
-SLICE = 1 << 21  # grams handled at once
+BLOCK_BYTES = 12 << 20
+SLICE = 1 << 20  # grams handled at once, and bytes of texts
 DENSE = 1 << 25  # entries of a look-up table; beyond it a sorted search is used
 
 
@@ -45,6 +45,19 @@ def _buffer(texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([pad + t + end for t in texts]), np.uint8)
 
 
+def _chunks(texts: list[bytes]):
+    """Consecutive texts of about ``SLICE`` bytes; a longer text alone."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > SLICE:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def _grams(buffer: np.ndarray):
     """Slices of (start, grams); a gram that ends in padding is -1."""
     size = len(buffer) - ORDER
@@ -66,10 +79,11 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def _gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
-    for _, gram in _grams(_buffer(texts)):
-        found, n = np.unique(gram, return_counts=True)
-        keys.append(found[found >= 0])
-        counts.append(n[found >= 0])
+    for chunk in _chunks(texts):
+        for _, gram in _grams(_buffer(chunk)):
+            found, n = np.unique(gram, return_counts=True)
+            keys.append(found[found >= 0])
+            counts.append(n[found >= 0])
     return _summed(keys, counts)
 
 
@@ -165,45 +179,56 @@ def _branch(pairs: np.ndarray):
     return run
 
 
-def _lengths(buffer: np.ndarray, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of the gram that ends at each place from ``ORDER`` on, 0 where that is padding.
+class Lengths:
+    """Looks up the value of the gram that ends at each place of a buffer.
 
-    ``grams`` are sorted. The look-up walks down a trie of dense tables over the bytes in use.
+    ``grams`` are sorted and hold every gram of the buffers. The look-up walks down a trie of dense
+    tables over the bytes in use.
     """
-    out = np.zeros(max(len(buffer) - ORDER, 0))
-    used = np.zeros(256, bool)
-    used[buffer] = True
-    code = np.cumsum(used) - 1
-    width = int(used.sum())
-    prefixes = [np.unique(grams >> (8 * (ORDER + 1 - k))) for k in range(3, ORDER + 1)]
-    if max([width ** 3, *[len(p) * width for p in prefixes]]) > DENSE:
-        for at, gram in _grams(buffer):
-            real = gram >= 0
-            out[at:at + len(gram)][real] = values[np.searchsorted(grams, gram[real])]
-        return out
 
-    head = prefixes[0]
-    first = np.zeros(width ** 3, np.int32)
-    first[(code[head >> 16] * width + code[(head >> 8) & 255]) * width + code[head & 255]] = (
-        np.arange(len(head)))
-    steps = []
-    for short, longer in zip(prefixes, prefixes[1:]):
-        step = np.zeros(len(short) * width, np.int32)
-        step[np.searchsorted(short, longer >> 8) * width + code[longer & 255]] = (
-            np.arange(len(longer)))
-        steps.append(step)
-    last = np.zeros(len(prefixes[-1]) * width)
-    last[np.searchsorted(prefixes[-1], grams >> 8) * width + code[grams & 255]] = values
-    small = code.astype(np.int32)[buffer]
-    for at in range(0, len(out), SLICE):
-        part = small[at:min(at + SLICE, len(out)) + ORDER]
-        size = len(part) - ORDER
-        state = first[(part[:size] * width + part[1:size + 1]) * width + part[2:size + 2]]
-        for k, step in enumerate(steps):
-            state = step[state * width + part[3 + k:size + 3 + k]]
-        out[at:at + size] = last[state * width + part[ORDER:]]
-    out[buffer[ORDER:] == PAD] = 0
-    return out
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.grams, self.values = grams, values
+        used = np.zeros(256, bool)
+        for k in range(ORDER + 1):
+            used[np.unique((grams >> (8 * k)) & 255)] = True
+        self.code = (np.cumsum(used) - 1).astype(np.int32)
+        self.width = width = int(used.sum())
+        prefixes = [np.unique(grams >> (8 * (ORDER + 1 - k))) for k in range(3, ORDER + 1)]
+        self.dense = max([width ** 3, *[len(p) * width for p in prefixes]]) <= DENSE
+        if not self.dense:
+            return
+        code, head = self.code, prefixes[0]
+        self.first = np.zeros(width ** 3, np.int32)
+        self.first[(code[head >> 16] * width + code[(head >> 8) & 255]) * width
+                   + code[head & 255]] = np.arange(len(head))
+        self.steps = []
+        for short, longer in zip(prefixes, prefixes[1:]):
+            step = np.zeros(len(short) * width, np.int32)
+            step[np.searchsorted(short, longer >> 8) * width + code[longer & 255]] = (
+                np.arange(len(longer)))
+            self.steps.append(step)
+        self.last = np.zeros(len(prefixes[-1]) * width)
+        self.last[np.searchsorted(prefixes[-1], grams >> 8) * width + code[grams & 255]] = values
+
+    def of(self, buffer: np.ndarray) -> np.ndarray:
+        """One value per place from ``ORDER`` on, 0 where that is padding."""
+        out = np.zeros(max(len(buffer) - ORDER, 0))
+        if not self.dense:
+            for at, gram in _grams(buffer):
+                real = gram >= 0
+                out[at:at + len(gram)][real] = self.values[np.searchsorted(self.grams, gram[real])]
+            return out
+        width = self.width
+        for at in range(0, len(out), SLICE):
+            part = self.code[buffer[at:min(at + SLICE, len(out)) + ORDER]]
+            size = len(part) - ORDER
+            state = self.first[(part[:size] * width + part[1:size + 1]) * width
+                               + part[2:size + 2]]
+            for k, step in enumerate(self.steps):
+                state = step[state * width + part[3 + k:size + 3 + k]]
+            out[at:at + size] = self.last[state * width + part[ORDER:]]
+        out[buffer[ORDER:] == PAD] = 0
+        return out
 
 
 def _score_block(keys: list[str]):
@@ -233,11 +258,13 @@ def _score_block(keys: list[str]):
         order = np.argsort(key)
         raw = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
         raw = raw.to_pylist()
-        buffer = _buffer(raw)
-        lengths = _lengths(buffer, key[order], grams.column("value").to_numpy()[order])
-        starts = np.cumsum([0] + [len(t) + ORDER + 1 for t in raw[:-1]])
-        # a text's first gram ends ORDER places after its padding starts
-        scores = np.add.reduceat(lengths, starts)
+        lengths = Lengths(key[order], grams.column("value").to_numpy()[order])
+        scores = []
+        for chunk in _chunks(raw):
+            # a text's first gram ends ORDER places after its padding starts
+            starts = np.cumsum([0] + [len(t) + ORDER + 1 for t in chunk[:-1]])
+            scores.append(np.add.reduceat(lengths.of(_buffer(chunk)), starts))
+        scores = np.concatenate(scores)
         return pa.table({k: docs.column(k) for k in keys} | {
             "n_tokens": pa.array((sizes + 1).astype(np.int64)),
             "n_known": pa.array(n_known.astype(np.int64)),
