@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from wardspark.llm.common import whole_row
 
 # Pieces that a task remembers; then it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 # Longer pieces (in characters) are not remembered.
 LONG = 64
 UNEVEN = re.compile(r" \s|\s ")
@@ -58,8 +59,10 @@ class Vocabulary:
         space = pattern.replace(r"[^\s", r"[^\p{White_Space}")
         self.pattern = regex.compile(space.replace(r"\s", r"\p{White_Space}")
                                      .replace(r"\S", r"\P{White_Space}"))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._prefixes: dict[bytes, int] = {}
         self._pieces: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
@@ -80,34 +83,76 @@ class Vocabulary:
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) > 4 * REMEMBERED:
-                self._pairs.clear()
-            joined = self.bytes_of[left] + self.bytes_of[right]
-            known = self._pairs[left, right] = self.merged(joined) == [left, right]
+        if len(self._pairs) > 4 * REMEMBERED:
+            self._pairs.clear()
+        joined = self.bytes_of[left] + self.bytes_of[right]
+        known = self._pairs[left << 32 | right] = self.merged(joined) == [left, right]
         return known
 
+    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
+        """The token that ends the sequence of the first ``end`` bytes; ``last`` has those of all
+        shorter prefixes."""
+        rank, pairs = self.ranks.get, self._pairs.get
+        for start in range(max(0, end - self.longest), end):
+            token = rank(data[start:end])
+            if token is not None:
+                if not start:
+                    return token
+                allowed = pairs(last[start - 1] << 32 | token)
+                if allowed is None:
+                    allowed = self.may_follow(last[start - 1], token)
+                if allowed:
+                    return token
+        raise ValueError(f"byte {data[end - 1]} isn't in the vocabulary")
+
+    def read_back(self, last: list[int]) -> list[int]:
+        out, end = [], len(last)
+        while end:
+            out.append(last[end - 1])
+            end -= len(self.bytes_of[out[-1]])
+        return out[::-1]
+
     def piece(self, text: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of a text cut by the pattern."""
+        """Ids, as little-endian 32-bit integers, of one match of the pattern. Pieces that begin
+        alike share the tokens of their prefixes."""
         found = self._pieces.get(text)
-        if found is None:
+        if found is not None:
+            return found
+        data = text.encode()
+        rank = self.ranks.get(data)
+        if rank is not None:
+            ids = [rank]
+        elif len(data) > LONG:
+            ids = Prefixes(self, data).ids()
+        else:
+            known, last = self._prefixes, []
+            for end in range(1, len(data) + 1):
+                token = known.get(data[:end])
+                if token is None:
+                    token = known[data[:end]] = self.last_token(data, end, last)
+                last.append(token)
+            ids = self.read_back(last)
+            if len(known) > 2 * REMEMBERED:
+                known.clear()
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= LONG:
             if len(self._pieces) > REMEMBERED:
                 self._pieces.clear()
-            ids: list[int] = []
-            for match in self.pattern.finditer(text):
-                data = match.group().encode()
-                rank = self.ranks.get(data)
-                ids += [rank] if rank is not None else Prefixes(self, data).ids()
-            found = np.array(ids, "<u4").tobytes()
-            if len(text) <= LONG:
-                self._pieces[text] = found
+            self._pieces[text] = found
+        return found
+
+    def part(self, text: str) -> bytes:
+        found = b"".join(map(self.piece, self.pattern.findall(text)))
+        if len(text) <= LONG:
+            if len(self._parts) > REMEMBERED:
+                self._parts.clear()
+            self._parts[text] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers; its parts are remembered."""
-        known = self._pieces
-        return b"".join([known.get(p) or self.piece(p) for p in parts(text)])
+        known = self._parts.get
+        return b"".join([known(p) or self.part(p) for p in parts(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -121,20 +166,11 @@ class Prefixes:
         self.last: list[int] = []
         self.append(data)
 
-    def _last(self, end: int) -> int:
-        """The token that ends the sequence of the first ``end`` bytes."""
-        v = self.vocabulary
-        for start in range(max(0, end - v.longest), end):
-            token = v.ranks.get(self.data[start:end])
-            if token is not None and (start == 0 or v.may_follow(self.last[start - 1], token)):
-                return token
-        raise ValueError(f"byte {self.data[end - 1]} isn't in the vocabulary")
-
     def append(self, data: bytes) -> None:
         begin = len(self.data)
         self.data += data
         for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+            self.last.append(self.vocabulary.last_token(self.data, end, self.last))
 
     def edit(self, start: int, stop: int, data: bytes) -> int:
         """Replaces the bytes from start to stop; gives the number of places computed anew."""
@@ -144,7 +180,7 @@ class Prefixes:
         done = start + len(data)
         same = 0
         for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+            self.last.append(self.vocabulary.last_token(self.data, end, self.last))
             if end > done:
                 same = same + 1 if self.last[-1] == old[end - done - 1] else 0
             if same >= self.vocabulary.longest:
@@ -153,11 +189,7 @@ class Prefixes:
         return len(self.data) - start
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end - 1])
-            end -= len(self.vocabulary.bytes_of[out[-1]])
-        return out[::-1]
+        return self.vocabulary.read_back(self.last)
 
 
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}

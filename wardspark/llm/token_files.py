@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardspark.llm.bpe import LONG, REMEMBERED, parts
+from wardspark.llm.bpe import LONG, parts
+from wardspark.llm.common import small, written
 
 OPTIONS = {
     "orc.compress": "ZSTD",
@@ -32,13 +33,20 @@ OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
+# Parts that a task remembers; then it forgets all and goes on.
+REMEMBERED = 600_000
 FIELDS = "part int, offset bigint, n_tokens bigint, ids array<int>"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A tokenizer file, and the ids of the short parts of texts met so far."""
+    """A tokenizer file, and the ids of the short parts of texts met so far.
+
+    New parts that start with a space are encoded many at once, one behind the other: the
+    pre-tokenizer cuts before each, so no token spans two, and their ends are found again by the number
+    of bytes of each token.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,17 +54,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        # a byte-level vocabulary writes each byte as one character
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)
+
+    def _learn(self, new: list[str]) -> None:
+        joined = [p for p in new if len(p) > 1 and p[0] == " " and not p[-1].isspace()]
+        for at in range(0, len(joined), 20_000):
+            chunk = joined[at:at + 20_000]
+            lines = ["".join(chunk[i:i + 200]) for i in range(0, len(chunk), 200)]
+            ids = np.concatenate([np.array(found.ids, "<i4") for found in (
+                self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]),
+                                   np.cumsum([len(p.encode()) for p in chunk])) + 1
+            data, start = ids.tobytes(), 0
+            for part, end in zip(chunk, (4 * ends).tolist()):
+                self.known[part] = data[start:end]
+                start = end
+        single = [p for p in new if not (len(p) > 1 and p[0] == " " and not p[-1].isspace())]
+        for part, found in zip(single, self.tokenizer.encode_batch_fast(
+                single, add_special_tokens=False)):
+            self.known[part] = np.array(found.ids, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         parted = [parts(text) for text in texts]
-        new = list({p for found in parted for p in found if p not in self.known})
-        for at in range(0, len(new), 20_000):
-            chunk = new[at:at + 20_000]
-            for part, found in zip(chunk, self.tokenizer.encode_batch_fast(
-                    chunk, add_special_tokens=False)):
-                self.known[part] = np.array(found.ids, "<i4").tobytes()
+        new = list(set().union(*parted).difference(self.known))
+        self._learn(new)
         out = [b"".join([self.known[p] for p in found]) for found in parted]
         for part in new:
             if len(part) > LONG:
@@ -105,11 +132,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids``, ``start`` being the ids of all documents before."""
     rows = spark.read.orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("own"))
+    totals = written(rows.groupBy("part").agg(F.sum("n_tokens").alias("own")), "totals")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file
     starts = totals.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
-    return rows.join(starts, "part").select(
+    return rows.join(small(starts), "part").select(
         "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
