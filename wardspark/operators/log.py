@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
 from wardspark.operators.ranking import running_total
+from wardspark.session import moment
 
 # Pages that end beyond this row are cut out by rank instead of by a top-n in one task.
 TOP_ROWS = 10_000
@@ -20,10 +21,10 @@ def _between(df: DataFrame, timestamp: str, start, end) -> DataFrame:
     for bound, after in ((start, True), (end, False)):
         if bound is None:
             continue
-        column, day = F.col(timestamp), F.lit(bound).cast("timestamp")
+        column, day = F.col(timestamp), moment(bound)
         df = df.filter(column >= day if after else column <= day)
         if "dt" in df.columns:
-            limit = F.lit(bound).cast("timestamp").cast("date")
+            limit = moment(bound).cast("date")
             df = df.filter(F.col("dt") >= limit if after else F.col("dt") <= limit)
     return df
 
@@ -70,8 +71,8 @@ def get_evaluation(log: DataFrame, evaluation_id: str) -> DataFrame:
 
 def search_evaluations(log: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Newest evaluations whose prompt or response holds ``query``, ignoring case; ``%``
-    and ``_`` in it are wildcards."""
-    like = f"%{query}%"
+    and ``_`` in it are wildcards, a backslash is itself."""
+    like = "%" + query.replace("\\", "\\\\") + "%"
     hit = F.col("prompt").ilike(like) | F.col("response").ilike(like)
     return page(log.filter(hit), [F.col("timestamp").desc(), F.col("evaluation_id")], limit)
 
@@ -99,7 +100,7 @@ def history_view(log: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame
 
 def retention(df: DataFrame, now: datetime, days: int, timestamp: str = "timestamp"):
     """Rows kept and rows expired, as two DataFrames."""
-    cutoff = F.lit(now - timedelta(days=days))
+    cutoff = moment(now - timedelta(days=days))
     expired = F.col(timestamp) < cutoff
     return df.filter(~F.coalesce(expired, F.lit(False))), df.filter(expired)
 

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.operators.log import filtered, page
-from wardspark.operators.ranking import quantiles
-
-HISTORY = 10_000  # newest evaluations the live summary looks at
+from wardspark.operators.ranking import nearest_ranks, quantiles
+from wardspark.session import moment
 
 
 def flag_type(flag: Column, size: int) -> Column:
@@ -84,28 +83,31 @@ def aggregate_hourly(log: DataFrame) -> DataFrame:
 
 
 def period_metrics(log: DataFrame, period: str = "day") -> DataFrame:
-    """Remaining averages and latency percentiles per period."""
-    p = F.percentile_approx("latency_ms", [0.95, 0.99], 10_000)
+    """Remaining averages and exact latency percentiles (nearest rank) per period."""
     scores = F.col("scores")
-    out = log.groupBy(F.date_trunc(period, "timestamp").alias("period_start")).agg(
-        F.avg(scores["hallucination_risk"]).alias("avg_hallucination"),
-        F.avg(scores["pii_risk"]).alias("avg_pii_risk"), p.alias("p"))
-    return out.select("period_start", "avg_hallucination", "avg_pii_risk",
-                      F.col("p")[0].alias("p95_latency_ms"), F.col("p")[1].alias("p99_latency_ms"))
+    start = F.date_trunc(period, "timestamp").alias("period_start")
+    out = log.groupBy(start).agg(F.avg(scores["hallucination_risk"]).alias("avg_hallucination"),
+                                 F.avg(scores["pii_risk"]).alias("avg_pii_risk"))
+    ranks = nearest_ranks(log.select(start, "latency_ms"), "period_start", "latency_ms",
+                          {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99})
+    ranks = ranks.withColumnRenamed("period_start", "_start")
+    return out.join(ranks, out["period_start"].eqNullSafe(ranks["_start"]), "left").drop("_start")
 
 
 def dashboard_series(summaries: DataFrame, now: datetime, hours: int = 24) -> DataFrame:
     """Hourly rows of the last ``hours``, oldest first."""
     return (summaries.filter((F.col("period_type") == "hourly")
-                             & (F.col("period_start") >= F.lit(now - timedelta(hours=hours))))
+                             & (F.col("period_start") >= moment(now - timedelta(hours=hours))))
             .orderBy("period_start")
             .select("period_start", "total_evaluations", "passed_count", "failed_count",
                     F.col("avg_latency_ms").alias("avg_latency")))
 
 
-def newest(log: DataFrame, size: int = HISTORY) -> DataFrame:
-    """The newest evaluations, without their texts."""
+def newest(log: DataFrame, size: int | None = None) -> DataFrame:
+    """The newest ``size`` evaluations, or all of them, without their texts."""
     slim = log.select("evaluation_id", "timestamp", "passed", "latency_ms", "scores", "flags")
+    if size is None:
+        return slim
     return page(slim, [F.col("timestamp").desc(), F.col("evaluation_id").desc()], size)
 
 
@@ -123,8 +125,8 @@ def _rates(totals: DataFrame) -> DataFrame:
     ).drop("latency", "first", "last")
 
 
-def metrics_summary(log: DataFrame, size: int = HISTORY) -> DataFrame:
-    """Counts, latency and rate over the newest evaluations."""
+def metrics_summary(log: DataFrame, size: int | None = None) -> DataFrame:
+    """Counts, latency and rate over the whole log, or its newest ``size`` evaluations."""
     return _rates(newest(log, size).agg(
         F.count("*").alias("total_evaluations"), F.count_if("passed").alias("passed_count"),
         F.count_if(~F.col("passed")).alias("failed_count"),
@@ -162,8 +164,9 @@ def _plain(value: Column, decimals: int) -> Column:
     return F.replace(F.format_number(value, decimals), F.lit(","), F.lit(""))
 
 
-def prometheus_rows(log: DataFrame, size: int = HISTORY) -> DataFrame:
-    """Rows of metric name, type and value text, from one scan for the newest evaluations.
+def prometheus_rows(log: DataFrame, size: int | None = None) -> DataFrame:
+    """Rows of metric name, type and value text, from one scan of the whole log, or its newest
+    ``size`` evaluations.
 
     Each evaluation is spread over its scores and counted on the first of them.
     """

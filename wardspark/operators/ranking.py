@@ -71,3 +71,16 @@ def quantiles(df: DataFrame, by: str, value: str, points: dict[str, float],
         return low + (high - low) * (at[name] - F.floor(at[name]))
 
     return found.select(by, total, *[between(name).alias(name) for name in points])
+
+
+def nearest_ranks(df: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
+    """Exact quantiles of ``value`` per ``by`` without interpolation, one column per point: the
+    smallest value that at least this share of the rows doesn't exceed."""
+    counted = (df.filter(F.col(value).isNotNull()).groupBy(by, value)
+               .agg(F.count("*").alias("_n")))
+    ranked = running_total(counted, [by], [F.col(value)], "_upto", F.col("_n"))
+    sizes = ranked.groupBy(F.col(by).alias("_by")).agg(F.max("_upto").alias("_size"))
+    placed = ranked.join(sizes, ranked[by].eqNullSafe(sizes["_by"]))
+    return placed.groupBy(by).agg(*[
+        F.min(F.when(F.col("_upto") >= F.ceil(F.col("_size") * F.lit(q)), F.col(value))).alias(name)
+        for name, q in points.items()])

@@ -46,8 +46,9 @@ def dedup_evaluate(df: DataFrame, config: EvalConfig = EvalConfig(), rule_list=(
     the digests; a hot pair there is split by the adaptive skew join.
     """
     keys = ["prompt_hash", "response_hash"]
-    hashed = df.withColumns({"prompt_hash": hashing.text_hash(F.col(names.prompt)),
-                             "response_hash": hashing.text_hash(F.col(names.response))})
+    # a null text has an empty digest, so its row finds its result too
+    hashed = df.withColumns({key: F.coalesce(hashing.text_hash(F.col(text)), F.lit(""))
+                             for key, text in zip(keys, (names.prompt, names.response))})
     texts = [c for c in df.columns if c != names.id and c != names.context]
     distinct = hashed.select(*keys, *texts).dropDuplicates(keys)
     # the shared id comes from the pair alone

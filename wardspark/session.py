@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_BYTES = 512 << 20
@@ -57,7 +59,7 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(named)
     if named or current:
         return named or current
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="wardspark-"))
     return context.getCheckpointDir()
@@ -83,6 +85,13 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def moment(value) -> Column:
+    """A timestamp literal; a time without zone is one of the session's zone, whatever the zone
+    of the driver."""
+    text = value.isoformat(sep=" ") if isinstance(value, datetime) else value
+    return F.lit(text).cast("timestamp")
+
+
 def compute_once(df: DataFrame, keep: list[str], computed: list[str]) -> DataFrame:
     """``keep`` and ``computed``, the latter behind a generator of one row.
 

@@ -95,8 +95,24 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_periods(summaries: DataFrame, path: str) -> None:
-    """Writes summary rows, replacing whole days that were there before."""
-    (summaries.withColumn("dt", F.to_date("period_start")).hint("rebalance", "dt")
+    """Writes summary rows, replacing those of the same periods that were there before.
+
+    Files are replaced by day; the other periods of a touched day are carried over, by way of the
+    shared folder, since a day can't be read while it is replaced.
+    """
+    from wardspark.session import cut_lineage
+
+    rows = summaries.withColumn("dt", F.to_date("period_start"))
+    spark = summaries.sparkSession
+    if _exists(spark, path):
+        rows = cut_lineage(rows)
+        days = rows.select("period_type", "dt").distinct()
+        rest = (spark.read.schema(rows.schema).parquet(path)
+                .join(days, ["period_type", "dt"], "left_semi")
+                .join(rows.select("period_type", "period_start"), ["period_type", "period_start"],
+                      "left_anti"))
+        rows = cut_lineage(rows.unionByName(rest))
+    (rows.hint("rebalance", "dt")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("period_type", "dt").parquet(path))
 
@@ -108,11 +124,11 @@ def expire_days(spark: SparkSession, path: str, now, days: int) -> int:
     cutoff falls on is rewritten.
     """
     from wardspark.operators.log import retention
-    from wardspark.session import cut_lineage
+    from wardspark.session import cut_lineage, moment
 
     table = spark.read.parquet(path)
     kept, expired = retention(table, now, days)
-    cutoff_day = F.to_date(F.lit(now) - F.expr(f"interval {int(days)} days"))
+    cutoff_day = F.to_date(moment(now) - F.expr(f"interval {int(days)} days"))
     gone = expired.filter(F.col("dt") <= cutoff_day)
     per_day = {r["dt"]: r["n"] for r in gone.groupBy("dt").agg(F.count("*").alias("n")).collect()}
     if not per_day:
@@ -132,6 +148,11 @@ def expire_days(spark: SparkSession, path: str, now, days: int) -> int:
     return sum(per_day.values())
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def _delete_day(spark: SparkSession, path: str, day) -> None:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/dt={day}")
