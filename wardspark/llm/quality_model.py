@@ -27,7 +27,7 @@ BITS = 15
 DIM = 16
 GRAMS = (3, 4, 5)
 # About so many rows of each label are fitted; all others are only scored.
-SAMPLE_PER_LABEL = 1000
+SAMPLE_PER_LABEL = 500
 EPOCHS = 8
 RATE = 0.5
 
@@ -44,7 +44,7 @@ def _counted(text: object) -> tuple[np.ndarray, np.ndarray]:
     for part in buckets(text):
         total += np.bincount(part, minlength=1 << BITS)
     found = np.flatnonzero(total)
-    return found.astype(np.int32), total[found].astype(np.float32)
+    return found.astype(np.int16), total[found].astype(np.float32)
 
 
 @dataclass
@@ -101,7 +101,7 @@ def train(docs: DataFrame, label: str, per_label: int = SAMPLE_PER_LABEL) -> Mod
                                 "n": [n for _, n in found]})
 
     sample = labelled_sample(labelled.filter("text != ''"), "y", per_label, F.col("doc_id"))
-    fitted = (sample.select("text", "y").mapInPandas(run, "y int, at array<int>, n array<float>")
+    fitted = (sample.select("text", "y").mapInPandas(run, "y int, at array<smallint>, n array<float>")
               .toPandas())
     order = np.argsort([(int(np.sum(a)), len(a)) for a in fitted["at"]], axis=0)[:, 0]
     fitted = fitted.iloc[order]  # independent of the order in which tasks end
