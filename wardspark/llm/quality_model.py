@@ -85,10 +85,16 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return vectors, layer, bias
 
 
-def train(docs: DataFrame, label: str, per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """Fits a sample of the rows of ``docs`` (``doc_id, text`` and the label, 0 or 1)."""
-    labelled = docs.select("doc_id", "text", F.col(label).cast("int").alias("y")).filter(
-        "y IN (0, 1)")
+def train(docs: DataFrame, label: str, per_label: int = SAMPLE_PER_LABEL,
+          labels: DataFrame | None = None) -> Model:
+    """Fits a sample of the rows of ``docs`` (``doc_id, text``) by a label of 0 or 1, from ``labels``
+    (``doc_id`` and the label) or ``docs`` itself.
+
+    The labels are sampled first; only the ids of the sample, about ``per_label`` of each, are
+    broadcast to the texts, which aren't shuffled.
+    """
+    labelled = (docs if labels is None else labels).select(
+        "doc_id", F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
     sizes = dict(labelled.groupBy("y").count().collect())
     if len(sizes) < 2:
         share = 0.5 if not sizes else float(next(iter(sizes)))
@@ -100,7 +106,8 @@ def train(docs: DataFrame, label: str, per_label: int = SAMPLE_PER_LABEL) -> Mod
             yield pd.DataFrame({"y": batch["y"], "at": [a for a, _ in found],
                                 "n": [n for _, n in found]})
 
-    sample = labelled_sample(labelled.filter("text != ''"), "y", per_label, F.col("doc_id"))
+    chosen = F.broadcast(labelled_sample(labelled, "y", per_label, F.col("doc_id")))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").filter("text != ''")
     fitted = (sample.select("text", "y").mapInPandas(run, "y int, at array<smallint>, n array<float>")
               .toPandas())
     order = np.argsort([(int(np.sum(a)), len(a)) for a in fitted["at"]], axis=0)[:, 0]

@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op1_quality_classifier(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    learned = docs.filter(fold(F.col("doc_id"), 5) != 0).join(labels, "doc_id")
-    scored = quality_model.score(docs, quality_model.train(learned, "quality"))
+    learned = labels.filter(fold(F.col("doc_id"), 5) != 0)
+    scored = quality_model.score(docs, quality_model.train(docs, "quality", labels=learned))
     return scored.select(
         F.col("_row.doc_id").alias("doc_id"),
         (fold(F.col("_row.doc_id"), 5) == 0).alias("held_out"), "score",
