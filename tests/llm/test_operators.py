@@ -222,3 +222,17 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_words_set_aside_and_marks(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    judge, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    judge.encode_special_tokens = True
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    rng = np.random.default_rng(8)
+    signs = list("ab é́.,'s \n  \t²1日<|> ") + ["<|endoftext|>", "z" * 70 + "."]
+    for _ in range(60):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(20)]
+        assert own.encode(texts) == [
+            np.array(judge.encode(x, add_special_tokens=False).ids, "<i4").tobytes() for x in texts]

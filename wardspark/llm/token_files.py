@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardspark.llm.bpe import LONG, parts
+from wardspark.llm.bpe import LONG, UNEVEN, parts
 from wardspark.llm.common import small, written
 
 OPTIONS = {
@@ -33,7 +33,7 @@ OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-# Parts that a task remembers; then it forgets all and goes on.
+# When a task remembers so many words, it sets them aside, and forgets those set aside before.
 REMEMBERED = 600_000
 FIELDS = "part int, offset bigint, n_tokens bigint, ids array<int>"
 
@@ -41,11 +41,12 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A tokenizer file, and the ids of the short parts of texts met so far.
+    """A tokenizer file, and the ids of the words met so far.
 
-    New parts that start with a space are encoded many at once, one behind the other: the
-    pre-tokenizer cuts before each, so no token spans two, and their ends are found again by the number
-    of bytes of each token.
+    A word is what follows a single space and belongs to its text's next part with it (``bpe.parts``).
+    New words are encoded many at once, one behind the other: the pre-tokenizer cuts before each
+    space, so no token spans two, and their ends are found again by the number of bytes of each
+    token. It also cuts between a letter and a full stop or comma, which end many words.
     """
 
     def __init__(self, path: str):
@@ -54,43 +55,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._alone([".", ","])))
         # a byte-level vocabulary writes each byte as one character
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.sizes[number] = len(token)
 
-    def _learn(self, new: list[str]) -> None:
-        joined = [p for p in new if len(p) > 1 and p[0] == " " and not p[-1].isspace()]
-        for at in range(0, len(joined), 20_000):
-            chunk = joined[at:at + 20_000]
-            lines = ["".join(chunk[i:i + 200]) for i in range(0, len(chunk), 200)]
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<i4").tobytes() for found in (
+            self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
+
+    def _joined(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            chunk = words[at:at + 20_000]
+            lines = [" " + " ".join(chunk[i:i + 200]) for i in range(0, len(chunk), 200)]
             ids = np.concatenate([np.array(found.ids, "<i4") for found in (
                 self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))])
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]),
-                                   np.cumsum([len(p.encode()) for p in chunk])) + 1
+            sizes = np.array([len(w.encode()) + 1 for w in chunk])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1
             data, start = ids.tobytes(), 0
-            for part, end in zip(chunk, (4 * ends).tolist()):
-                self.known[part] = data[start:end]
+            for word, end in zip(chunk, (4 * ends).tolist()):
+                self.known[word] = data[start:end]
                 start = end
-        single = [p for p in new if not (len(p) > 1 and p[0] == " " and not p[-1].isspace())]
-        for part, found in zip(single, self.tokenizer.encode_batch_fast(
-                single, add_special_tokens=False)):
-            self.known[part] = np.array(found.ids, "<i4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        recalled = self.aside.keys() & new
+        self.known.update((w, self.aside[w]) for w in recalled)
+        new = new - recalled
+        marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        plain = new.difference(marked).union([w[:-1] for w in marked]).difference(self.known)
+        single = [w for w in plain if not w or w[-1].isspace()]
+        self._joined(list(plain.difference(single)))
+        self.known.update(zip(single, self._alone([" " + w for w in single])))
+        for word in marked:
+            self.known[word] = self.known[word[:-1]] + self.marks[word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parted = [parts(text) for text in texts]
-        new = list(set().union(*parted).difference(self.known))
+            self.known, self.aside = {}, self.known
+        parted = [split_words(text) for text in texts]
+        heads = self._alone([words.pop(0) for words in parted])
+        new = set().union(*parted).difference(self.known)
         self._learn(new)
-        out = [b"".join([self.known[p] for p in found]) for found in parted]
-        for part in new:
-            if len(part) > LONG:
-                del self.known[part]
+        ids_of = self.known.__getitem__
+        out = [head + b"".join(map(ids_of, words)) for head, words in zip(heads, parted)]
+        for word in new:
+            if len(word) > LONG:
+                self.known.pop(word, None)
+                self.known.pop(word[:-1], None)
         return out
 
 
+def split_words(text: str) -> list[str]:
+    """``bpe.parts`` of a text, the space in front of all but the first taken off."""
+    if not UNEVEN.search(text):
+        return text.split(" ")
+    first, *rest = parts(text)
+    return [first, *[part[1:] for part in rest]]
+
+
 def _encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
