@@ -224,7 +224,7 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
-def test_words_set_aside_and_marks(monkeypatch):
+def test_token_encoder_that_forgets(monkeypatch):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
     judge, own = Tokenizer.from_file(path), token_files.Encoder(path)
