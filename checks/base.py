@@ -10,7 +10,6 @@ from checks.planting import (PROMPT_PHRASES, RESPONSE_PHRASES, planted, planted_
 from wardspark.config import EvalConfig
 from wardspark.operators.rules import Rule
 from wardspark.plans.evaluate import evaluate
-from wardspark.session import spread_small
 from wardspark.sources.pairs import pairs_from_conversations
 
 RULES = [
@@ -31,9 +30,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores: the test tables are single files, and scoring is bound by CPU."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, text``: documents with planted phrases of both kinds."""
-    documents = spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = dealt(table(spark, sf, "documents").select("doc_id", "text"))
     return documents.select("doc_id", planted(
         F.col("text"), F.col("doc_id"), PROMPT_PHRASES + RESPONSE_PHRASES).alias("text"))
 
@@ -45,7 +49,7 @@ TEXTS = ("texts AS (SELECT doc_id, "
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """``id, conv_id, turn, prompt, response, toxicity_scores``: planted pairs."""
-    found = pairs_from_conversations(spread_small(table(spark, sf, "conversations")))
+    found = dealt(pairs_from_conversations(table(spark, sf, "conversations")))
     key = F.col("conv_id") * 7 + F.col("turn")
     first = (F.col("conv_id") * 31 + F.col("turn") * 17) % 100
     second = (F.col("conv_id") * 13 + F.col("turn") * 7) % 90

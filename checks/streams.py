@@ -95,9 +95,12 @@ def _(spark, sf):
   count(*) FILTER (len(flags) = 0) AS passed, count(*) FILTER (len(flags) > 0) AS failed
 FROM evaluated GROUP BY conv_id""")
 def _(spark, sf):
+    """Each batch is dealt over several micro-batches."""
     path, checkpoint = scratch_path(spark, "events"), scratch_path(spark, "stream-checkpoint")
     rows = B.evaluated(spark, sf).select("conv_id", "passed")
-    jobs.batch_completed(_as_stream(spark, rows), "conv_id", path, checkpoint).awaitTermination()
+    sized = rows.join(rows.groupBy("conv_id").agg(F.count("*").alias("size")), "conv_id")
+    stream = _as_stream(spark, sized.repartition(4), 1)
+    jobs.batch_completed(stream, "conv_id", "size", path, checkpoint).awaitTermination()
     return spark.read.parquet(path).drop("micro_batch")
 
 

@@ -109,7 +109,21 @@ def test_model_errors_stay_with_their_row(spark):
 def test_embedder_hook(spark):
     encode = alignment.embedder(lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
     df = spark.createDataFrame([("abc",), (None,)], "t string").coalesce(1)
-    assert [r[0] for r in df.select(encode(F.col("t"))).collect()] == [[3.0, 1.0], [0.0, 1.0]]
+    found = df.select(encode(F.col("t")).alias("e")).select("e.*").collect()
+    assert [(r.vector, r.error) for r in found] == [([3.0, 1.0], None), ([0.0, 1.0], None)]
+
+
+def test_a_failing_embedding_stays_with_its_row(spark):
+    def load():
+        def encode(texts):
+            if "bad" in texts:
+                raise ValueError("no vector")
+            return [[1.0] for _ in texts]
+        return encode
+
+    df = spark.createDataFrame([("a",), ("bad",), ("b",)], "t string").coalesce(1)
+    found = df.select(alignment.embedder(load)(F.col("t")).alias("e")).select("e.*").collect()
+    assert [(r.vector, r.error) for r in found] == [([1.0], None), (None, "no vector"), ([1.0], None)]
 
 
 def test_score_details(spark):

@@ -1,6 +1,7 @@
 """Files in and out."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ def test_row_numbers_across_files(spark):
     assert sorted(r.id for r in rows) == list(range(1000))
 
 
+def test_row_numbers_follow_paths_and_lines(spark, tmp_path):
+    sizes = {"a.csv": 3, "b.csv": 50, "c.csv": 10, "d.csv": 0}
+    wanted = []
+    for name, rows in sizes.items():
+        lines = [f"{name}-{i}" for i in range(rows)]
+        (tmp_path / name).write_text("prompt,response\n" + "".join(f"{x},r\n" for x in lines))
+        wanted += lines
+    for multi_line in (True, False):
+        rows = pairs.read_pairs_csv(spark, str(tmp_path), multi_line=multi_line).orderBy("id").collect()
+        assert [r.prompt for r in rows] == wanted and [r.id for r in rows] == list(range(63))
+
+
 def test_json_pairs_get_the_same_id_every_time(spark, tmp_path):
     path = tmp_path / "pairs.json"
     path.write_text('{"prompt": "p", "response": "r"}\n{"id": "x", "prompt": "p", "response": "r", '
@@ -46,6 +59,20 @@ def test_conversations(spark):
     assert got == {("1-1", "q1", "a1"), ("2-1", "q4", "a4")}
 
 
+def test_conversations_with_gaps(spark):
+    rng = random.Random(4)
+    numbers = sorted({rng.randrange(-9, 9) * 65536 ** rng.randrange(4) + rng.randrange(3)
+                      for _ in range(150)})
+    rows = [(c, n, rng.choice(["user", "assistant"]), f"{c} {n}") for c in (1, 2) for n in numbers]
+    wanted = {(a[3], b[3]) for a, b in zip(rows, rows[1:])
+              if a[0] == b[0] and (a[2], b[2]) == ("user", "assistant")}
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows + [(None, 1, "user", "x"), (1, None, "assistant", "y")],
+                                  "conv_id long, turn long, role string, text string")
+    got = [(r.prompt, r.response) for r in pairs.pairs_from_conversations(turns).collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+
+
 def test_result_files(spark, tmp_path):
     data = spark.createDataFrame([("1", " p ", "a@b.co"), ("2", "p", "fine")],
                                  "id string, prompt string, response string")

@@ -13,6 +13,7 @@ import operator
 import re
 from functools import reduce
 from itertools import groupby, takewhile
+from os.path import commonprefix
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -189,9 +190,11 @@ class Words:
 def _merged(words: list[str]) -> str:
     """Pattern of sorted distinct words that tries the longest first."""
     out = []
-    for first, group in groupby((w for w in words if w), key=lambda w: w[0]):
-        rest = [w[1:] for w in group]
-        symbol = first if first.isalnum() else f"\\{first}"
+    for _, group in groupby((w for w in words if w), key=lambda w: w[0]):
+        group = list(group)
+        shared = commonprefix(group)  # so that the recursion is no deeper than words are nested
+        rest = [w[len(shared):] for w in group]
+        symbol = "".join(c if c.isalnum() else f"\\{c}" for c in shared)
         tail = _merged(rest)
         if tail and "" in rest:
             tail = f"(?:{tail})?"

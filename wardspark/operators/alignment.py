@@ -49,13 +49,34 @@ def alignment_detail(df: DataFrame, value: str, prompt: str, response: str) -> D
 
 
 def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]):
-    """Column function for a sentence encoder; ``load`` runs once per task."""
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Column function for a sentence encoder; ``load`` runs once per task.
+
+    The result is ``STRUCT<vector, error>``: a text the model fails on has an error and no vector,
+    and the others of its batch have theirs.
+    """
+    @F.pandas_udf("vector array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encode = load()
+
+        def vectors(texts):
+            found = [[float(x) for x in v] for v in encode(texts)]
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+            return found
+
+        def one(text):
+            try:
+                return vectors([text])[0], None
+            except Exception as problem:  # noqa: BLE001 - reported per row
+                return None, str(problem)
+
         for values in batches:
             texts = ["" if v is None else v for v in values]
-            yield pd.Series([[float(x) for x in v] for v in encode(texts)], index=values.index)
+            try:
+                rows = [(v, None) for v in vectors(texts)]
+            except Exception:  # noqa: BLE001 - find the failing rows one by one
+                rows = [one(t) for t in texts]
+            yield pd.DataFrame(rows, columns=["vector", "error"], index=values.index)
 
     return run
 

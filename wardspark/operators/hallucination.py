@@ -13,6 +13,8 @@ SIGNALS = ["uncertainty", "overconfidence", "fabrication", "contradiction", "wor
 
 # Words without which a contradiction pattern cannot match.
 _CONTRADICTION_NEEDS = [["is", "not"], ["always", "never"], ["all", "no"]]
+# The second one asks for both words on a line, in any order; so put, it takes linear time.
+_SAME_LINE = r"(?dm)^(?=[^\n]*always)[^\n]*never"
 
 
 def signals(text: Column, low: Column | None = None) -> dict[str, Column]:
@@ -26,7 +28,8 @@ def signals(text: Column, low: Column | None = None) -> dict[str, Column]:
     contradictions = []
     for pattern, needs in zip(P.CONTRADICTIONS, _CONTRADICTION_NEEDS):
         first, second = (low.contains(w) for w in needs)
-        contradictions.append(first & second & low.rlike(T.spark_regex(pattern)))
+        exact = _SAME_LINE if needs == ["always", "never"] else T.spark_regex(pattern)
+        contradictions.append(first & second & low.rlike(exact))
     out["contradiction"] = T.total(contradictions)
     out = {name: F.coalesce(c, F.lit(0)) for name, c in out.items()}
     out["words"] = T.word_count(text)

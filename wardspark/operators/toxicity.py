@@ -83,7 +83,7 @@ def train_stand_in(labelled: DataFrame, text: str, label: str,
         Tokenizer(inputCol="text", outputCol="words"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
         IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(maxIter=10, regParam=0.1),
+        LogisticRegression(maxIter=10_000, regParam=0.1),  # ends by its tolerance
     ]).fit(data)
 
 

@@ -72,10 +72,11 @@ def batch_fail_fast(df: DataFrame, batch: str, position: str) -> DataFrame:
             .drop("_first"))
 
 
-def batch_summary(df: DataFrame, batch: str, error: str | None = None) -> DataFrame:
-    """Totals per batch; a row with an error counts as error only."""
+def batch_summary(df: DataFrame, batch: str, error: str | None = None, also=()) -> DataFrame:
+    """Totals per batch; a row with an error counts as error only. ``also`` are columns that a
+    batch has one value of."""
     bad = F.col(error).isNotNull() if error else F.lit(False)
-    return df.groupBy(batch).agg(
+    return df.groupBy(batch, *also).agg(
         F.count("*").alias("total"),
         F.count_if(~bad & F.col("passed")).alias("passed_count"),
         F.count_if(~bad & ~F.col("passed")).alias("failed_count"),

@@ -15,7 +15,7 @@ from wardspark.config import SCORE_KEYS, EvalConfig
 from wardspark.functions import hashing
 from wardspark.functions import text as T
 from wardspark.operators import alignment, hallucination, injection, pii, rules, toxicity
-from wardspark.session import compute_once, spread_small
+from wardspark.session import compute_once
 
 # --- fixed values: flag texts, each followed by ": " and the score with two decimals ---
 
@@ -289,10 +289,9 @@ def evaluate(df: DataFrame, config: EvalConfig = EvalConfig(), rule_list=(),
 
     Adds ``scores MAP``, ``flags ARRAY``, ``passed``, ``metadata STRUCT``, ``pair_key``,
     ``evaluation_id`` and, if the configuration asks for it, ``detailed_results STRUCT``.
-    The operator is a projection: it moves no rows, in batch and in streams alike, unless
-    the whole table is small.
+    The operator is a projection: it moves no rows, in batch and in streams alike. Repartition a
+    small table that is read by few tasks.
     """
-    df = spread_small(df)
     plan = _Plan(df, config, rule_list, names)
     out = plan.scored()
     private = [c for c in out.columns if c not in df.columns and plan.is_kept(c)]

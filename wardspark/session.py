@@ -11,8 +11,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_BYTES = 512 << 20
-
 # Changeable at run time; they only affect how plans run, and UTC timestamps.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -70,21 +68,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Rows of a small table dealt out to all cores.
-
-    Scoring is bound by CPU, and a small file may be read by a single task. Above
-    ``SMALL_BYTES`` (estimated by the optimizer) the scan has tasks enough, and rows stay
-    where they are.
-    """
-    if df.isStreaming:
-        return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SMALL_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def moment(value) -> Column:
     """A timestamp literal; a time without zone is one of the session's zone, whatever the zone
     of the driver."""

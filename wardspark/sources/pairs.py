@@ -4,27 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from wardspark import schemas
 
-_SPLIT_BITS = 33  # monotonically_increasing_id: split number above, row number below
+# Turns that one window task may order: slim rows of a conversation's stretch of turn numbers.
+_STRETCH_BITS = 16
 
 
 def row_numbers(df: DataFrame, out: str = "id") -> DataFrame:
-    """Adds the 0-based row number in file order.
+    """Adds the 0-based row number of a file source: by path, then by place in the file.
 
-    Rows are numbered inside their input split, and the number of rows in the splits before
-    is added: that table has one row per split and is joined without moving the rows.
+    A block of a file is read by one task in order, so its rows have successive ids there;
+    the number of rows in the blocks before is added. That table has one row per block.
     """
-    at = F.monotonically_increasing_id()
-    placed = df.withColumn("_at", at)
-    split, row = F.shiftright("_at", _SPLIT_BITS), F.col("_at") % F.lit(1 << _SPLIT_BITS)
-    placed = placed.select(*df.columns, split.alias("_split"), row.alias("_row"))
-    earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (placed.groupBy("_split").agg((F.max("_row") + 1).alias("_n"))
-             .select("_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
-    return (placed.join(sizes, "_split")
-            .select((F.col("_before") + F.col("_row")).alias(out),
+    block = ["_path", "_start"]
+    placed = df.select(*df.columns, F.col("_metadata.file_path").alias("_path"),
+                       F.col("_metadata.file_block_start").alias("_start"),
+                       F.monotonically_increasing_id().alias("_at"))
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (placed.groupBy(*block).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+             .select(*block, "_first",
+                     F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    return (placed.join(sizes, block)
+            .select((F.col("_before") + F.col("_at") - F.col("_first")).alias(out),
                     *[c for c in df.columns if c != out]))
 
 
@@ -54,17 +57,44 @@ def read_pairs_json(spark: SparkSession, path: str) -> DataFrame:
         "id", F.concat(F.lit("item_"), F.substring(made, 1, 8))))
 
 
+def next_turns(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, next``: the next higher turn number of each turn that has one.
+
+    Turns are ordered within stretches of turn numbers, then the stretches that hold any within
+    stretches of stretches, and so on, so no window holds more than 65,536 rows, however long a
+    conversation is or however its numbers are spaced.
+    """
+    bits = 32 if isinstance(turns.schema["turn"].dataType, IntegerType) else 64
+    level = (turns.select("conv_id", F.col("turn").cast("long").alias("first"))
+             .filter("conv_id IS NOT NULL AND first IS NOT NULL").distinct()
+             .withColumns({"last": F.col("first"), "at": F.col("first")}))
+    found = None
+    for _ in range(bits // _STRETCH_BITS):
+        stretch = F.shiftright("at", _STRETCH_BITS)
+        inside = Window.partitionBy("conv_id", stretch).orderBy("at")
+        links = (level.withColumn("next", F.lead("first").over(inside))
+                 .filter("next IS NOT NULL").select("conv_id", F.col("last").alias("turn"), "next"))
+        found = links if found is None else found.unionByName(links)
+        level = level.groupBy("conv_id", stretch.alias("at")).agg(
+            F.min("first").alias("first"), F.max("last").alias("last"))
+    # only the lowest and the highest stretch, of negative and other numbers, are left
+    ends = level.groupBy("conv_id").agg(
+        F.max(F.when(F.col("at") < 0, F.col("last"))).alias("turn"),
+        F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("next"))
+    return found.unionByName(ends.filter("turn IS NOT NULL AND next IS NOT NULL"))
+
+
 def pairs_from_conversations(turns: DataFrame) -> DataFrame:
     """Each user turn with the next turn of its conversation, if that is the assistant's.
 
-    Turns of a conversation are numbered without gaps, so the next one is found by its
-    number: every row is shuffled once by a key that is unique, however long a
-    conversation may be.
+    The turn numbers of a conversation are distinct, but may have gaps. All joins are on
+    (conversation, turn number), however long a conversation may be.
     """
-    def side(role, offset, name):
+    def side(role, number, name):
         return turns.filter(F.col("role") == role).select(
-            "conv_id", (F.col("turn") + offset).alias("turn"), F.col("text").alias(name))
+            "conv_id", F.col("turn").alias(number), F.col("text").alias(name))
 
-    asked, answered = side("user", 0, "prompt"), side("assistant", -1, "response")
-    return asked.join(answered, ["conv_id", "turn"]).select(
+    asked, answered = side("user", "turn", "prompt"), side("assistant", "next", "response")
+    followed = answered.join(next_turns(turns), ["conv_id", "next"]).drop("next")
+    return asked.join(followed, ["conv_id", "turn"]).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", "turn", "prompt", "response")

@@ -51,21 +51,32 @@ def stream_alerts(results: DataFrame, secret: str | None = None) -> DataFrame:
         F.lit("sha256="), hashing.hmac_sha256(F.col("payload"), secret)))
 
 
-def batch_completed_events(results: DataFrame, batch: str) -> DataFrame:
-    """One ``batch.completed`` event per batch."""
-    return batch_summary(results, batch).select(
+def batch_completed_events(results: DataFrame, batch: str, *also: str) -> DataFrame:
+    """One ``batch.completed`` event per batch; ``also`` are columns that a batch has one value of."""
+    return batch_summary(results, batch, also=also).select(
+        *also,
         F.lit("batch.completed").alias("event"), F.col(batch).alias("batch_id"), "total",
         F.col("passed_count").alias("passed"), F.col("failed_count").alias("failed"))
 
 
-def batch_completed(results: DataFrame, batch: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the events of every micro-batch; a repeated micro-batch replaces its own."""
-    def write(rows: DataFrame, number: int) -> None:
-        batch_completed_events(rows, batch).write.mode("overwrite").parquet(
-            f"{path}/micro_batch={number}")
+def batch_completed(results: DataFrame, batch: str, size: str, path: str, checkpoint: str,
+                    started: str | None = None, late: str = LATE) -> StreamingQuery:
+    """Writes the event of a batch, with its full totals, once all its rows have come.
 
-    return (results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    ``size`` is the column with the number of rows of the batch. State is one row of counts per
+    batch. With ``started``, the time the batch was sent (one value per batch), the state of a
+    batch is dropped when the watermark has passed it. A repeated micro-batch replaces its own
+    events.
+    """
+    def write(rows: DataFrame, number: int) -> None:
+        (rows.filter(F.col("total") == F.col(size)).drop(size, *([started] if started else []))
+         .write.mode("overwrite").parquet(f"{path}/micro_batch={number}"))
+
+    if started:
+        results = results.withWatermark(started, late)
+    totals = batch_completed_events(results, batch, size, *([started] if started else []))
+    return (totals.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def stream_dedup(pairs: DataFrame, timestamp: str = "timestamp", late: str = LATE,
