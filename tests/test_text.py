@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def random_texts(size: int, seed: int) -> list[str]:
     rng = random.Random(seed)
     phrases = [p for p in PROMPT_PHRASES + RESPONSE_PHRASES if p]
     pieces = phrases + ["555-123-4567", "a@b.co", "AB1234567", "12 Elm St", "1.2.3.4", "is a", "not",
-                        "is not", "no x", "all y", "always", "never", "12345-6789", "+49301234567"]
+                        "is not", "Apple", "aPPLE", "xaaap", "a{b}", "{}a{", "no x", "all y", "always", "never", "12345-6789", "+49301234567"]
     out = []
     for _ in range(size):
         text = ""
@@ -129,7 +130,8 @@ def test_words_are_found_wherever_they_overlap(spark, monkeypatch, limit):
 
 
 CUSTOM = [r"\$\d+(\.\d{2})?", r"(?P<a>\w)\W(?P=a)", r"[^a-z\s&[]+x", r"\bst\B", r"a[]x]b", r"i.s",
-          r"[A-z]{3}\Z", r"spam|kind", r"école", r"(is)\s\1", r"s{2}", r"\AIgnore"]
+          r"[A-z]{3}\Z", r"\x41pple", r"\u0041PPLE", r"[A-_]PPLE", r"[@-Z]pple", r"\101pp", r"\U00000041pp", r"\v",
+          r"xa{,3}p", r"xa{,}p", r"a{b", r"{}", r"a{1}{", r"spam|kind", r"école", r"(is)\s\1", r"s{2}", r"\AIgnore"]
 
 
 def test_custom_patterns_match_python(texts):
@@ -147,6 +149,9 @@ def test_custom_patterns_match_python(texts):
             # known difference: a back-reference takes these letters for their plain forms
             if ("\\1" in p or "(?P=" in p) and set(text) & set("ſıİ\u212a"):
                 continue
+            # known difference: the dotted capital i in a range of capitals and symbols
+            if p in (r"[A-_]PPLE", r"[@-Z]pple") and "İPPLE" in text:
+                continue
             expected = bool(re.search(p, text, re.I))
             assert r[f"raw{i}"] == expected, (p, text)
             if T.folds(p):
@@ -251,3 +256,26 @@ def test_hmac(spark):
         df = spark.createDataFrame([(body,)], "b string")
         found = df.select(hmac_sha256(F.col("b"), secret)).head()[0]
         assert found == hmac.new(secret.encode(), body.encode(), hashlib.sha256).hexdigest()
+
+
+def test_words_on_a_line_in_any_order(spark):
+    rng = random.Random(9)
+    lines = ["".join(rng.choice(["always", "never", " ", "\n", "x", "\r", "alway"])
+                     for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = {r.t: r.hit for r in df.select("t", F.col("t").rlike(hallucination._SAME_LINE).alias("hit"))
+           .collect()}
+    assert got == {x: bool(re.search(P.CONTRADICTIONS[1], x)) for x in lines}
+    long_line = spark.createDataFrame([("always " * 15_000 + "\nnever",)], "t string")
+    start = time.monotonic()
+    assert not long_line.select(F.col("t").rlike(hallucination._SAME_LINE)).head()[0]
+    assert time.monotonic() - start < 3
+
+
+def test_long_keywords_in_large_sets(spark):
+    words = ["k" * 1500, "k" * 1499 + "z", "a.b*c", *[f"word{i}" for i in range(300)]]
+    known = T.Words(words)
+    df = spark.createDataFrame([("x" + "k" * 1500 + " word7 a.b*c",)], "t string")
+    found = df.withColumn("f", known.found(F.col("t")))
+    hits = found.select(*[known.has(F.col("f"), w).alias(f"h{i}") for i, w in enumerate(words)]).head()
+    assert [w for w, hit in zip(words, hits) if hit] == ["k" * 1500, "a.b*c", "word7"]

@@ -31,6 +31,11 @@ _WORD_AFTER = re.compile(r"(\\[dw]|[A-Za-z0-9_])(?![?*{]|$)|([A-Za-z0-9_])$")
 _WORD_BEFORE = re.compile(r"(?:\\[dw]|(?<!\\)[A-Za-z0-9_])$")
 
 
+_OCTAL = re.compile(r"\\(0[0-7]{0,2}|[1-3][0-7]{2})")
+_WIDE = re.compile(r"\\U([0-9A-Fa-f]{8})")
+_REPEAT = re.compile(r"\{(?:\d+(?:,\d*)?|,\d*)\}")
+
+
 def _edge(pattern: str, at: int) -> str:
     """The word edge at position ``at``, as the cheapest test its neighbours allow."""
     after = _WORD_AFTER.match(pattern, at + 2)
@@ -53,7 +58,14 @@ def spark_regex(pattern: str, ignore_case: bool = False) -> str:
         step = 1
         if c == "\\" and len(pair) == 2:
             step, k = 2, pair[1]
-            if k in _SHORTHAND:
+            octal, wide = _OCTAL.match(pattern, i), _WIDE.match(pattern, i)
+            if octal or wide:
+                code = int(octal[1], 8) if octal else int(wide[1], 16)
+                step = len((octal or wide)[0])
+                out.append(f"\\x{{{code:x}}}")
+            elif k == "v":  # one character, not a class
+                out.append(r"\x0b")
+            elif k in _SHORTHAND:
                 out.append(_SHORTHAND[k] if in_class else f"[{_SHORTHAND[k]}]")
             elif k.lower() in _SHORTHAND:
                 out.append(f"[^{_SHORTHAND[k.lower()]}]")
@@ -74,6 +86,12 @@ def spark_regex(pattern: str, ignore_case: bool = False) -> str:
             if pattern[i + step:i + step + 1] == "]":
                 out.append(r"\]")
                 step += 1
+        elif c == "{":
+            # a repeat without a lower bound starts at none; other braces are ordinary
+            repeat = _REPEAT.match(pattern, i)
+            step = len(repeat[0]) if repeat else 1
+            out.append("\\{" if not repeat else
+                       "{0" + repeat[0][1:] if repeat[0][1] == "," else repeat[0])
         elif pattern.startswith("(?P<", i):
             step = 4
             out.append("(?<")
@@ -130,14 +148,21 @@ def fold_length(text: Column) -> Column:
     return fold_case(F.replace(text, F.lit("\u0130"), F.lit("i")))
 
 
-# Syntax whose meaning changes when a pattern is lower-cased.
-_CASE_BOUND = re.compile(r"\\[A-Z]|\(\?(?!:)|[A-Z]-[a-z]")
+# Syntax whose meaning may change when a pattern is lower-cased: escapes but for the plain class
+# shorthands, back-references and escaped symbols; groups of special kinds.
+_CASE_BOUND = re.compile(r"\\(?![wsdb]|[1-9](?!\d)|[^A-Za-z0-9])|\(\?(?!:)")
+# Ranges are only safe within the lower-case letters, the capitals or the digits.
+_RANGE = re.compile(r"(?=(.)-(.))", re.DOTALL)
+_SAFE_RANGE = re.compile(r"[a-z]{2}|[A-Z]{2}|\d{2}")
 
 
 def folds(pattern: str) -> bool:
     """Whether ignoring case in ``pattern`` is the same as matching its lower case on
     case-folded text, which is several times faster."""
-    return pattern.isascii() and not _CASE_BOUND.search(pattern)
+    if not pattern.isascii() or _CASE_BOUND.search(pattern):
+        return False
+    return "[" not in pattern or all(_SAFE_RANGE.fullmatch(low + high)
+                                     for low, high in _RANGE.findall(pattern))
 
 
 def contains_any(text: Column, words) -> Column:

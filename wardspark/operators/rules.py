@@ -65,7 +65,11 @@ def _compiles(spark, rule: Rule) -> bool:
     """Whether a regex rule is valid; an invalid one is reported and never fires."""
     try:
         re.compile(rule.pattern)
-        spark._jvm.java.util.regex.Pattern.compile(T.spark_regex(rule.pattern, True))
+        used = [T.spark_regex(rule.pattern, True)]
+        if T.folds(rule.pattern):
+            used.append(T.spark_regex(rule.pattern.lower()))
+        for pattern in used:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
         return True
     except Exception as problem:  # noqa: BLE001 - whichever engine refuses it
         warnings.warn(f"rule {rule.rule_id}: pattern dropped: {str(problem).splitlines()[0]}")
