@@ -279,3 +279,22 @@ def test_long_keywords_in_large_sets(spark):
     found = df.withColumn("f", known.found(F.col("t")))
     hits = found.select(*[known.has(F.col("f"), w).alias(f"h{i}") for i, w in enumerate(words)]).head()
     assert [w for w, hit in zip(words, hits) if hit] == ["k" * 1500, "a.b*c", "word7"]
+
+
+def test_emails_match_python_in_linear_time(spark):
+    rng = random.Random(11)
+    pieces = [*"ab.@-+%_|é1 ſK", "@", "@b", ".co", ".co", "x@y.org", " ."]
+    lines = ["".join(rng.choice(pieces) for _ in range(rng.randint(4, 30))) for _ in range(8000)]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "n int, t string")
+    found = df.select("n", pii.matches(F.col("t"), ["email"])["email"].alias("m"),
+                      pii.counts(F.col("t"), ["email"])["email"].alias("c")).collect()
+    pattern, some = re.compile(P.PII_PATTERNS["email"][0], re.I), 0
+    for r in found:
+        wanted = pattern.findall(lines[r.n])
+        assert r.m == wanted and r.c == len(wanted), lines[r.n]
+        some += len(wanted)
+    assert some > 500
+    long_line = spark.createDataFrame([("a." * 50_000 + " @",), ("a@" * 50_000,)], "t string")
+    start = time.monotonic()
+    assert [r[0] for r in long_line.select(pii.score(F.col("t"), ["email"])).collect()] == [0.0, 0.0]
+    assert time.monotonic() - start < 5
