@@ -298,3 +298,19 @@ def test_emails_match_python_in_linear_time(spark):
     start = time.monotonic()
     assert [r[0] for r in long_line.select(pii.score(F.col("t"), ["email"])).collect()] == [0.0, 0.0]
     assert time.monotonic() - start < 5
+
+
+def test_markers_match_python_in_linear_time(spark):
+    assert injection._MARKER in P.INJECTION_PATTERNS["delimiter"][1]
+    rng = random.Random(12)
+    lines = ["".join(rng.choice(["<", "|", ">", "<|", "|>", "a", "\n", "\r"])
+                     for _ in range(rng.randint(2, 16))) for _ in range(4000)]
+    lines += ["<|" * 50_000 + "\n|>"]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "n int, t string")
+    start = time.monotonic()
+    found = df.select("n", injection.matches(F.col("t"), F.col("t"))["delimiter"].alias("m")).collect()
+    assert time.monotonic() - start < 20
+    pattern = re.compile(injection._MARKER)
+    for r in found[:-1]:
+        assert r.m == pattern.findall(lines[r.n]), lines[r.n]
+    assert sum(len(r.m) for r in found) > 500 and found[-1].m == []

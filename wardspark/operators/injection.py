@@ -30,12 +30,26 @@ ANCHORS = {
 }
 
 
+# A marker's end is looked for once per line, after the line's first opening: if there is none,
+# later openings on the line have none either. The whole match is the first group.
+_MARKER = r"<\|.*?\|>"
+_HAS_MARKER = r"(?dm)^(?>[^\n]*?<\|)[^\n]*?\|>"
+_MARKERS = r"(?d)(<\|[^\n]*?\|>)|<\|[^\n]*+"
+
+
 def _guarded(category: str):
     return zip(P.INJECTION_PATTERNS[category][1], ANCHORS[category])
 
 
 def _occurs(folded: Column, pattern: str, words: list[str]) -> Column:
-    return T.contains_any(folded, words) & folded.rlike(T.spark_regex(pattern.lower()))
+    exact = _HAS_MARKER if pattern == _MARKER else T.spark_regex(pattern.lower())
+    return T.contains_any(folded, words) & folded.rlike(exact)
+
+
+def _extracted(low: Column, pattern: str) -> Column:
+    if pattern == _MARKER:
+        return F.array_remove(F.regexp_extract_all(low, F.lit(_MARKERS), F.lit(1)), "")
+    return F.regexp_extract_all(low, F.lit(T.spark_regex(pattern, True)), F.lit(0))
 
 
 def prepared(text: Column) -> dict[str, Column]:
@@ -66,8 +80,7 @@ def matches(low: Column, folded: Column) -> dict[str, Column]:
     nothing = F.array().cast("array<string>")
     out = {}
     for category in CATEGORIES:
-        parts = [F.when(_occurs(folded, pattern, words),
-                        F.regexp_extract_all(low, F.lit(T.spark_regex(pattern, True)), F.lit(0)))
+        parts = [F.when(_occurs(folded, pattern, words), _extracted(low, pattern))
                  .otherwise(nothing) for pattern, words in _guarded(category)]
         out[category] = F.coalesce(F.concat(*parts), nothing)
     return out
