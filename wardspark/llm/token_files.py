@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,17 +37,22 @@ OPTIONS = {
 }
 # Parts that a task remembers; then it forgets all and goes on.
 REMEMBERED = 600_000
+# Texts of about so many bytes are encoded at once.
+SLICE_BYTES = 8 << 20
+# A space beside white space; the pattern language of Arrow needs the characters spelt out.
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+UNEVEN = f" [{_WHITE}]|[{_WHITE}] "
 FIELDS = "part int, offset bigint, n_tokens bigint, ids array<int>"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A tokenizer file, and the ids of the short parts of texts met so far.
+    """A tokenizer file, and the ids of the short parts of texts that came more than once.
 
-    New parts that start with a space are encoded many at once, one behind the other: the
-    pre-tokenizer cuts before each, so no token spans two, and their ends are found again by the number
-    of bytes of each token.
+    A part that is a space and a word is known by the word, any other by a space and itself. New
+    words are encoded many at once, one behind the other: the pre-tokenizer cuts before each,
+    so no token spans two, and their ends are found again by the number of bytes of each token.
     """
 
     def __init__(self, path: str):
@@ -63,35 +69,90 @@ class Encoder:
         for token, number in vocabulary.items():
             self.sizes[number] = len(token)
 
-    def _learn(self, new: list[str]) -> None:
-        joined = [p for p in new if len(p) > 1 and p[0] == " " and not p[-1].isspace()]
-        for at in range(0, len(joined), 20_000):
-            chunk = joined[at:at + 20_000]
-            lines = ["".join(chunk[i:i + 200]) for i in range(0, len(chunk), 200)]
-            ids = np.concatenate([np.array(found.ids, "<i4") for found in (
-                self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))])
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]),
-                                   np.cumsum([len(p.encode()) for p in chunk])) + 1
-            data, start = ids.tobytes(), 0
-            for part, end in zip(chunk, (4 * ends).tolist()):
-                self.known[part] = data[start:end]
-                start = end
-        single = [p for p in new if not (len(p) > 1 and p[0] == " " and not p[-1].isspace())]
-        for part, found in zip(single, self.tokenizer.encode_batch_fast(
-                single, add_special_tokens=False)):
-            self.known[part] = np.array(found.ids, "<i4").tobytes()
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, "<i4") for found in (
+            self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
+
+    def _new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts, and where in them each part's begin, and how many these are."""
+        alone = np.array([not k or k[0] == " " or k[-1].isspace() for k in keys], bool)
+        sizes, ids = np.zeros(len(keys), np.int64), [np.zeros(0, "<i4")]
+        places = np.flatnonzero(~alone)
+        for at in range(0, len(places), 20_000):
+            chunk = [keys[n] for n in places[at:at + 20_000].tolist()]
+            lines = [" " + " ".join(chunk[i:i + 200]) for i in range(0, len(chunk), 200)]
+            ids.append(np.concatenate(self._library(lines)))
+            widths = pc.binary_length(pa.array(chunk, pa.string())).to_numpy() + 1
+            ends = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), np.cumsum(widths)) + 1
+            sizes[places[at:at + 20_000]] = np.diff(ends, prepend=0)
+        single = np.flatnonzero(alone)
+        found = self._library([keys[n][1:] if keys[n][:1] == " " else " " + keys[n]
+                               for n in single.tolist()])
+        sizes[single] = [len(x) for x in found]
+        order = np.concatenate((places, single))
+        begins = np.zeros(len(keys), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(ids + found), begins, sizes
+
+    def _ids(self, keys: list[str], codes: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+        """Lists of ids of texts whose parts are ``codes``, places in ``keys``; a text's parts begin at
+        its place in ``starts``."""
+        found = list(map(self.known.get, keys))
+        missing = np.array([n for n, ids in enumerate(found) if ids is None], np.int64)
+        new = [keys[n] for n in missing.tolist()]
+        old = b"".join([ids for ids in found if ids is not None])
+        sizes = np.array([len(ids or b"") for ids in found], np.int64) // 4
+        begins = np.cumsum(sizes) - sizes
+        new_ids, new_begins, sizes[missing] = self._new(new)
+        begins[missing] = len(old) // 4 + new_begins
+        ids = np.concatenate((np.frombuffer(old, "<i4"), new_ids))
+        runs = codes_of_runs(begins[codes], sizes[codes])
+        ends = np.cumsum(np.add.reduceat(sizes[codes], starts)) if len(starts) else starts
+        if len(self.known) > REMEMBERED:  # the words of the texts at hand are the likeliest to come
+            self.known = {k: ids for k, ids in zip(keys, found) if ids is not None}
+        often = missing[np.bincount(codes, minlength=len(keys))[missing] > 1]
+        data = ids.tobytes()
+        for n, begin, size in zip(*(x.tolist() for x in (often, begins[often], sizes[often]))):
+            if len(keys[n]) <= LONG:
+                self.known[keys[n]] = data[4 * begin:4 * (begin + size)]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()),
+                                        pa.array(ids[runs], pa.int32()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parted = [parts(text) for text in texts]
-        new = list(set().union(*parted).difference(self.known))
-        self._learn(new)
-        out = [b"".join([self.known[p] for p in found]) for found in parted]
-        for part in new:
-            if len(part) > LONG:
-                del self.known[part]
-        return out
+        """The ids of each text as little-endian 32-bit integers."""
+        found = self.encode_column(pa.array(texts, pa.string()))
+        data, ends = found.flatten().to_numpy().astype("<i4").tobytes(), found.offsets.to_pylist()
+        return [data[4 * a:4 * b] for a, b in zip(ends, ends[1:])]
+
+    def encode_column(self, texts: pa.StringArray) -> pa.ListArray:
+        """A list of ids for each text."""
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        plain = texts.filter(pc.invert(uneven))
+        words = pc.split_pattern(plain, " ")
+        starts = words.offsets.to_numpy()[:-1].astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        # no space before a text's first word
+        first = pc.take(words.flatten(), pa.array(starts)).to_pylist()
+        codes = coded.indices.to_numpy().copy()
+        codes[starts] = len(coded.dictionary) + np.arange(len(starts))
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        out = self._ids(keys + [" " + word for word in first], codes, starts)
+        if len(plain) == len(texts):
+            return out
+        parted = [[part[1:] if part[:1] == " " and " " not in part[1:] else " " + part
+                   for part in parts(text)] for text in texts.filter(uneven).to_pylist()]
+        places = {key: n for n, key in enumerate(set().union(*parted))}
+        codes = np.array([places[key] for found in parted for key in found], np.int64)
+        starts = np.cumsum([0, *[len(found) for found in parted[:-1]]])
+        rest = self._ids(list(places), codes, starts)
+        order = np.argsort(np.argsort(uneven.to_numpy(zero_copy_only=False), kind="stable"))
+        return pa.concat_arrays([out, rest]).take(pa.array(order))
+
+
+def codes_of_runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``start, start + 1, ...``, as many as the size says, of one run after another."""
+    ahead = starts - (np.cumsum(sizes) - sizes)
+    return np.repeat(ahead, sizes) + np.arange(int(sizes.sum()))
 
 
 def _encoder(path: str) -> Encoder:
@@ -103,22 +164,23 @@ def _encoder(path: str) -> Encoder:
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, offset = _encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                found = [x + end for x in encoder.encode(
-                    [t or "" for t in rows.column("text").to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in found], np.int64)
-                bounds = np.concatenate(([0], np.cumsum(sizes)))
-                ids = pa.ListArray.from_arrays(
-                    pa.array(bounds, pa.int32()),
-                    pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
+            texts = batch.column("text").fill_null("")
+            slices = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE_BYTES
+            bounds = [*np.unique(slices, return_index=True)[1].tolist(), batch.num_rows]
+            for at, to in zip(bounds, bounds[1:]):
+                rows, found = batch.slice(at, to - at), encoder.encode_column(texts[at:to])
+                ends = found.offsets.to_numpy()[1:].astype(np.int64)
+                flat = np.insert(found.flatten().to_numpy(), ends, end_id)
+                bounds_ids = np.append(0, ends + np.arange(1, len(ends) + 1))
+                sizes = np.diff(bounds_ids)
+                ids = pa.ListArray.from_arrays(pa.array(bounds_ids, pa.int32()),
+                                               pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)),
-                     pa.array(offset + bounds[:-1], pa.int64()), pa.array(sizes), ids],
+                     pa.array(offset + bounds_ids[:-1], pa.int64()), pa.array(sizes), ids],
                     ["doc_id", "part", "offset", "n_tokens", "ids"])
-                offset += int(bounds[-1])
+                offset += int(bounds_ids[-1])
     return run
 
 
