@@ -253,7 +253,23 @@ def _(spark, sf):
                       F.array_join("detected_items", "|").alias("detected_items"))
 
 
-@check("toxicity_model")
+# Naive Bayes spelt out: log priors and log shares of the buckets, both smoothed by 1.
+@check("toxicity_model", f"""
+WITH words AS (SELECT doc_id, unnest({S.word_buckets('text', 1 << 14)}) AS bucket FROM documents),
+counted AS (SELECT doc_id, bucket, count(*) AS n FROM words GROUP BY ALL),
+learnt AS (SELECT doc_id, toxic FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+totals AS (SELECT toxic, sum(n) AS n FROM counted JOIN learnt USING (doc_id) GROUP BY toxic),
+shares AS (SELECT bucket, coalesce(sum(n) FILTER (toxic = 1), 0) AS bad,
+  coalesce(sum(n) FILTER (toxic = 0), 0) AS good
+  FROM counted LEFT JOIN learnt USING (doc_id) GROUP BY bucket),
+weights AS (SELECT bucket, ln((bad + 1) / ((SELECT n FROM totals WHERE toxic = 1) + {1 << 14})::DOUBLE)
+  - ln((good + 1) / ((SELECT n FROM totals WHERE toxic = 0) + {1 << 14})::DOUBLE) AS weight FROM shares),
+prior AS (SELECT ln((count(*) FILTER (toxic = 1) + 1) / (count(*) FILTER (toxic = 0) + 1)::DOUBLE)
+  AS odds FROM learnt),
+sums AS (SELECT doc_id, sum(n * weight) AS weight FROM counted JOIN weights USING (bucket)
+  GROUP BY doc_id)
+SELECT d.doc_id, round(1 / (1 + exp(least(-(odds + coalesce(s.weight, 0)), 700))), 6) AS toxicity
+FROM documents d LEFT JOIN sums s USING (doc_id) CROSS JOIN prior""")
 def _(spark, sf):
     """Stand-in model, trained on the labelled documents and applied to all of them."""
     documents = B.table(spark, sf, "documents").select("doc_id", "text")
@@ -288,7 +304,18 @@ def _(spark, sf):
     return out.select("id", "alignment.*")
 
 
-@check("alignment_embed")
+@check("alignment_embed", f"""
+WITH {B.PAIRS},
+a AS (SELECT id, bucket, count(*) AS n FROM (SELECT id, unnest({S.word_buckets('prompt', 256)})
+  AS bucket FROM pairs) GROUP BY ALL),
+b AS (SELECT id, bucket, count(*) AS n FROM (SELECT id, unnest({S.word_buckets('response', 256)})
+  AS bucket FROM pairs) GROUP BY ALL),
+lengths AS (SELECT id, (SELECT sum(n * n) FROM a WHERE a.id = pairs.id)::DOUBLE AS x,
+  (SELECT sum(n * n) FROM b WHERE b.id = pairs.id)::DOUBLE AS y, prompt, response FROM pairs),
+dots AS (SELECT id, sum(a.n * b.n)::DOUBLE AS dot FROM a JOIN b USING (id, bucket) GROUP BY id),
+s AS (SELECT id, CASE WHEN prompt = '' OR response = '' THEN 0.0::DOUBLE
+  ELSE coalesce(dot, 0) / (sqrt(x) * sqrt(y)) END AS score FROM lengths LEFT JOIN dots USING (id))
+SELECT id, round(score, 6) AS score, score >= 0.5::DOUBLE AS passed FROM s""")
 def _(spark, sf):
     """Alignment of every pair by the stand-in embeddings of its two texts."""
     found = alignment.alignment_embed(B.pairs(spark, sf), "prompt", "prompt_vector")

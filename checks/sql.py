@@ -137,3 +137,10 @@ def rule_ids(text: str, rules, target: str, field: str = "rule_id") -> str:
 
 def cosine(a: str, b: str) -> str:
     return f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
+
+
+def word_buckets(text: str, buckets: int) -> str:
+    """List of bucket numbers, one per word."""
+    split = f"regexp_split_to_array(lower(coalesce({text}, '')), '[ \\t\\n\\x0B\\f\\r]+')"
+    found = f"list_filter({split}, lambda w: w <> '')"
+    return f"list_transform({found}, lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % {buckets})"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +42,17 @@ def hmac_sha256(body: Column, secret: str) -> Column:
     inner, outer = (F.unhex(F.lit(p)) for p in hmac_pads(secret))
     first = F.sha2(F.concat(inner, F.encode(body, "UTF-8")), 256)
     return F.sha2(F.concat(outer, F.unhex(first)), 256)
+
+
+def word_buckets(text: Column, buckets: int) -> Column:
+    """Lower-cased words of a text as numbers of hash buckets, written as strings: the first seven hex
+    digits of each word's MD5, modulo ``buckets``. A null text has none."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), "")
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 7), 16, 10)
+                                         .cast("long") % buckets).cast("string"))
+
+
+def bucket_counter(buckets: int, words: str, counts: str) -> CountVectorizerModel:
+    """Counts ``word_buckets`` into a vector with one place per bucket; nothing is fitted."""
+    model = CountVectorizerModel.from_vocabulary([str(n) for n in range(buckets)], words, counts)
+    return model.setMinTF(1.0)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardspark.functions import hashing
 from wardspark.functions import text as T
 
 
@@ -83,7 +83,6 @@ def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]):
 
 def alignment_embed(df: DataFrame, text: str, vector: str, features: int = 256) -> DataFrame:
     """Hashed word counts as a stand-in for sentence embeddings."""
-    words = df.withColumn("_words", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"))
-    counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features)
-    return (counted.transform(words).withColumn(vector, vector_to_array("_counts"))
-            .drop("_words", "_counts"))
+    words = df.withColumn("_words", hashing.word_buckets(F.col(text), features))
+    counted = hashing.bucket_counter(features, "_words", "_counts").transform(words)
+    return counted.withColumn(vector, vector_to_array("_counts")).drop("_words", "_counts")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, Tokenizer
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardspark.functions import hashing
 from wardspark.functions import text as T
 
 
@@ -77,19 +77,22 @@ def model_scorer(load: Callable[[], Callable[[list[str]], list[dict[str, float]]
 
 def train_stand_in(labelled: DataFrame, text: str, label: str,
                    features: int = 1 << 14) -> PipelineModel:
-    """A small linear classifier for use where no pretrained model is at hand."""
-    data = labelled.select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"))
-    return Pipeline(stages=[
-        Tokenizer(inputCol="text", outputCol="words"),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-        IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(maxIter=10_000, regParam=0.1),  # ends by its tolerance
-    ]).fit(data)
+    """Naive Bayes over hashed word counts, for use where no pretrained model is at hand.
+
+    Both labels, 0 and 1, must occur; rows without a label are left out.
+    """
+    data = labelled.filter(F.col(label).isNotNull()).select(
+        hashing.word_buckets(F.col(text), features).alias("_words"),
+        F.col(label).cast("double").alias("label"))
+    counter = hashing.bucket_counter(features, "_words", "_counts")
+    model = NaiveBayes(featuresCol="_counts", smoothing=1.0).fit(counter.transform(data))
+    return PipelineModel([counter, model])
 
 
 def toxicity_model(df: DataFrame, text: str, model: PipelineModel) -> DataFrame:
     """``toxicity_scores MAP<STRING, DOUBLE>`` from the stand-in model."""
-    scored = model.transform(df.withColumn("text", F.coalesce(F.col(text), F.lit(""))))
+    features = len(model.stages[0].vocabulary)
+    scored = model.transform(df.withColumn("_words", hashing.word_buckets(F.col(text), features)))
     return scored.select(
         *[F.col(c) for c in df.columns],
         F.create_map(F.lit("toxicity"), vector_to_array("probability")[1])
