@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import base as B
 from checks import sql as S
 from checks.planting import quoted
 from checks.registry import check
+from wardspark.functions import patterns as P
 from wardspark.functions import text as T
 from wardspark.operators import projections as R
 from wardspark.operators import report
@@ -133,6 +136,51 @@ def _(spark, sf):
     return out.select("id", "report")
 
 
+def _section_sql(title: str, body: str) -> str:
+    return f"'### {title}' || chr(10) || {body}"
+
+
+def _joined_sql(parts: list[str], sep: str) -> str:
+    return f"nullif(concat_ws({sep}, {', '.join(parts)}), '')"
+
+
+_PII_SECTION = _joined_sql([
+    f"CASE WHEN {S.pii_count('response', c)} > 0 THEN '- **{c.replace('_', ' ').title()}**: ' || "
+    f"{S.pii_count('response', c)} || ' found' END" for c in P.PII_PATTERNS], "chr(10)")
+_INJECTION_FOUND = _joined_sql([
+    f"CASE WHEN len({S.injection_matches('prompt', c)}) > 0 THEN '{c}' END"
+    for c in P.INJECTION_PATTERNS], "', '")
+_PHRASES = {"Uncertainty Phrases": P.UNCERTAINTY, "Overconfidence Phrases": P.OVERCONFIDENCE,
+            "Fabrication Indicators": P.FABRICATION}
+_PHRASE_ROWS = _joined_sql([
+    f"CASE WHEN {S.lexicon_hits('lower(response)', w)} > 0 THEN '| {t} | ' || "
+    f"{S.lexicon_hits('lower(response)', w)} || ' |' END" for t, w in _PHRASES.items()], "chr(10)")
+_PHRASE_SECTION = f"'| Indicator | Found |' || chr(10) || '|---|---|' || chr(10) || {_PHRASE_ROWS}"
+
+
+@check("report_sections", f"""
+{B.EVALUATED} SELECT id, {_section_sql('Pii', _PII_SECTION)} AS pii_section,
+  {_section_sql('Prompt Injection', _INJECTION_FOUND)} AS injection_section,
+  {_section_sql('Hallucination', _PHRASE_SECTION)} AS hallucination_section,
+  CASE WHEN NOT {S.blank('response')} THEN concat_ws(chr(10), '### Toxicity',
+    '| Category | Score |', '|---|---|', '| Toxicity | ' || printf('%.3f', tox_1) || ' |',
+    '| Insult | ' || printf('%.3f', tox_2) || ' |') END AS toxicity_section FROM evaluated""")
+def _(spark, sf):
+    """The sections of four evaluators, cut out of those of the whole report."""
+    found = B.evaluated(spark, sf, replace(B.FULL, details=True))
+    parted = found.select("id", F.split(report.sections(found), r"\n(?=### )").alias("parts"))
+
+    def one(title):
+        return F.get(F.filter("parts", lambda x: x.startswith("### " + title)), 0)
+
+    return parted.select(
+        "id", one("Pii").alias("pii_section"),
+        F.regexp_replace(one("Prompt Injection"), r"- \*\*Detected patterns\*\*: (.*)\n.*", "$1")
+        .alias("injection_section"),
+        one("Hallucination").alias("hallucination_section"),
+        one("Toxicity").alias("toxicity_section"))
+
+
 @check("pairs_from_conversations", f"""
 WITH {B.PAIRS} SELECT conv_id || '-' || turn AS id, prompt, response FROM raw_pairs
 WHERE role = 'user' AND next_role = 'assistant'""")

@@ -143,6 +143,28 @@ def test_report(spark):
     assert "- kind 0: 0.5" in bad and "harmful content" in bad
 
 
+def test_report_sections(spark):
+    detailed = """named_struct(
+        'toxicity', named_struct('details', named_struct('categories', map('insult', 0.25D))),
+        'pii', named_struct('details', named_struct('matches_by_category',
+            map('phone_us', array('a', 'b')))),
+        'prompt_injection', named_struct('details', named_struct(
+            'categories_detected', array('jailbreak', 'delimiter'), 'risk_level', 'high')),
+        'custom_rules', named_struct('details', named_struct('triggered_rules',
+            array(named_struct('name', 'Prices', 'action', 'block')))))"""
+    df = spark.range(2).select(F.expr(f"if(id = 0, {detailed}, null)").alias("detailed_results"))
+    found, none = [r[0] for r in df.select(report.sections(df)).collect()]
+    assert none == "" and found == "\n".join([
+        "### Pii", "- **Phone Us**: 2 found",
+        "### Prompt Injection", "- **Detected patterns**: jailbreak, delimiter",
+        "- **Severity**: high",
+        "### Toxicity", "| Category | Score |", "|---|---|", "| Insult | 0.250 |",
+        "### Custom Rules", "- **Prices**: block"])
+    df = log(spark, 1).withColumn("detailed_results", F.expr(detailed))
+    text = report.report_rows(df, "now", detailed="detailed_results").head().report
+    assert "## Detailed Analysis\n### Pii" in text and "block\n\n## Recommendations" in text
+
+
 def test_validation(spark):
     long = "x" * (projections.MAX_PROMPT + 1)
     df = spark.createDataFrame([(" a ", "b"), ("", "b"), (long, "b"), ("a", None),
