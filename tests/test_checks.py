@@ -1,9 +1,5 @@
-"""Checks against their DuckDB twins at the smallest scale.
+"""All checks against their DuckDB twins at the smallest scale."""
 
-All of them run with ``WARDSPARK_ALL_CHECKS=1``, otherwise a few of each kind.
-"""
-
-import os
 from pathlib import Path
 
 import duckdb
@@ -12,10 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = Path("/root/testdata/sf0.001")
-FEW = ["hallucination_score", "pii_detail", "injection_detail", "rule_detail", "evaluate", "fail_fast",
-       "threshold_compare", "read_pairs_csv_numbered", "aggregate_hourly", "score_quartiles",
-       "configs_current", "stream_hourly"]
-NAMES = list(entry.oracle_sql()) if os.environ.get("WARDSPARK_ALL_CHECKS") else FEW
+NAMES = list(entry.oracle_sql())
 
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
 

@@ -269,3 +269,13 @@ def test_a_filter_on_the_verdict_does_not_match_twice(spark):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     both = evaluate(sample(spark), FULL)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("RLIKE") == both.count("RLIKE")
+
+
+def test_rules_that_cannot_be_used(spark):
+    listed = [Rule("a", "A", "("), Rule("b", "B", "x"), Rule("c", "C", "x", "phonetic"),
+              Rule("d", "D", "(", enabled=False), Rule("e", "E", "(", "keyword")]
+    found = {r.rule_id: r.problem for r in rules.rule_problems(spark, listed).collect()}
+    assert set(found) == {"a", "c"} and found["c"] == "unknown type phonetic"
+    assert rules.rule_problems(spark, []).count() == 0
+    with pytest.warns(UserWarning, match="rule a"):
+        assert [r.rule_id for r in rules.usable(spark, listed)] == ["b", "e"]

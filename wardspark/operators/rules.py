@@ -61,8 +61,12 @@ def rules_from_rows(rules) -> list[Rule]:
     return out
 
 
-def _compiles(spark, rule: Rule) -> bool:
-    """Whether a regex rule is valid; an invalid one is reported and never fires."""
+def _problem(spark, rule: Rule) -> str | None:
+    """Why a rule can never fire, if so."""
+    if rule.rule_type not in ("regex", "keyword"):
+        return f"unknown type {rule.rule_type}"
+    if rule.rule_type == "keyword":
+        return None
     try:
         re.compile(rule.pattern)
         used = [T.spark_regex(rule.pattern, True)]
@@ -70,25 +74,31 @@ def _compiles(spark, rule: Rule) -> bool:
             used.append(T.spark_regex(rule.pattern.lower()))
         for pattern in used:
             spark._jvm.java.util.regex.Pattern.compile(pattern)
-        return True
+        return None
     except Exception as problem:  # noqa: BLE001 - whichever engine refuses it
-        warnings.warn(f"rule {rule.rule_id}: pattern dropped: {str(problem).splitlines()[0]}")
-        return False
+        return str(problem).splitlines()[0]
+
+
+def rule_problems(spark, rules) -> DataFrame:
+    """``rule_id, problem``: the enabled rules that can't be used, each with the reason."""
+    found = [(r.rule_id, _problem(spark, r)) for r in rules_from_rows(rules) if r.enabled]
+    return spark.createDataFrame([f for f in found if f[1]], "rule_id string, problem string")
 
 
 def usable(spark, rules) -> list[Rule]:
-    """Enabled rules that can fire, in order."""
-    bad_regexes = {}
+    """Enabled rules that can fire, in order; ``rule_problems`` lists the others."""
+    problems = {}
     out = []
     for r in rules_from_rows(rules):
-        if not r.enabled or r.rule_type not in ("regex", "keyword"):
+        if not r.enabled:
             continue
-        if r.rule_type == "regex":
-            if r.pattern not in bad_regexes:
-                bad_regexes[r.pattern] = not _compiles(spark, r)
-            if bad_regexes[r.pattern]:
-                continue
-        out.append(r)
+        kind = (r.rule_type, r.pattern)
+        if kind not in problems:
+            problems[kind] = _problem(spark, r)
+            if problems[kind]:
+                warnings.warn(f"rule {r.rule_id}: pattern dropped: {problems[kind]}")
+        if not problems[kind]:
+            out.append(r)
     return out
 
 
