@@ -236,3 +236,27 @@ def test_token_encoder_that_forgets(monkeypatch):
         texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(20)]
         assert own.encode(texts) == [
             np.array(judge.encode(x, add_special_tokens=False).ids, "<i4").tobytes() for x in texts]
+
+
+def test_token_slices(monkeypatch):
+    """Slices of a batch of a few bytes: the same ids, and offsets that go on."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    judge = Tokenizer.from_file(path)
+    judge.encode_special_tokens = True
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 40)
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(
+        get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    texts = [None, "", "a  b", "one two two. ", "x" * 200, "é　 z", " end", "<|endoftext|>"] * 3
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(len(part))),
+                                           "text": pa.array(part, pa.string())})
+               for part in (texts[:10], [], texts[10:])]
+    rows = [r for b in token_files._encode(path, 0)(iter(batches)) for r in b.to_pylist()]
+    wanted = [[*judge.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert [r["ids"] for r in rows] == wanted
+    assert [r["n_tokens"] for r in rows] == [len(ids) for ids in wanted]
+    assert [r["offset"] for r in rows] == [sum(map(len, wanted[:n])) for n in range(len(wanted))]
+    assert {r["part"] for r in rows} == {3}
