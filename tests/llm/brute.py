@@ -133,3 +133,33 @@ def base(texts, train):
         out.append((len(tokens), sum(counts[t] > 0 for t in tokens), n, sum(
             math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)))
     return out
+
+
+def licence_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def word_pairs(words):
+    return list(zip(words, words[1:]))
+
+
+def licences(text, templates, least=0.8):
+    """For each template the best (score, not a window, unit); windows are scored one by one."""
+    def dice(a, b):
+        return 2 * len(a & b) / (len(a) + len(b))
+
+    found, text = {}, text or ""
+    lines, own = text.split("\n"), word_pairs(licence_words(text))
+    for name, notice in templates.items():
+        wanted = word_pairs(licence_words(notice))
+        if not wanted:
+            continue
+        units = [(n, word_pairs(licence_words(x))) for n, x in enumerate(lines)]
+        units += [(-1, own)] if len(lines) > 1 else []
+        units += [(-2, own[max(s, 0):s + len(wanted)])
+                  for s in range(1 - len(wanted), len(own))]
+        score, whole, unit = max(((dice(set(u), set(wanted)), n != -2, -n) for n, u in units),
+                                 default=(0, True, 0))
+        if score >= least:
+            found[name] = score, whole, -unit
+    return found

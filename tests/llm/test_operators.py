@@ -192,6 +192,58 @@ def test_licences(spark, docs):
     assert len(found) == len(TEXTS)
 
 
+def licence_rows(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licences.scan(table, licences.template_table(spark)).collect()
+    return [(r.licence, r.unit, r.score, r.licences) for r in sorted(found, key=lambda r: r._row.doc_id)]
+
+
+def test_licences_wrapped_inside_lines_and_in_full(spark):
+    mit, gpl = licences.TEMPLATES["MIT text"], licences.TEMPLATES["GPL-3.0 header"]
+    inline = "Our new guide is out. Released under the MIT License. Contact us for more."
+    got = licence_rows(spark, [
+        "MIT License\n\nCopyright (c) 2026\n\n" + mit, inline, f"{PROSE}\n" + "\n".join(
+            f" * {line}" for line in gpl.split("\n")) + f"\n{PROSE}",
+        f"{PROSE}\n{licences.TEMPLATES['Apache-2.0 text']}\n{PROSE}",
+        licences.TEMPLATES["GPL-3.0 text"]])
+    # notices and headers that are part of a text tie with it
+    assert [(r[0], r[1], r[2]) for r in got] == [
+        ("MIT notice", -2, 1.0), ("MIT line", -2, 1.0), ("GPL-3.0 header", -2, 1.0),
+        ("Apache-2.0 header", -2, 1.0), ("GPL-3.0 text", -1, 1.0)]
+    assert got[0][3] == ["MIT notice", "MIT text"] and "Apache-2.0 text" in got[3][3]
+
+
+def test_licences_against_scoring_every_window(spark):
+    rng = np.random.default_rng(4)
+    names = ["MIT line", "Apache-2.0 line", "GPL-3.0 line", "ISC notice", "MIT notice", "0BSD text",
+             "GPL-2.0 header", "MPL-2.0 header"]
+    templates = {n: licences.TEMPLATES[n] for n in names} | {
+        "repeats": "to be or not to be or to be", "one": "word", "two": "so it"}
+    texts = [None, "", "word", "so it", "x so it y", "to be or not to be " * 5, "be or to be or not"]
+    for _ in range(150):
+        parts = []
+        for name in rng.choice(list(templates), rng.integers(1, 4)):
+            words = templates[name].split()
+            for _ in range(rng.integers(0, 1 + len(words) // 5)):  # words changed, lost and put in
+                at, kind = rng.integers(len(words)), rng.integers(3)
+                words[at:at + (kind < 2)] = [["other"], [], ["new"]][kind]
+                words = words or ["none"]
+            parts += [str(x) for x in words] + ["filler"] * int(rng.integers(0, 3))
+        texts.append("".join(x + str(rng.choice([" ", " ", " ", "\n", " * "])) for x in parts))
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, texts[9])],
+                                  "doc_id long, text string").repartition(3)
+    for least in (0.8, 0.55):
+        found = licences.scan(table, licences.template_table(spark, templates), least).collect()
+        wanted = [brute.licences(t, templates, least) for t in texts]
+        assert len(found) == len(texts) + 1
+        for row in found:
+            own = wanted[row._row.doc_id]
+            best = min(((-s, not whole, name, unit) for name, (s, whole, unit) in own.items()),
+                       default=(0, True, None, None))
+            assert (row.licences, row.licence, row.unit) == (sorted(own), best[2], best[3])
+            assert row.score == pytest.approx(-best[0])
+
+
 def test_language(spark):
     german, english = "der hund und die katze schlafen nicht", "the dog and the cat are asleep"
     french, spanish = "le chien et le chat ne dorment pas", "el perro y el gato no duermen"
