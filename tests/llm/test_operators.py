@@ -276,6 +276,17 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
+def test_pipeline_keeps_texts_of_an_unsure_language(spark, docs, monkeypatch):
+    def identified(rows, model):
+        return rows.select(F.struct(*rows.columns).alias("_row"), F.lit(0.1).alias("score"),
+                           F.when(F.col("doc_id") == 1, "und").otherwise("nl").alias("lang_pred"))
+
+    monkeypatch.setattr(language, "identify", identified)
+    rows = docs.filter("doc_id IN (1, 2, 3)")
+    kept = corpus_pipeline.keep_known_languages(spark, rows, "")
+    assert by_row(kept.collect(), "doc_id") == [(2,), (3,), (3,)]
+
+
 def test_token_encoder_that_forgets(monkeypatch):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
