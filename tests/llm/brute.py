@@ -36,6 +36,15 @@ def rules(text):
             n < 50 or 100 * len(inside) > 50 * n)
 
 
+def kept(text):
+    """All rules of the second policy."""
+    n, chars, symbols, twice, inside, bad = rules(text)
+    lines = [x for x in (text or "").split("\n") if spaced(x)]
+    upper = len(re.findall("[A-Z]", text or ""))
+    return not (bad or 10 * symbols > n or 100 * twice > 30 * len(lines) or chars < 2 * n
+                or chars > 25 * n or 100 * upper > 50 * chars)
+
+
 def terms(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 
