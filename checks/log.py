@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from checks import base as B
-from checks.registry import check
+from checks.registry import ORACLES, check
 from wardspark.operators import log as L
 from wardspark.operators import metrics as M
 from wardspark.session import scratch_path
@@ -242,6 +242,11 @@ def _(spark, sf):
     return M.prometheus_rows(B.log(spark, sf), 10_000)
 
 
+@check("prometheus_rows_whole", ORACLES["prometheus_rows"].replace(_NEWEST, "newest AS (FROM log)"))
+def _(spark, sf):
+    return M.prometheus_rows(B.log(spark, sf))
+
+
 @check("history_metrics", f"""
 {B.LOG} SELECT count(*) AS total, round(avg(coalesce(tox, 0)) + 1.23e-8, 6) AS avg_toxicity,
   round(avg(coalesce(ali, 0)) + 1.23e-8, 6) AS avg_alignment, sum(len(flags))::BIGINT AS total_flags,

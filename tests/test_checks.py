@@ -41,3 +41,9 @@ def test_every_oracle_has_its_query():
 @pytest.mark.filterwarnings("ignore:rule broken")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_exported_counters_cover_the_whole_log():
+    """The twin of the newest rows limits the log, that of the whole log doesn't."""
+    newest, whole = (entry.oracle_sql()[n] for n in ("prometheus_rows", "prometheus_rows_whole"))
+    assert "LIMIT 10000" in newest and "LIMIT" not in whole
