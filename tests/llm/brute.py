@@ -70,6 +70,22 @@ def overlap(text, windows):
     return len(words), len(hit), len(named), hashlib.sha256(",".join(named).encode()).hexdigest()
 
 
+def near(texts, phrases, span):
+    """(text number, phrase, place) of a phrase's rarest term with each other one near it."""
+    words = [terms(t) for t in texts]
+    counts, found = Counter(w for own in words for w in own), []
+    for name, phrase in phrases:
+        wanted = list(dict.fromkeys(terms(phrase)))
+        if not wanted:
+            continue
+        rarest = min(wanted, key=lambda w: counts[w])
+        for n, own in enumerate(words):
+            for p, word in enumerate(own):
+                if word == rarest and set(wanted) <= set(own[max(p - span, 0):p + span + 1]):
+                    found.append((n, name, p))
+    return found
+
+
 def simhash(text):
     words = spaced(lower(text))
     grams = [" ".join(words[i:i + 3]) for i in range(max(len(words) - 2, 1))] if words else []

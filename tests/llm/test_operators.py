@@ -69,6 +69,20 @@ def test_decontamination(spark, docs):
     assert decontamination.overlap(empty(docs), items).count() == 0
 
 
+@pytest.mark.parametrize("span", [1, 3, 7])
+def test_near_matches(spark, span):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("aabbbcdefgh"), 40)) for _ in range(30)] + [None, "", "H, g!"]
+    phrases = [("one", "A b c"), ("two", "g H"), ("twice", "d d e"), ("none", "a zzz"), ("void", "!"),
+               ("alone", "f")]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = decontamination.near_matches(
+        table, spark.createDataFrame(phrases, "phrase string, text string"), span)
+    keys = table.select("doc_id", *decontamination.row_key(F.col("doc_id"), F.col("text")))
+    got = found.join(keys, decontamination.KEY).collect()
+    assert by_row(got, "doc_id", "phrase", "pos") == sorted(brute.near(texts, phrases, span), key=repr)
+
+
 @pytest.mark.parametrize("bucket_rows", [1, 20_000])
 def test_simhash(spark, bucket_rows):
     rng = np.random.default_rng(3)
