@@ -315,6 +315,19 @@ def test_token_encoder_that_forgets(monkeypatch):
             np.array(judge.encode(x, add_special_tokens=False).ids, "<i4").tobytes() for x in texts]
 
 
+def test_special_tokens_in_texts_are_plain_text():
+    """The plain call of the library differs only for a text that spells out the added token."""
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    judge, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = ["a b", "a <|endoftext| > b", "a <|endoftext|> b"]
+    plain = [judge.encode(t, add_special_tokens=False).ids for t in texts]
+    found = [np.frombuffer(ids, "<i4").tolist() for ids in own.encode(texts)]
+    assert found[:2] == plain[:2] and (len(found[2]), len(plain[2])) == (9, 4)
+    assert 50256 in plain[2] and 50256 not in found[2]
+    assert judge.decode(found[2]) == texts[2]
+
+
 def test_token_slices(monkeypatch):
     """Slices of a batch of a few bytes: the same ids, and offsets that go on."""
     from types import SimpleNamespace

@@ -8,6 +8,9 @@ the stripes and row groups that may hold it, and stripes are read in parallel.
 A row has ``doc_id, part, offset, n_tokens, ids``: ``offset`` counts the ids of its own file before
 it, so a document's place in the whole is found by adding the totals of the files before.
 
+An added token that a text spells out (``<|endoftext|>``) is text like any other and gets the ids of its
+characters, where the library's plain call gives the token's own id: no text can end a document.
+
 Null ids come first, equal ids are ordered by text. A null text is empty; the end id stands alone
 then. An empty table gives files without rows.
 """
