@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import (bpe, chat_format, decontamination, language, licences, ppm,
-                           quality_model, quality_rules, simhash, token_files)
+from wardspark.llm import (bpe, chat_format, conversation_repair, decontamination, language, licences,
+                           manifest, packing, ppm, quality_model, quality_rules, simhash, token_files)
 from wardspark.llm.common import fold
 from wardspark.session import scratch_path, tuned
 
@@ -123,3 +123,23 @@ def op10_language_id(spark, sf):
     return found.select(F.col("_row.doc_id").alias("doc_id"),
                         (fold(F.col("_row.doc_id"), 3) == 1).alias("held_out"), "lang_pred",
                         "score")
+
+
+@query
+def op11_packing(spark, sf):
+    pieces = packing.cut(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",
+                                       "offset")
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    return conversation_repair.repair(
+        conversation_repair.damaged(table(spark, sf, "conversations")))
+
+
+@query
+def op13_manifest(spark, sf):
+    tampered = F.when(fold(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return manifest.manifest(table(spark, sf, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                             "doc_id", "source", {"text": tampered.otherwise(F.col("text"))})
