@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import operator
 import re
+import unicodedata
 from functools import reduce
 from itertools import groupby, takewhile
 from os.path import commonprefix
@@ -48,10 +49,71 @@ def _edge(pattern: str, at: int) -> str:
     return _EDGE
 
 
+_NAMED = re.compile(r"\\N\{([^}]*)\}")
+_REFERENCE = re.compile(r"\\([1-9]\d?)")
+_CONDITION = re.compile(r"\(\?\((\w+)\)")
+
+
+class _Groups:
+    """Groups of a Python pattern while it is rewritten.
+
+    Java's group names know no underscore, so named groups are called by their numbers. Java has no
+    conditions on a group; a group that one asks about gets an empty group of its own at its end, and a
+    reference to that succeeds, on nothing, exactly if the group has matched.
+    """
+
+    def __init__(self, pattern: str):
+        self.asked = set(_CONDITION.findall(pattern))
+        self.names: dict[str, int] = {}
+        self.numbers: list[int] = [0]  # of each group in the Java pattern, by its number in Python's
+        self.count = 0
+        self.open: list[tuple] = []  # ("group", number), ("condition", mark, whether "|" came) or ("other",)
+
+    def begin(self, name: str | None = None) -> str:
+        self.count += 1
+        self.numbers.append(self.count)
+        number = len(self.numbers) - 1
+        if name is not None:
+            self.names[name] = number
+        self.open.append(("group", number))
+        return "(" if name is None else f"(?<g{number}>"
+
+    def _number(self, reference: str) -> int:
+        return int(reference) if reference.isdigit() else self.names[reference]
+
+    def named(self, name: str) -> str:
+        return rf"\k<g{self.names[name]}>"
+
+    def numbered(self, reference: str) -> str:
+        return f"\\{self.numbers[int(reference)]}"
+
+    def condition(self, reference: str) -> str:
+        mark = rf"\k<t{self._number(reference)}>"
+        self.open.append(("condition", mark, False))
+        return f"(?:{mark}"
+
+    def bar(self) -> str:
+        if self.open and self.open[-1][0] == "condition":
+            _, mark, _ = self.open.pop()
+            self.open.append(("condition", mark, True))
+            return f"|(?!{mark})"
+        return "|"
+
+    def end(self) -> str:
+        kind, *rest = self.open.pop() if self.open else ("other",)
+        if kind == "condition":
+            return ")" if rest[1] else f"|(?!{rest[0]}))"
+        if kind == "group" and self.asked & {str(rest[0]), *[n for n, k in self.names.items() if k == rest[0]]}:
+            self.count += 1
+            return f"(?<t{rest[0]}>))"
+        return ")"
+
+
 def spark_regex(pattern: str, ignore_case: bool = False) -> str:
     """The ``java.util.regex`` pattern that finds what Python's ``pattern`` finds."""
     out = ["(?iud)" if ignore_case else "(?d)"]
     in_class = False
+    groups = _Groups(pattern)
     i = 0
     while i < len(pattern):
         c, pair = pattern[i], pattern[i:i + 2]
@@ -59,7 +121,14 @@ def spark_regex(pattern: str, ignore_case: bool = False) -> str:
         if c == "\\" and len(pair) == 2:
             step, k = 2, pair[1]
             octal, wide = _OCTAL.match(pattern, i), _WIDE.match(pattern, i)
-            if octal or wide:
+            named, reference = _NAMED.match(pattern, i), _REFERENCE.match(pattern, i)
+            if named:
+                step = len(named[0])
+                out.append(f"\\x{{{ord(unicodedata.lookup(named[1])):x}}}")
+            elif reference and not in_class and not octal and int(reference[1]) < len(groups.numbers):
+                step = len(reference[0])
+                out.append(groups.numbered(reference[1]))
+            elif octal or wide:
                 code = int(octal[1], 8) if octal else int(wide[1], 16)
                 step = len((octal or wide)[0])
                 out.append(f"\\x{{{code:x}}}")
@@ -93,12 +162,25 @@ def spark_regex(pattern: str, ignore_case: bool = False) -> str:
             out.append("\\{" if not repeat else
                        "{0" + repeat[0][1:] if repeat[0][1] == "," else repeat[0])
         elif pattern.startswith("(?P<", i):
-            step = 4
-            out.append("(?<")
+            step = pattern.index(">", i) + 1 - i
+            out.append(groups.begin(pattern[i + 4:i + step - 1]))
         elif pattern.startswith("(?P=", i):
-            end = pattern.index(")", i)
-            step = end + 1 - i
-            out.append(rf"\k<{pattern[i + 4:end]}>")
+            step = pattern.index(")", i) + 1 - i
+            out.append(groups.named(pattern[i + 4:i + step - 1]))
+        elif pattern.startswith("(?#", i):
+            step = pattern.index(")", i) + 1 - i
+        elif condition := _CONDITION.match(pattern, i):
+            step = len(condition[0])
+            out.append(groups.condition(condition[1]))
+        elif pair == "(?":
+            groups.open.append(("other",))
+            out.append(c)
+        elif c == "(":
+            out.append(groups.begin())
+        elif c == "|":
+            out.append(groups.bar())
+        elif c == ")":
+            out.append(groups.end())
         else:
             out.append(c)
         i += step

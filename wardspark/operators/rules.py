@@ -1,7 +1,9 @@
 """User-defined rules: hits, score, detail and match statistics.
 
-A rule set is a small, curated list, so it is part of the plan: every rule becomes one
-literal expression, compiled once per task, and no rule table is joined with the texts.
+A list of rules is small and curated, so it is part of the plan: every rule becomes one
+literal expression, compiled once per task, and no rule table is joined with the texts. A
+table of rules (a DataFrame) may be of any size; it never comes to the driver and is joined with the texts
+by an index of what its rules need (``rule_index``).
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
+from wardspark.operators import rule_index
 from wardspark.session import compute_once
 
 # Up to so many rules the matchers are part of the generated code; more of them would
 # outgrow a Java method, and are evaluated as an expression tree instead.
 CODEGEN_RULES = 64
-MAX_RULES = 100_000  # a rule table longer than this is refused, not cut
+MAX_RULES = 100_000  # more than this are refused as part of a plan, not cut; a table of rules has no limit
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,8 @@ def rules_from_rows(rules) -> list[Rule]:
     if isinstance(rules, DataFrame):
         rules = rules.limit(MAX_RULES + 1).collect()
         if len(rules) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules")
+            raise ValueError(f"more than {MAX_RULES} rules don't fit in a plan: give the table to rule_hits, "
+                             "rule_score, rule_detail or rule_match_stats")
     out = []
     for r in rules:
         if isinstance(r, Rule):
@@ -54,10 +58,7 @@ def rules_from_rows(rules) -> list[Rule]:
         d.setdefault("rule_id", d.get("id"))
         d.setdefault("rule_type", d.get("type") or "regex")
         known = {f.name for f in fields(Rule)}
-        rule = Rule(**{k: v for k, v in d.items() if k in known and v is not None})
-        if rule.rule_type == "script":
-            raise ValueError(f"rule {rule.rule_id}: script rules are not supported")
-        out.append(rule)
+        out.append(Rule(**{k: v for k, v in d.items() if k in known and v is not None}))
     return out
 
 
@@ -81,6 +82,8 @@ def _problem(spark, rule: Rule) -> str | None:
 
 def rule_problems(spark, rules) -> DataFrame:
     """``rule_id, problem``: the enabled rules that can't be used, each with the reason."""
+    if isinstance(rules, DataFrame):
+        return rule_index.table_problems(rules)
     found = [(r.rule_id, _problem(spark, r)) for r in rules_from_rows(rules) if r.enabled]
     return spark.createDataFrame([f for f in found if f[1]], "rule_id string, problem string")
 
@@ -208,6 +211,9 @@ def _with_positions(df: DataFrame, text: str, rules, target: str):
 
 def rule_hits(df: DataFrame, text: str, rules, target: str = "both") -> DataFrame:
     """One row per text and rule that fires on it."""
+    if isinstance(rules, DataFrame):
+        index = rule_index.rule_index(rules, target, df, text)
+        return rule_index.indexed_hits(df, text, index).drop("matched", "matched_keywords")
     hit, active = _with_positions(df, text, rules, target)
     # the generator must not multiply the text column: it is dropped before
     return (hit.drop(text).withColumn("_hit", F.explode(violations(F.col("_hits"), active)))
@@ -216,12 +222,17 @@ def rule_hits(df: DataFrame, text: str, rules, target: str = "both") -> DataFram
 
 def rule_score(df: DataFrame, text: str, rules, target: str = "both",
                threshold: float = 0.5) -> DataFrame:
+    if isinstance(rules, DataFrame):
+        index = rule_index.rule_index(rules, target, df, text)
+        return rule_index.indexed_scores(df, text, index, threshold)
     hit, active = _with_positions(df, text, rules, target)
     return (hit.withColumn("score", score_of(F.col("_hits"), active)).drop("_hits")
             .withColumn("passed", F.col("score") <= threshold))
 
 
 def rule_detail(df: DataFrame, text: str, rules, target: str = "both") -> DataFrame:
+    if isinstance(rules, DataFrame):
+        return rule_index.indexed_detail(df, text, rule_index.rule_index(rules, target, df, text))
     hit, active = _with_positions(df, text, rules, target)
     return (hit.withColumn("custom_rules", detail(F.col(text), F.col("_hits"), active))
             .drop("_hits")
@@ -235,6 +246,9 @@ def rule_match_stats(df: DataFrame, text: str, timestamp: str, rules,
 
     Matches are counted per task before anything is shuffled.
     """
+    if isinstance(rules, DataFrame):
+        index = rule_index.rule_index(rules, target, df, text)
+        return rule_index.indexed_stats(df, text, timestamp, rules, index)
     active = for_target(usable(df.sparkSession, rules), target)
     listed = rules_from_rows(rules)
     dated = df.select(F.col(text).alias("_text"), F.col(timestamp).alias("_ts"))

@@ -12,15 +12,15 @@ RULE_COLUMNS = ["rule_id", "name", "pattern", "rule_type", "severity", "action",
 
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """One spelling of the columns, defaults filled in, ``script`` rules rejected."""
-    rules = raw.select(
+    """One spelling of the columns, defaults filled in. Rules of a type that can't be used, such as
+    ``script``, stay listed, so that ``rule_problems`` can name them."""
+    return raw.select(
         F.coalesce("rule_id", "id").alias("rule_id"), "name", "pattern",
         F.coalesce("rule_type", "type", F.lit("regex")).alias("rule_type"),
         F.coalesce("severity", F.lit(0.5)).alias("severity"),
         F.coalesce("action", F.lit("flag")).alias("action"),
         F.coalesce("apply_to", F.lit("both")).alias("apply_to"),
         F.coalesce("enabled", F.lit(True)).alias("enabled"))
-    return rules.filter(F.col("rule_type").isin("regex", "keyword"))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
