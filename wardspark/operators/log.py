@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
@@ -13,6 +13,7 @@ from wardspark.session import moment
 
 # Pages that end beyond this row are cut out by rank instead of by a top-n in one task.
 TOP_ROWS = 10_000
+NEWEST_FIRST = [("timestamp", True), "evaluation_id"]
 
 
 def _between(df: DataFrame, timestamp: str, start, end) -> DataFrame:
@@ -40,14 +41,15 @@ def filtered(df: DataFrame, timestamp: str = "timestamp", start=None, end=None,
     return df
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in ``order``, which must not tie.
+def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in ``order``: columns, or (column, descending), which must not tie.
 
     A page near the front is a top-n. A far one would pull all rows before it into one
-    task, so its rows are found by their distributed rank.
+    task, so its rows are found by their distributed rank. Both are lazy and give the same rows.
     """
     if offset + limit <= TOP_ROWS:
-        top = df.orderBy(*order)
+        named = [(o, False) if isinstance(o, str) else o for o in order]
+        top = df.orderBy(*[F.col(c).desc() if down else F.col(c).asc() for c, down in named])
         return (top.offset(offset) if offset else top).limit(limit)
     ranked = running_total(df, [], order, "_rank")
     return ranked.filter((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)
@@ -60,12 +62,12 @@ def list_evaluations(log: DataFrame, limit: int = 100, offset: int = 0,
                      order_by: str = "timestamp", descending: bool = True):
     """A page of the log and the total of the filtered rows, as two DataFrames."""
     kept = filtered(log, start=start, end=end, passed=passed, source=source, user_id=user_id)
-    key = F.col(order_by if order_by in log.columns else "timestamp")
-    order = [key.desc() if descending else key.asc(), F.col("evaluation_id")]
+    order = [(order_by if order_by in log.columns else "timestamp", descending), "evaluation_id"]
     return page(kept, order, limit, offset), kept.agg(F.count("*").alias("total"))
 
 
 def get_evaluation(log: DataFrame, evaluation_id: str) -> DataFrame:
+    """Of any table; ``sources.results.find_evaluation`` finds it in a stored log without reading the others' days."""
     return log.filter(F.col("evaluation_id") == evaluation_id)
 
 
@@ -74,14 +76,13 @@ def search_evaluations(log: DataFrame, query: str, limit: int = 50) -> DataFrame
     and ``_`` in it are wildcards, a backslash is itself."""
     like = "%" + query.replace("\\", "\\\\") + "%"
     hit = F.col("prompt").ilike(like) | F.col("response").ilike(like)
-    return page(log.filter(hit), [F.col("timestamp").desc(), F.col("evaluation_id")], limit)
+    return page(log.filter(hit), NEWEST_FIRST, limit)
 
 
 def timeline(log: DataFrame, by: str) -> DataFrame:
     """Ordinal of each evaluation among those of the same ``by``, and its result label."""
     slim = log.select(by, "timestamp", "evaluation_id", "passed")
-    ranked = running_total(slim, [by], [F.col("timestamp").asc(), F.col("evaluation_id").asc()],
-                           "ordinal")
+    ranked = running_total(slim, [by], ["timestamp", "evaluation_id"], "ordinal")
     return ranked.withColumn("result", F.when(F.col("passed"), "Passed").otherwise("Failed"))
 
 
@@ -92,7 +93,7 @@ def trend(log: DataFrame) -> DataFrame:
 
 def history_view(log: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest first, with preview texts."""
-    newest = page(log, [F.col("timestamp").desc(), F.col("evaluation_id")], limit, offset)
+    newest = page(log, NEWEST_FIRST, limit, offset)
     return newest.select("evaluation_id", "timestamp", T.preview(F.col("prompt")).alias("prompt"),
                          T.preview(F.col("response")).alias("response"), "passed", "scores",
                          "flags")
@@ -111,7 +112,7 @@ def audit_list(audit: DataFrame, limit: int = 100, offset: int = 0, event_type:
     """A page of the audit log, newest first, and the total of the filtered rows."""
     kept = filtered(audit, start=start, end=end, event_type=event_type, user_id=user_id,
                     resource_type=resource_type)
-    return (page(kept, [F.col("timestamp").desc(), F.col(tie)], limit, offset),
+    return (page(kept, [("timestamp", True), tie], limit, offset),
             kept.agg(F.count("*").alias("total")))
 
 

@@ -40,12 +40,14 @@ def file_summary(results: DataFrame) -> DataFrame:
     return out.withColumn("pass_rate", _percent(F.col("passed"), F.col("total")))
 
 
-def aggregate_periods(log: DataFrame, period: str = "hour") -> DataFrame:
-    """Summary row per hour, day or week, from one scan of the log.
+_SUMS = ["n", "passed", "latency", "n_latency", "toxicity", "alignment", "n_scores", "n_flags"]
+
+
+def period_parts(log: DataFrame, period: str = "hour") -> DataFrame:
+    """Counts and sums per period and flag type, from one scan of the log.
 
-    Each evaluation is spread over its flags and counted on the first of them, so counts,
-    averages and flag counts come from one aggregation by period and flag type; a second,
-    tiny one gathers the flag types of a period into a map.
+    Each evaluation is spread over its flags and counted on the first of them, so what concerns evaluations and what
+    concerns flags comes from one aggregation. Parts of different rows add up.
     """
     has_scores = F.size("scores") > 0
     rows = log.select(
@@ -55,7 +57,7 @@ def aggregate_periods(log: DataFrame, period: str = "hour") -> DataFrame:
         F.posexplode_outer("flags").alias("at", "flag"))
     first = F.coalesce(F.col("at") == 0, F.lit(True))
     timed = first & (F.col("latency_ms") != 0)
-    by_type = rows.groupBy("period_start", flag_type(F.col("flag"), 30).alias("flag_type")).agg(
+    return rows.groupBy("period_start", flag_type(F.col("flag"), 30).alias("flag_type")).agg(
         F.count_if(first).alias("n"), F.count_if(first & F.col("passed")).alias("passed"),
         F.sum(F.when(timed, F.col("latency_ms"))).alias("latency"),
         F.count_if(timed).alias("n_latency"),
@@ -63,8 +65,18 @@ def aggregate_periods(log: DataFrame, period: str = "hour") -> DataFrame:
         F.sum(F.when(first, F.col("alignment"))).alias("alignment"),
         F.count_if(first & F.col("toxicity").isNotNull()).alias("n_scores"),
         F.count("flag").alias("n_flags"))
+
+
+def merged_parts(parts: DataFrame, period: str) -> DataFrame:
+    """``period_parts`` of several appends or shorter periods, as those of the whole."""
+    return parts.groupBy(F.date_trunc(period, "period_start").alias("period_start"), "flag_type").agg(
+        *[F.sum(c).alias(c) for c in _SUMS])
+
+
+def summary_of_parts(parts: DataFrame, period: str) -> DataFrame:
+    """Summary row per period; a second, tiny aggregation gathers the flag types of a period into a map."""
     pairs = F.collect_list(F.when(F.col("n_flags") > 0, F.struct("flag_type", "n_flags")))
-    out = by_type.groupBy("period_start").agg(
+    out = parts.groupBy("period_start").agg(
         F.sum("n").alias("total_evaluations"), F.sum("passed").alias("passed_count"),
         (F.sum("n") - F.sum("passed")).alias("failed_count"),
         F.coalesce(F.try_divide(F.sum("latency"), F.sum("n_latency")), F.lit(0.0))
@@ -78,6 +90,11 @@ def aggregate_periods(log: DataFrame, period: str = "hour") -> DataFrame:
                       F.lit(kind).alias("period_type"), *out.columns[1:])
 
 
+def aggregate_periods(log: DataFrame, period: str = "hour") -> DataFrame:
+    """Summary row per hour, day or week, from one scan of the log; ``operators.rollup`` keeps them up to date."""
+    return summary_of_parts(period_parts(log, period), period)
+
+
 def aggregate_hourly(log: DataFrame) -> DataFrame:
     return aggregate_periods(log, "hour")
 
@@ -108,7 +125,7 @@ def newest(log: DataFrame, size: int | None = None) -> DataFrame:
     slim = log.select("evaluation_id", "timestamp", "passed", "latency_ms", "scores", "flags")
     if size is None:
         return slim
-    return page(slim, [F.col("timestamp").desc(), F.col("evaluation_id").desc()], size)
+    return page(slim, [("timestamp", True), ("evaluation_id", True)], size)
 
 
 def _rates(totals: DataFrame) -> DataFrame:
