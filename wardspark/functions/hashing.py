@@ -23,9 +23,9 @@ def pair_key(prompt: Column, response: Column) -> Column:
 
 
 def evaluation_id(row_id: Column, key: Column) -> Column:
-    """``eval_`` and 12 hex digits, the same on every run."""
+    """``eval_`` and 24 hex digits (96 bits), the same on every run."""
     digest = F.sha2(F.concat(row_id.cast("string"), F.lit("|"), key), 256)
-    return F.concat(F.lit("eval_"), F.substring(digest, 1, 12))
+    return F.concat(F.lit("eval_"), F.substring(digest, 1, 24))
 
 
 def hmac_pads(secret: str) -> tuple[str, str]:

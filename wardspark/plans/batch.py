@@ -1,9 +1,12 @@
-"""Evaluations of whole batches: deduplicated, summarised, cut at the first failure."""
+"""Evaluations of whole batches: deduplicated, summarised, cut at or stopped after the first failure."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from wardspark.config import SCORE_KEYS, EvalConfig
 from wardspark.functions import hashing
@@ -36,34 +39,57 @@ def evaluate_file(spark: SparkSession, path: str, output: str,
     return file_summary(results)
 
 
+KEYS = ["prompt_hash", "response_hash"]
+
+
+def keyed(df: DataFrame, names: PairColumns = PairColumns()) -> DataFrame:
+    """``df`` with the digests of both texts; a null text has an empty one, so its rows meet, too."""
+    return df.withColumns({key: F.coalesce(hashing.text_hash(F.col(text)), F.lit(""))
+                           for key, text in zip(KEYS, (names.prompt, names.response))})
+
+
+def _sortable(df: DataFrame, name: str) -> Column:
+    column = F.col(name)
+    return F.array_sort(F.map_entries(column)) if isinstance(df.schema[name].dataType, MapType) else column
+
+
+def first_copies(rows: DataFrame, names: PairColumns = PairColumns()) -> DataFrame:
+    """Of the ``keyed`` rows of each pair those with the least id and, among these, the least model outputs: one, or
+    several that are equal in all that a result depends on.
+
+    Only digests, ids and model outputs are aggregated, combined per task; the texts are looked up by a join, whose hot
+    keys the adaptive skew join splits.
+    """
+    outputs = [c for c in (names.toxicity, names.toxicity_error, names.prompt_vector, names.response_vector,
+                           names.alignment_error) if c in rows.columns]
+    order = F.struct(F.col(names.id), *[_sortable(rows, c).alias(f"o{n}") for n, c in enumerate(outputs)])
+    least = rows.groupBy(*KEYS).agg(F.min(order).alias("_least"))
+    return rows.join(least, KEYS).filter(order.eqNullSafe(F.col("_least"))).drop("_least")
+
+
+def evaluated_copies(rows: DataFrame, config: EvalConfig, rule_list, names: PairColumns) -> DataFrame:
+    """The digests and the result of each pair of the ``keyed`` rows; the shared id comes from the pair alone."""
+    found = evaluate(first_copies(rows, names).withColumn(names.id, F.lit("")), config, rule_list, names)
+    return found.select(*KEYS, *[c for c in found.columns if c not in rows.columns]).dropDuplicates(KEYS)
+
+
 def dedup_evaluate(df: DataFrame, config: EvalConfig = EvalConfig(), rule_list=(),
                    names: PairColumns = PairColumns()) -> DataFrame:
-    """Evaluates each distinct pair once and gives its copies the same result.
+    """Evaluates each distinct pair once and gives its copies the same result; all columns stay.
 
-    Copies are found by the two text digests, never by the joined text. Repeated pairs
-    collapse before the shuffle, so a pair that makes up a third of the table sends one
-    row per task. The way back carries no texts or model inputs, only the other columns and
-    the digests; a hot pair there is split by the adaptive skew join.
+    Copies are found by the two text digests, never by the joined text; the first copy's model outputs
+    count, whatever the order of the rows. A hot pair is split by the adaptive skew join.
     """
-    keys = ["prompt_hash", "response_hash"]
-    # a null text has an empty digest, so its row finds its result too
-    hashed = df.withColumns({key: F.coalesce(hashing.text_hash(F.col(text)), F.lit(""))
-                             for key, text in zip(keys, (names.prompt, names.response))})
-    texts = [c for c in df.columns if c != names.id and c != names.context]
-    distinct = hashed.select(*keys, *texts).dropDuplicates(keys)
-    # the shared id comes from the pair alone
-    results = evaluate(distinct.withColumn(names.id, F.lit("")), config, rule_list, names)
-    results = results.select(*keys, *[c for c in results.columns
-                                      if c not in hashed.columns])
-    heavy = [names.prompt, names.response, names.context, names.toxicity,
-             names.prompt_vector, names.response_vector]
-    return hashed.drop(*heavy).join(results, keys, "inner").drop(*keys)
+    rows = keyed(df, names)
+    results = evaluated_copies(rows, config, rule_list, names)
+    return rows.join(results, KEYS).drop(*KEYS)
 
 
 def batch_fail_fast(df: DataFrame, batch: str, position: str) -> DataFrame:
     """Per batch the rows up to and including the first one that did not pass.
 
-    The first failures are pre-aggregated per task; no batch is ever gathered or sorted.
+    The first failures are pre-aggregated per task; no batch is ever gathered or sorted. Both sides read ``df``: store
+    results that are dear, or evaluate them by ``evaluate_until_failure``.
     """
     first = (df.filter(~F.col("passed")).groupBy(batch)
              .agg(F.min(position).alias("_first")))
@@ -72,6 +98,41 @@ def batch_fail_fast(df: DataFrame, batch: str, position: str) -> DataFrame:
             .drop("_first"))
 
 
+FIRST_WAVE = 64
+
+
+def evaluate_until_failure(df: DataFrame, batch: str, position: str, config: EvalConfig = EvalConfig(),
+                           rule_list=(), names: PairColumns = PairColumns(),
+                           first_wave: int = FIRST_WAVE) -> DataFrame:
+    """``batch_fail_fast`` that stops evaluating a batch soon after its first failure.
+
+    Waves of positions, each four times as long as all before, are evaluated and written one after the other; a batch that has
+    failed leaves the next wave. So no row is evaluated twice, a batch that fails at its n-th row has at most about
+    5 n rows evaluated, and there are few waves however long a batch is. Positions count from any number
+    and may have gaps; a null position is evaluated in the first wave.
+    """
+    start = F.coalesce(F.col(position).cast("long") - F.col("_start"), F.lit(0))
+    starts = df.groupBy(F.col(batch).alias("_batch")).agg(F.min(F.col(position).cast("long")).alias("_start"),
+                                                          F.max(F.col(position).cast("long")).alias("_end"))
+    starts = cut_lineage(starts)
+    longest = starts.agg(F.max(F.col("_end") - F.col("_start"))).head()[0] or 0
+    placed = df.join(starts, df[batch].eqNullSafe(starts["_batch"])).withColumn("_at", start).drop(
+        "_batch", "_start", "_end")
+    waves, failed, low, high = [], None, 0, first_wave
+    while low <= longest:
+        rows = placed.filter((F.col("_at") >= low) & (F.col("_at") < high))
+        if failed is not None:
+            rows = rows.join(failed, rows[batch].eqNullSafe(failed["_batch"]), "left_anti")
+        wave = cut_lineage(evaluate(rows.drop("_at"), config, rule_list, names))
+        waves.append(wave)
+        own = wave.filter(~F.col("passed")).select(F.col(batch).alias("_batch")).distinct()
+        failed = own if failed is None else failed.unionByName(own)
+        low, high = high, 5 * high
+    if not waves:
+        return evaluate(df.filter("false"), config, rule_list, names)
+    return batch_fail_fast(reduce(DataFrame.unionByName, waves), batch, position)
+
+
 def batch_summary(df: DataFrame, batch: str, error: str | None = None, also=()) -> DataFrame:
     """Totals per batch; a row with an error counts as error only. ``also`` are columns that a
     batch has one value of."""

@@ -50,11 +50,16 @@ def read_pairs_csv(spark: SparkSession, path: str, prompt_col: str = "prompt",
 
 
 def read_pairs_json(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of a JSON-lines file; a missing id is made from the texts."""
-    raw = spark.read.schema(schemas.PAIR).json(path)
-    made = F.sha2(F.concat_ws("|||", "prompt", "response"), 256)
+    """Pairs of a JSON-lines file; a missing id is made from the texts and the row's number.
+
+    The number tells rows with equal texts apart; a null text counts as another than an empty one.
+    """
+    raw = row_numbers(spark.read.schema(schemas.PAIR).json(path), "_row")
+    parts = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+             for c in ("prompt", "response")]
+    made = F.sha2(F.concat(F.col("_row").cast("string"), F.lit("|"), *parts), 256)
     return raw.withColumn("id", F.coalesce(
-        "id", F.concat(F.lit("item_"), F.substring(made, 1, 8))))
+        "id", F.concat(F.lit("item_"), F.substring(made, 1, 24)))).drop("_row")
 
 
 def next_turns(turns: DataFrame) -> DataFrame:
