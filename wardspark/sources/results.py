@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspark import schemas
@@ -80,14 +80,47 @@ def log_rows(results: DataFrame, source: str = "api") -> DataFrame:
 
 
 def append_evaluations(results: DataFrame, path: str, source: str = "api") -> None:
-    """Appends to the log, partitioned by day.
+    """Appends to the log, partitioned by day, and the days of the ids to a table beside it.
 
     Rows are balanced by day with adaptive splitting, so that a busy day is written by many
     tasks and a quiet one by few; inside a file they are sorted for row-group skipping.
     """
-    rows = log_rows(results, source).hint("rebalance", "dt")
-    (rows.sortWithinPartitions("dt", "source", "timestamp")
-     .write.mode("append").partitionBy("dt").parquet(path))
+    rows = log_rows(results, source)
+    # ids first: one without a row is harmless, a row without its id would not be found
+    (rows.select("evaluation_id", "dt", _drawer(F.col("evaluation_id")).alias("drawer"))
+     .repartition("drawer").sortWithinPartitions("drawer", "evaluation_id")
+     .write.mode("append").options(**_bloom("evaluation_id")).partitionBy("drawer").parquet(ids_path(path)))
+    (rows.hint("rebalance", "dt").sortWithinPartitions("dt", "source", "timestamp")
+     .write.mode("append").options(**_bloom("evaluation_id")).partitionBy("dt").parquet(path))
+
+
+def _bloom(column: str) -> dict[str, str]:
+    return {f"parquet.bloom.filter.enabled#{column}": "true"}
+
+
+def ids_path(path: str) -> str:
+    """Where the days of the ids of a log are."""
+    return path.rstrip("/") + "-ids"
+
+
+def _drawer(evaluation_id: Column) -> Column:
+    """One of 16 parts of the table of ids: the last digit of the id."""
+    return F.lower(F.right(evaluation_id, F.lit(1)))
+
+
+def find_evaluation(spark: SparkSession, path: str, evaluation_id: str) -> DataFrame:
+    """The rows of one id in the log at ``path``.
+
+    The table of ids tells the days: of one of its 16 parts, sorted by id, the row groups are read whose range and Bloom
+    filter may hold the id. Only these days of the log are read, and of them the row groups whose Bloom filter
+    may hold it.
+    """
+    wanted = F.lit(evaluation_id)
+    ids = spark.read.schema("evaluation_id string, dt date, drawer string").parquet(ids_path(path))
+    days = (ids.filter((F.col("drawer") == evaluation_id[-1:].lower()) & (F.col("evaluation_id") == wanted))
+            .agg(F.collect_set("dt")).scalar())
+    return spark.read.parquet(path).filter(F.array_contains(days, F.col("dt"))
+                                           & (F.col("evaluation_id") == wanted))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -145,6 +178,10 @@ def expire_days(spark: SparkSession, path: str, now, days: int) -> int:
     for day in per_day:
         if day != boundary:
             _delete_day(spark, path, day)
+    if _exists(spark, ids_path(path)):
+        ids = spark.read.schema("evaluation_id string, dt date, drawer string").parquet(ids_path(path))
+        cut_lineage(ids.filter(F.col("dt") >= cutoff_day)).write.mode("overwrite").options(
+            **_bloom("evaluation_id")).partitionBy("drawer").parquet(ids_path(path))
     return sum(per_day.values())
 
 
