@@ -10,6 +10,7 @@ from checks.planting import (PROMPT_PHRASES, RESPONSE_PHRASES, planted, planted_
 from wardspark.config import EvalConfig
 from wardspark.operators.rules import Rule
 from wardspark.plans.evaluate import evaluate
+from wardspark.session import scratch_path
 from wardspark.sources.pairs import pairs_from_conversations
 
 RULES = [
@@ -17,7 +18,7 @@ RULES = [
     Rule("secret", "Secrets", "secret, hidden", "keyword", 0.6, "block", "prompt"),
     Rule("spam", "Spam", "spam", "keyword"),
     Rule("rivals", "Rivals", "competitor,rival", "keyword", 0.9, "score", "response"),
-    Rule("greeting", "Capital word", r"\bparis\b", "regex", 0.55, "flag", "response"),
+    Rule("ferry", "Ferry word", r"\bferry\b", "regex", 0.55, "flag", "response"),
     Rule("broken", "Invalid", "(", "regex", 1.0),
     Rule("off", "Disabled", "the", "keyword", 1.0, enabled=False),
     Rule("bar", "Literal bar", "competitor | rival", "keyword", 0.7, "flag", "prompt"),
@@ -36,7 +37,11 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """``doc_id, text``: documents with planted phrases of both kinds."""
+    """``doc_id, text``: documents with planted phrases of both kinds, dealt out once per session."""
+    return stored(spark, sf, "texts", _texts)
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
     documents = dealt(table(spark, sf, "documents").select("doc_id", "text"))
     return documents.select("doc_id", planted(
         F.col("text"), F.col("doc_id"), PROMPT_PHRASES + RESPONSE_PHRASES).alias("text"))
@@ -48,7 +53,11 @@ TEXTS = ("texts AS (SELECT doc_id, "
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """``id, conv_id, turn, prompt, response, toxicity_scores``: planted pairs."""
+    """``id, conv_id, turn, prompt, response, toxicity_scores``: planted pairs, dealt out once per session."""
+    return stored(spark, sf, "pairs", _pairs)
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     found = dealt(pairs_from_conversations(table(spark, sf, "conversations")))
     key = F.col("conv_id") * 7 + F.col("turn")
     first = (F.col("conv_id") * 31 + F.col("turn") * 17) % 100
@@ -146,7 +155,7 @@ def flags_sql(config: EvalConfig = FULL) -> str:
 def evaluated_sql(config: EvalConfig = FULL) -> str:
     return (f"WITH {PAIRS}, {VECTORS}, {RAW_SCORES}, "
             f"evaluated AS (SELECT *, {flags_sql(config)} AS flags, "
-            f"'eval_' || substr(sha256(id || '|' || pair_key), 1, 12) AS evaluation_id "
+            f"'eval_' || substr(sha256(id || '|' || pair_key), 1, 24) AS evaluation_id "
             "FROM scored)")
 
 
@@ -155,19 +164,36 @@ EVALUATED = evaluated_sql()
 UNCODED_FLAG = "Manual review requested by the on-call moderation team today"
 
 
-def log(spark: SparkSession, sf: str, config: EvalConfig = FULL) -> DataFrame:
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf: str, label: str, make) -> DataFrame:
+    """``make(spark, sf)`` written once per session: log queries read a log, as in use, and don't score it."""
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in _STORED:
+        path = scratch_path(spark, label)
+        make(spark, sf).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def log(spark: SparkSession, sf: str) -> DataFrame:
     """The evaluation log: every event replays the pairs of one conversation."""
+    return stored(spark, sf, "log", _log)
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     size = turns.agg(F.max("conv_id") + 1).scalar()
     events = table(spark, sf, "events").withColumn("conv_id", F.col("event_id") % size)
-    joined = events.join(evaluated(spark, sf, config), "conv_id")
+    joined = events.join(evaluated(spark, sf), "conv_id")
     e = F.col("event_id")
     extra = F.when(e % 19 == 0, F.array(F.lit(UNCODED_FLAG))).otherwise(
         F.array().cast("array<string>"))
     ident = F.sha2(F.concat(e.cast("string"), F.lit("-"), F.col("id"), F.lit("|"), "pair_key"), 256)
     no_scores = F.create_map().cast("map<string,double>")
     return joined.select(
-        F.concat(F.lit("eval_"), F.substring(ident, 1, 12)).alias("evaluation_id"),
+        F.concat(F.lit("eval_"), F.substring(ident, 1, 24)).alias("evaluation_id"),
         F.col("ts").cast("timestamp").alias("timestamp"), "prompt", "response",
         (F.col("passed") & (e % 19 != 0)).alias("passed"),
         F.when(e % 29 == 0, no_scores).otherwise(F.col("scores")).alias("scores"),
@@ -182,7 +208,7 @@ def log(spark: SparkSession, sf: str, config: EvalConfig = FULL) -> DataFrame:
 
 
 LOG = EVALUATED + (
-    ", log AS (SELECT 'eval_' || substr(sha256(event_id || '-' || id || '|' || pair_key), 1, 12) "
+    ", log AS (SELECT 'eval_' || substr(sha256(event_id || '-' || id || '|' || pair_key), 1, 24) "
     "AS evaluation_id, ts AS \"timestamp\", prompt, response, "
     "(len(flags) = 0 AND event_id % 19 <> 0) AS passed, "
     + ", ".join(f"CASE WHEN event_id % 29 = 0 THEN NULL ELSE {n} END AS {n}" for n in SCORES)

@@ -254,7 +254,7 @@ def _(spark, sf):
 
 
 # Naive Bayes spelt out: log priors and log shares of the buckets, both smoothed by 1.
-@check("toxicity_model", f"""
+@check("toxicity_bayes", f"""
 WITH words AS (SELECT doc_id, unnest({S.word_buckets('text', 1 << 14)}) AS bucket FROM documents),
 counted AS (SELECT doc_id, bucket, count(*) AS n FROM words GROUP BY ALL),
 learnt AS (SELECT doc_id, toxic FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
@@ -271,11 +271,21 @@ sums AS (SELECT doc_id, sum(n * weight) AS weight FROM counted JOIN weights USIN
 SELECT d.doc_id, round(1 / (1 + exp(least(-(odds + coalesce(s.weight, 0)), 700))), 6) AS toxicity
 FROM documents d LEFT JOIN sums s USING (doc_id) CROSS JOIN prior""")
 def _(spark, sf):
-    """Stand-in model, trained on the labelled documents and applied to all of them."""
+    """Naive Bayes, trained on the labelled documents and applied to all of them."""
+    return _by_model(spark, sf, toxicity.train_bayes)
+
+
+@check("toxicity_model")
+def _(spark, sf):
+    """Logistic regression on TF-IDF, trained on the labelled documents and applied to all of them; a test
+    compares it with a plain fit."""
+    return _by_model(spark, sf, toxicity.train_stand_in)
+
+
+def _by_model(spark, sf, train):
     documents = B.table(spark, sf, "documents").select("doc_id", "text")
     labelled = documents.join(B.table(spark, sf, "labels"), "doc_id")
-    model = toxicity.train_stand_in(labelled, "text", "toxic")
-    out = toxicity.toxicity_model(documents, "text", model)
+    out = toxicity.toxicity_model(documents, "text", train(labelled, "text", "toxic"))
     return out.select("doc_id", B.six(F.col("toxicity_scores")["toxicity"]).alias("toxicity"))
 
 
@@ -387,3 +397,66 @@ WITH {B.TEXTS} SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100)
   ELSE text END AS preview FROM texts""")
 def _(spark, sf):
     return B.texts(spark, sf).select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+# A table of rules made of the documents' own words: keywords, phrases, patterns, and some that need no literal.
+_RULE_TABLE = r"""words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents),
+picked AS (SELECT doc_id, w[doc_id * 7 % len(w) + 1] AS a, coalesce(w[doc_id * 7 % len(w) + 2], 'x') AS b,
+  w[doc_id * 13 % len(w) + 1] AS c FROM words WHERE len(w) > 0),
+rule_table AS (SELECT 'rule-' || doc_id AS rule_id, doc_id % 10 / 10.0::DOUBLE AS severity,
+  CASE WHEN doc_id % 50 = 4 THEN '[0-9]{' || doc_id % 7 || ',}x?' WHEN doc_id % 5 = 0 THEN a || ' ' || b || ', ' || c
+    WHEN doc_id % 5 = 1 THEN a || '\s+' || b WHEN doc_id % 5 = 2 THEN '(?:' || a || '|' || b || ')[.,]\s+' || c
+    WHEN doc_id % 5 = 3 THEN upper(a) || ' ,' || b ELSE '(' || a || ')+ (' || b || '|' || c || ')' END AS pattern,
+  CASE WHEN doc_id % 50 <> 4 AND doc_id % 5 IN (0, 3) THEN 'keyword' ELSE 'regex' END AS rule_type,
+  CASE WHEN doc_id % 3 = 0 THEN 'prompt' WHEN doc_id % 3 = 1 THEN 'response' ELSE 'both' END AS apply_to,
+  doc_id % 17 <> 0 AS enabled FROM picked)"""
+
+
+def _rule_table(spark, sf):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0)
+    d, w = F.col("doc_id"), F.col("w")
+
+    def word(factor, more=0):
+        return F.get(w, (d * factor % F.size(w) + more).cast("int"))
+
+    picked = (B.table(spark, sf, "documents").select("doc_id", words.alias("w")).filter("size(w) > 0")
+              .select("doc_id", word(7).alias("a"), F.coalesce(word(7, 1), F.lit("x")).alias("b"),
+                      word(13).alias("c")))
+    plain = d % 50 != 4
+    pattern = F.expr(r"""CASE WHEN doc_id % 50 = 4 THEN '[0-9]{' || doc_id % 7 || ',}x?'
+      WHEN doc_id % 5 = 0 THEN a || ' ' || b || ', ' || c WHEN doc_id % 5 = 1 THEN a || '\\s+' || b
+      WHEN doc_id % 5 = 2 THEN '(?:' || a || '|' || b || ')[.,]\\s+' || c
+      WHEN doc_id % 5 = 3 THEN upper(a) || ' ,' || b ELSE '(' || a || ')+ (' || b || '|' || c || ')' END""")
+    return picked.select(
+        F.concat(F.lit("rule-"), d.cast("string")).alias("rule_id"), F.lit("made").alias("name"),
+        pattern.alias("pattern"), F.when(plain & (d % 5).isin(0, 3), "keyword").otherwise("regex").alias("rule_type"),
+        (d % 10 / F.lit(10.0)).alias("severity"), F.when(d % 3 == 0, "prompt").when(
+            d % 3 == 1, "response").otherwise("both").alias("apply_to"), (d % 17 != 0).alias("enabled"))
+
+
+_TABLE_HITS = f"""{B.TEXTS}, {_RULE_TABLE}, hits AS (SELECT doc_id, rule_id, severity FROM texts, rule_table
+  WHERE enabled AND apply_to IN ('response', 'both') AND text <> '' AND CASE WHEN rule_type = 'regex'
+    THEN regexp_matches(text, '(?i)' || pattern) ELSE len(list_filter(string_split(pattern, ','),
+      lambda k: contains(lower(text), lower(trim(k))))) > 0 END)"""
+
+
+@check("rule_hits_large", f"WITH {_TABLE_HITS} SELECT doc_id, rule_id, severity FROM hits")
+def _(spark, sf):
+    """A table with a rule per document, joined with all texts."""
+    out = rules.rule_hits(B.texts(spark, sf), "text", _rule_table(spark, sf), "response")
+    return out.select("doc_id", "rule_id", "severity")
+
+
+@check("rule_score_large", f"""WITH {_TABLE_HITS} SELECT doc_id, coalesce(max(severity), 0) AS score,
+  coalesce(max(severity), 0) <= 0.5::DOUBLE AS passed FROM texts LEFT JOIN hits USING (doc_id) GROUP BY doc_id""")
+def _(spark, sf):
+    out = rules.rule_score(B.texts(spark, sf), "text", _rule_table(spark, sf), "response")
+    return out.select("doc_id", "score", "passed")
+
+
+@check("rule_match_stats_large", f"""WITH {_TABLE_HITS} SELECT r.rule_id, count(doc_id) AS match_count,
+  max(doc_id) AS last_matched_at FROM rule_table r LEFT JOIN hits USING (rule_id) GROUP BY r.rule_id""")
+def _(spark, sf):
+    """The greatest document id stands for the last time."""
+    out = rules.rule_match_stats(B.texts(spark, sf), "text", "doc_id", _rule_table(spark, sf), "response")
+    return out.select("rule_id", "match_count", "last_matched_at")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from checks import base as B
-from checks.registry import ORACLES, check
+from checks.registry import ORACLES, QUERIES, check
 from wardspark.operators import log as L
 from wardspark.operators import metrics as M
 from wardspark.session import scratch_path
@@ -54,7 +54,7 @@ FROM log QUALIFY n > 9995 AND n <= 10100""")
 def _(spark, sf):
     """A page so far from the front that it is found by rank."""
     slim = B.log(spark, sf).select("timestamp", "evaluation_id")
-    order = [F.col("timestamp").desc(), F.col("evaluation_id").asc()]
+    order = L.NEWEST_FIRST
     rows = L.page(slim, order, 105, 9995)
     return L.running_total(rows, [], order, "n").select("evaluation_id", (F.col("n") + 9995)
                                                         .alias("n"))
@@ -71,6 +71,21 @@ def _(spark, sf):
     return L.get_evaluation(log, wanted).select("evaluation_id", "id", "event_id", "passed")
 
 
+@check("find_evaluation", f"""
+{B.LOG} SELECT evaluation_id, id, passed, strftime("timestamp", '%Y-%m-%d') AS dt FROM log
+WHERE evaluation_id = ({_SOME_ID})""")
+def _(spark, sf):
+    """The same row in a log on disk: one day of it is read."""
+    path = scratch_path(spark, "evaluations")
+    log = B.log(spark, sf)
+    results.append_evaluations(log, path)
+    wanted = log.filter("source = 'cli'").agg(F.max("evaluation_id")).head()[0]
+    found = results.find_evaluation(spark, path, wanted)
+    known = log.select("evaluation_id", "id").distinct()
+    return found.join(known, "evaluation_id").select(
+        "evaluation_id", "id", "passed", F.date_format("dt", "yyyy-MM-dd").alias("dt"))
+
+
 @check("search_evaluations", f"""
 {B.LOG} SELECT evaluation_id, {B.stamp_sql('"timestamp"')} FROM log
 WHERE prompt ILIKE '%sys_em PROMPT%' OR response ILIKE '%sys_em PROMPT%'
@@ -181,8 +196,6 @@ def _(spark, sf):
                       _near("avg_latency").alias("avg_latency"))
 
 
-_NEWEST = ("newest AS (SELECT * FROM log ORDER BY \"timestamp\" DESC, evaluation_id DESC "
-           "LIMIT 10000)")
 _SUMMARY = """summary AS (SELECT count(*) AS total_evaluations,
   count(*) FILTER (passed) AS passed_count, count(*) FILTER (NOT passed) AS failed_count,
   avg(coalesce(latency_ms, 0)) AS average_latency_ms,
@@ -191,16 +204,6 @@ _SUMMARY = """summary AS (SELECT count(*) AS total_evaluations,
 
 
 @check("metrics_summary", f"""
-{B.LOG}, {_NEWEST}, {_SUMMARY} SELECT total_evaluations, passed_count, failed_count,
-  {_six_sql('average_latency_ms')}, {_six_sql('evaluations_per_minute')} FROM summary""")
-def _(spark, sf):
-    out = M.metrics_summary(B.log(spark, sf), 10_000)
-    return out.select("total_evaluations", "passed_count", "failed_count",
-                      *[_near(c).alias(c) for c in ("average_latency_ms",
-                                                    "evaluations_per_minute")])
-
-
-@check("metrics_summary_whole", f"""
 {B.LOG}, newest AS (FROM log), {_SUMMARY} SELECT total_evaluations, passed_count, failed_count,
   {_six_sql('average_latency_ms')}, {_six_sql('evaluations_per_minute')} FROM summary""")
 def _(spark, sf):
@@ -226,7 +229,7 @@ def _(spark, sf):
 
 
 @check("prometheus_rows", f"""
-{B.LOG}, {_NEWEST}, {_SUMMARY}, averages AS (""" + " UNION ALL ".join(
+{B.LOG}, newest AS (FROM log), {_SUMMARY}, averages AS (""" + " UNION ALL ".join(
     f"SELECT '{B.KEYS[n]}' AS metric, avg({n}) AS value FROM newest" for n in B.SCORES) + """)
 SELECT 'guardrail_evaluations_total' AS name, 'counter' AS type,
   total_evaluations::VARCHAR AS value FROM summary
@@ -239,12 +242,12 @@ UNION ALL SELECT 'guardrail_evaluations_per_minute', 'gauge',
 UNION ALL SELECT 'guardrail_score_' || metric || '_avg', 'gauge', printf('%.4f', value)
   FROM averages""")
 def _(spark, sf):
-    return M.prometheus_rows(B.log(spark, sf), 10_000)
+    return M.prometheus_rows(B.log(spark, sf))
 
 
-@check("prometheus_rows_whole", ORACLES["prometheus_rows"].replace(_NEWEST, "newest AS (FROM log)"))
-def _(spark, sf):
-    return M.prometheus_rows(B.log(spark, sf))
+# the names of an earlier round, when the newest rows were registered too
+for _name in ("metrics_summary", "prometheus_rows"):
+    check(f"{_name}_whole", ORACLES[_name])(QUERIES[_name])
 
 
 @check("history_metrics", f"""

@@ -11,7 +11,7 @@ from checks import sql as S
 from checks.registry import check
 from wardspark.config import SCORE_KEYS, EvalConfig
 from wardspark.functions import patterns as P
-from wardspark.plans import batch
+from wardspark.plans import batch, cache
 from wardspark.plans import evaluate as ev
 from wardspark.session import scratch_path
 from wardspark.sources.results import CSV_OPTIONS
@@ -168,6 +168,7 @@ def _(spark, sf):
     return out.select("id", _flags(), "custom_rule_violations", "passed")
 
 
+_SOME_CACHED = B.FULL.only(["hallucination", "pii", "prompt_injection", "custom_rules"])
 _COPIES = ("copies AS (SELECT id || '#' || copy AS id, conv_id, turn, prompt, response, tox_1, "
            "tox_2 FROM pairs, (SELECT unnest([1, 2, 3]) AS copy))")
 
@@ -176,7 +177,7 @@ _COPIES = ("copies AS (SELECT id || '#' || copy AS id, conv_id, turn, prompt, re
 WITH {B.PAIRS}, {_COPIES.replace('copies AS', 'originals AS')},
 {B.VECTORS.replace('FROM pairs p', 'FROM originals p')}, {B.RAW_SCORES},
 evaluated AS (SELECT *, {B.flags_sql()} AS flags,
-  'eval_' || substr(sha256('|' || pair_key), 1, 12) AS evaluation_id FROM scored)
+  'eval_' || substr(sha256('|' || pair_key), 1, 24) AS evaluation_id FROM scored)
 SELECT id, evaluation_id, pair_key, hal_, flags, passed FROM (SELECT id, evaluation_id, pair_key,
   round(hal, 6) AS hal_, {_FLAGS_SQL}, len(flags) = 0 AS passed FROM evaluated)""")
 def _(spark, sf):
@@ -190,6 +191,23 @@ def _(spark, sf):
                       B.six(F.col("scores")["hallucination_risk"]).alias("hal_"), _flags(), "passed")
 
 
+@check("evaluate_cached", f"""
+{B.evaluated_sql(_SOME_CACHED)}, runs AS (SELECT conv_id % 3 AS part, prompt, response FROM evaluated)
+SELECT id, {_FLAGS_SQL}, round(hal, 6) AS hal, len(flags) = 0 AS passed,
+  (SELECT count(*) FROM (SELECT DISTINCT prompt, response FROM runs WHERE part < 2)) AS after_first,
+  (SELECT count(*) FROM (SELECT DISTINCT prompt, response FROM runs)) AS after_second,
+  (SELECT count(*) FROM (SELECT DISTINCT prompt, response FROM runs)) AS after_third FROM evaluated""")
+def _(spark, sf):
+    """Two thirds of the conversations, then all, then all again: the pairs stored after each run."""
+    store = cache.ResultCache(spark, scratch_path(spark, "results"), 8)
+    rows, stored = B.pairs(spark, sf), []
+    for part in (rows.filter("conv_id % 3 < 2"), rows, rows):
+        out = cache.evaluate_cached(part, store, _SOME_CACHED, B.RULES)
+        stored.append(store.size(_SOME_CACHED, B.RULES))
+    return out.select("id", _flags(), B.six(F.col("scores")["hallucination_risk"]).alias("hal"), "passed", *[
+        F.lit(n).cast("long").alias(f"after_{k}") for n, k in zip(stored, ("first", "second", "third"))])
+
+
 @check("evaluate_batch", f"""
 {B.EVALUATED} SELECT conv_id, turn, {_FLAGS_SQL}, len(flags) = 0 AS passed FROM evaluated""")
 def _(spark, sf):
@@ -227,6 +245,17 @@ def _(spark, sf):
     return out.select("id", "passed")
 
 
+@check("evaluate_until_failure", f"""
+{B.EVALUATED}, b AS (SELECT id, conv_id, turn, len(flags) = 0 AS passed FROM evaluated)
+SELECT id, passed FROM b WHERE turn <= coalesce(
+  (SELECT min(turn) FROM b f WHERE f.conv_id = b.conv_id AND NOT f.passed), turn)""")
+def _(spark, sf):
+    """The same rows by waves: a conversation that has failed is evaluated no further."""
+    out = batch.evaluate_until_failure(B.with_vectors(spark, sf), "conv_id", "turn", B.FULL, B.RULES,
+                                       first_wave=3)
+    return out.select("id", "passed")
+
+
 @check("batch_summary", f"""
 {B.EVALUATED}, b AS (SELECT conv_id, len(flags) = 0 AS passed, turn % 8 = 6 AS bad FROM evaluated)
 SELECT conv_id, count(*) AS total, count(*) FILTER (NOT bad AND passed) AS passed_count,

@@ -217,12 +217,14 @@ def _(spark, sf):
 
 
 @check("read_pairs_json", f"""
-WITH {B.PAIRS} SELECT CASE WHEN turn = 0 THEN 'item_' || substr(sha256(prompt || '|||' || response),
-  1, 8) ELSE id END AS id, prompt, response, CASE WHEN turn > 2 THEN id END AS context,
-  conv_id::VARCHAR AS conversation FROM pairs""")
+WITH {B.PAIRS}, numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM pairs)
+SELECT CASE WHEN turn = 0 THEN 'item_' || substr(sha256(n || '|' || strlen(prompt) || ':' || prompt
+  || strlen(response) || ':' || response), 1, 24) ELSE id END AS id, prompt, response,
+  CASE WHEN turn > 2 THEN id END AS context, conv_id::VARCHAR AS conversation FROM numbered""")
 def _(spark, sf):
+    """Every first turn without an id of its own."""
     path = scratch_path(spark, "pairs-json")
-    p = B.pairs(spark, sf)
+    p = B.pairs(spark, sf).orderBy("conv_id", "turn")
     p.select(F.when(F.col("turn") != 0, F.col("id")).alias("id"), "prompt", "response",
              F.when(F.col("turn") > 2, F.col("id")).alias("context"),
              F.create_map(F.lit("conversation"), F.col("conv_id").cast("string"))

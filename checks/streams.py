@@ -50,9 +50,14 @@ FROM log GROUP BY date_trunc('hour', "timestamp")
 HAVING date_trunc('hour', "timestamp") + INTERVAL 1 HOUR
   <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM log)""")
 def _(spark, sf):
-    """Hours that the watermark has passed when the log has been read."""
+    """Hours that the watermark has passed when the log has been read, ten days a micro-batch."""
     rows = B.log(spark, sf).select("timestamp", "passed", "latency_ms", "scores")
-    out = _drained(spark, jobs.stream_hourly(_as_stream(spark, rows)))
+    path = scratch_path(spark, "stream-in")
+    third = F.least(F.floor((F.dayofmonth("timestamp") - 1) / 10), F.lit(2))
+    for n in range(3):
+        rows.filter(third == n).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = _drained(spark, jobs.stream_hourly(stream))
     return out.select(B.stamp("period_start"), "total_evaluations", "passed_count", "failed_count",
                       F.round(F.col("avg_latency_ms") + 1.23e-8, 6).alias("avg_latency_ms"),
                       "min_latency_ms", "max_latency_ms",
@@ -107,6 +112,28 @@ def _(spark, sf):
 @check("stream_dedup", f"""
 {B.LOG} SELECT DISTINCT sha256(prompt || '|||' || response) AS pair_key FROM log""")
 def _(spark, sf):
-    """The replayed pairs of the log, each one kept once."""
-    rows = B.log(spark, sf).select("timestamp", "prompt", "response")
-    return _drained(spark, jobs.stream_dedup(_as_stream(spark, rows))).select("pair_key")
+    """The replayed pairs of the log, each one kept once, over several micro-batches. The delay spans the log, since
+    its rows come in any order."""
+    rows = B.log(spark, sf).select("timestamp", "prompt", "response").repartition(4)
+    return _drained(spark, jobs.stream_dedup(_as_stream(spark, rows, 2), late="60 days")).select("pair_key")
+
+
+@check("batch_events", f"""
+{B.EVALUATED} SELECT CASE WHEN conv_id % 5 = 1 THEN 'batch.incomplete' ELSE 'batch.completed' END AS event,
+  conv_id AS batch_id, count(*) AS total, count(*) FILTER (len(flags) = 0) AS passed,
+  count(*) FILTER (len(flags) > 0) AS failed FROM evaluated GROUP BY conv_id""")
+def _(spark, sf):
+    """Every fifth conversation waits for a row that never comes, until its time is out."""
+    rows = B.evaluated(spark, sf).select("conv_id", "passed", F.lit("2024-01-01").cast("timestamp").alias("timestamp"))
+    sizes = rows.groupBy("conv_id").agg((F.count("*") + F.when(F.col("conv_id") % 5 == 1, 1).otherwise(0)).alias("size"))
+    path = scratch_path(spark, "stream-in")
+    rows.join(sizes, "conv_id").repartition(3).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    # two rows of a day later let the time of the others run out; their own batches stay open
+    later = spark.createDataFrame([(-n, True, 9) for n in (1, 2)], "conv_id long, passed boolean, size long")
+    for _ in range(2):
+        later.withColumn("timestamp", F.lit("2024-01-02").cast("timestamp")).select(schema.names).coalesce(1).write.mode(
+            "append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = _drained(spark, jobs.batch_events(stream, "conv_id", "size"))
+    return out.select("event", F.col("conv_id").alias("batch_id"), "total", "passed", "failed")
