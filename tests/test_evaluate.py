@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,8 +205,8 @@ def test_many_rules_agree_with_python(spark, size):
 def test_rules_from_other_spelling(spark):
     found = rules.rules_from_rows([{"id": "x", "type": "keyword", "name": "n", "pattern": "p"}])
     assert found == [Rule("x", "n", "p", "keyword")]
-    with pytest.raises(ValueError):
-        rules.rules_from_rows([{"id": "x", "type": "script", "name": "n", "pattern": "p"}])
+    script = rules.rules_from_rows([{"id": "x", "type": "script", "name": "n", "pattern": "p"}])
+    assert rules.rule_problems(spark, script).head().problem == "unknown type script"
 
 
 def sample(spark):
@@ -279,3 +280,29 @@ def test_rules_that_cannot_be_used(spark):
     assert rules.rule_problems(spark, []).count() == 0
     with pytest.warns(UserWarning, match="rule a"):
         assert [r.rule_id for r in rules.usable(spark, listed)] == ["b", "e"]
+
+
+def test_stand_in_equals_a_plain_fit(spark):
+    """TF-IDF and logistic regression by Newton steps in numpy."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{n}" for n in range(60)])
+    labels = [n % 2 for n in range(120)]
+    texts = [" ".join(rng.choice(words[y * 15:y * 15 + 45], rng.integers(0, 20))) for y in labels]
+    df = spark.createDataFrame(list(zip(texts, labels)) + [("w1 w2", None), (None, 1)], "t string, y int").repartition(3)
+    model = toxicity.train_stand_in(df, "t", "y", features=32)
+    counts = model.stages[1].transform(model.stages[0].transform(
+        spark.createDataFrame([(t, n) for n, t in enumerate([*texts, ""])], "_text string, n int"))).orderBy("n")
+    tf = np.array([r["_counts"].toArray() for r in counts.collect()])
+    assert tf.sum() == sum(len(t.split(" ")) if t else 1 for t in [*texts, ""])
+    y = np.array([*labels, 1])
+    x = tf * np.log((len(y) + 1) / ((tf > 0).sum(0) + 1))
+    a = np.hstack([x, np.ones((len(y), 1))])
+    w, penalty = np.zeros(33), 1e-3 * np.eye(33)
+    penalty[-1, -1] = 0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve(a.T @ ((p * (1 - p))[:, None] * a) / len(y) + penalty, a.T @ (p - y) / len(y) + penalty @ w)
+    found = toxicity.toxicity_model(spark.createDataFrame([(t,) for t in texts], "t string"), "t", model)
+    got = {r.t: r.toxicity_scores["toxicity"] for r in found.collect()}
+    for text, share in zip(texts, 1 / (1 + np.exp(-a[:-1] @ w))):
+        assert got[text] == pytest.approx(share, abs=1e-4)

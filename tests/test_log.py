@@ -69,7 +69,7 @@ def test_running_total_equals_a_plain_sum(spark, hot):
     rows = [(i, "hot" if rng.random() < hot else rng.choice(["a", "b", None]), rng.randint(0, 50),
              rng.randint(1, 9)) for i in range(2000)]
     df = spark.createDataFrame(rows, "n int, g string, o int, w int").repartition(5)
-    got = running_total(df, ["g"], [F.col("o").desc(), F.col("n").asc()], "total", F.col("w"), 8)
+    got = running_total(df, ["g"], [("o", True), "n"], "total", F.col("w"), 8)
     seen, expected = {}, {}
     for n, g, o, w in sorted(rows, key=lambda r: (-r[2], r[0])):
         seen[g] = seen.get(g, 0) + w
@@ -275,3 +275,31 @@ def test_stream_dedup(spark):
     stream = jobs.stream_dedup(spark.readStream.schema(schema).parquet(path))
     jobs.run_to_files(stream, out, scratch_path(spark, "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+@pytest.mark.parametrize("slices", [1, 2, 5, 64])
+def test_running_total_with_nulls_and_directions(spark, slices):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, "a"]), rng.choice([None, 1, 2, 3]), rng.choice([None, "x", "y"])) for i in range(500)]
+    df = spark.createDataFrame(rows, "n int, g string, o int, s string").repartition(3)
+    order = [("o", True), "s", ("n", True)]
+    got = {r.n: r.at for r in running_total(df, ["g"], order, "at", slices=slices).collect()}
+    # nulls are the smallest values: last when descending, first when ascending
+    wanted, seen = {}, {}
+    for n, g, _, _ in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[3] is not None, r[3] or "", -r[0])):
+        seen[g] = seen.get(g, 0) + 1
+        wanted[n] = seen[g]
+    assert got == wanted
+
+
+def test_ranking_starts_no_job_before_it_is_asked_for(spark):
+    rows = log(spark)
+    context = spark.sparkContext
+    context.setJobGroup("lazy", "plans only")
+    L.timeline(rows, "source")
+    L.page(rows, L.NEWEST_FIRST, 10, 20_000)
+    metrics.score_quartiles(rows)
+    metrics.period_metrics(rows, "week")
+    assert list(context.statusTracker().getJobIdsForGroup("lazy")) == []
+    context.setJobGroup("", "")
+    assert running_total(rows.filter("false"), [], ["evaluation_id"], "n").count() == 0

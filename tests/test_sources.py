@@ -50,6 +50,14 @@ def test_json_pairs_get_the_same_id_every_time(spark, tmp_path):
     assert first == second and first[1] == "x" and first[0].startswith("item_")
 
 
+def test_made_ids_tell_equal_and_null_texts_apart(spark, tmp_path):
+    path = tmp_path / "pairs.json"
+    path.write_text('{"prompt": "p", "response": "r"}\n' * 3 + '{"prompt": "p|||r"}\n'
+                    '{"prompt": "p|||r", "response": ""}\n')
+    ids = [r.id for r in pairs.read_pairs_json(spark, str(path)).collect()]
+    assert len(set(ids)) == 5 and all(len(i) == 29 for i in ids)
+
+
 def test_conversations(spark):
     turns = spark.createDataFrame([
         (1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "assistant", "a1"), (1, 3, "user", "q2"),
@@ -101,7 +109,9 @@ def test_rules_are_appended_once(spark, tmp_path):
                     '{"rule_id": "s", "name": "S", "rule_type": "script", "pattern": "x"}\n')
     known = rules.read_rules(spark, str(path))
     assert [tuple(r) for r in known.collect()] == [
-        ("a", "A", "x", "keyword", 0.5, "flag", "both", True)]
+        ("a", "A", "x", "keyword", 0.5, "flag", "both", True),
+        ("s", "S", "x", "script", 0.5, "flag", "both", True)]
+    known = known.filter("rule_id = 'a'")
     new = known.withColumn("pattern", F.lit("y")).unionByName(
         known.withColumn("rule_id", F.lit("b"))).unionByName(known.withColumn("rule_id", F.lit("b")))
     got = {r.rule_id: r.pattern for r in rules.append_rules(known, new).collect()}
