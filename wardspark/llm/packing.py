@@ -34,13 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardspark.llm.columns import runs, slices
 from wardspark.llm.common import written
 
 LENGTH = 4096
 # Words that a task remembers; then it forgets all and goes on.
 REMEMBERED = 500_000
-# Texts of about so many bytes are encoded at once.
-SLICE_BYTES = 8 << 20
 # New words are given to the library in lines of so many.
 LINE = 200
 PIECE = "piece int, start long, length int, ids_crc32 long"
@@ -110,30 +109,18 @@ class WordCoder:
         return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
 
-def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers ``start, start + 1, ...``, as many as the size says, of one run after another."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 def _coder(path: str) -> WordCoder:
     if path not in _CODERS:
         _CODERS[path] = WordCoder(path)
     return _CODERS[path]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    at = np.cumsum(pc.binary_length(batch.column("text").fill_null("")).to_numpy()) // SLICE_BYTES
-    bounds = [*np.unique(at, return_index=True)[1].tolist(), batch.num_rows]
-    for begin, end in zip(bounds, bounds[1:]):
-        yield batch.slice(begin, end - begin)
-
-
 def _cut(tokenizer: str, end_id: int, length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = _coder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)  # pieces of each length so far
         for batch in batches:
-            for rows in _slices(batch):
+            for rows in slices(batch):
                 ids, sizes = coder.encode(rows.column("text").fill_null(""))
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id).astype("<u4", copy=False)
@@ -242,7 +229,8 @@ def plan(counts: np.ndarray, length: int = LENGTH) -> list[tuple[int, list[tuple
     """``(sequences, [(length, times), ...])``: patterns that use up ``counts`` (pieces by length)."""
     stock, patterns = Stock(counts), []
     while (first := stock.longest(length)) > 0:
-        many = int(stock.counts[first])
+        # no more sequences than could hold all pieces of this length alone; the rest may fill gaps
+        many = -(-int(stock.counts[first]) // (length // first))
         stock.take(first, many)
         groups = [(many, length - first, [(first, 1)])]
         while groups:
