@@ -151,15 +151,15 @@ def manifest(docs: DataFrame, fields: list[str], order: str, group: str,
     leaves = written(docs.select(
         F.col(group).alias("grp"), F.col(order).alias("place"),
         F.col(order).cast("string").alias("key"), leaf([F.col(f) for f in fields]).alias("digest"),
-        leaf([shown.get(f, F.col(f)) for f in fields]).alias("shown")), "leaves")
-    # the row's number in the written table lets many equal rows spread over many ranges
-    numbered = running_total(leaves.withColumn("nth", F.monotonically_increasing_id()), ["grp"],
-                             [F.col(c) for c in ("place", "digest", "nth")], "upto")
+        leaf([shown.get(f, F.col(f)) for f in fields]).alias("shown"),
+        # a number of the row lets many equal rows spread over many slices
+        F.monotonically_increasing_id().alias("nth")), "leaves")
+    numbered = running_total(leaves, ["grp"], ["place", "digest", "nth"], "upto")
     nodes = written(numbered.select("grp", (F.col("upto") - 1).alias("at"), "key", "digest", "shown"),
                     "numbered")
     groups = _Tree(nodes, "groups")
     subroots = running_total(groups.tops().select(F.lit(0).alias("all"), "grp", "digest"), ["all"],
-                             [F.col("grp")], "upto")
+                             ["grp"], "upto")
     subroots = written(subroots.select(F.lit(0).alias("grp"), (F.col("upto") - 1).alias("at"), "digest",
                                        F.col("grp").alias("named")), "subroots")
     whole = _Tree(subroots.select("grp", "at", "digest"), "whole")
