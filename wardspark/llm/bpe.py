@@ -7,46 +7,34 @@ being allowed to stand together if their joined bytes encode to just these two.
 sequence is read off backwards. So appending only adds places, and after an edit the places behind
 it are recomputed until as many in a row as the longest token has bytes agree with the old ones.
 
-Time is linear in the bytes, whatever the text. A null text is empty; an empty text has no
-ids and decodes to nothing.
+Time is linear in the bytes, whatever the text and however long. A null text is empty; an empty text has no
+ids and decodes to nothing. Each row is coded on its own, so repeated rows and ties give equal results; an empty
+table gives an empty one. ``encode_documents`` keeps whole rows, so no column can clash.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from wardspark.llm.columns import LONG, ColumnCoder, runs, slices
 from wardspark.llm.common import whole_row
 
 # Pieces that a task remembers; then it forgets all and goes on.
 REMEMBERED = 500_000
-# Longer pieces (in characters) are not remembered.
-LONG = 64
-UNEVEN = re.compile(r" \s|\s ")
-GAP = re.compile(r"(?<=\S) (?=\S)")
-
-
-def parts(text: str) -> list[str]:
-    """The text cut before each single space between two characters that aren't white space.
-
-    A byte-level pattern always cuts there, so the parts can be encoded apart.
-    """
-    if not UNEVEN.search(text):
-        first, *rest = text.split(" ")
-        return [first, *[" " + word for word in rest]]
-    cuts = [0, *[gap.start() for gap in GAP.finditer(text)], len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
-
+# Texts of about so many bytes are decoded at once.
+DECODED_BYTES = 1 << 20
 
 class Vocabulary:
     """Ranks of byte strings, the pattern that cuts a text, and what has been learned on the way."""
@@ -62,7 +50,6 @@ class Vocabulary:
         self._pairs: dict[int, bool] = {}
         self._prefixes: dict[bytes, int] = {}
         self._pieces: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
@@ -141,18 +128,9 @@ class Vocabulary:
             self._pieces[text] = found
         return found
 
-    def part(self, text: str) -> bytes:
-        found = b"".join(map(self.piece, self.pattern.findall(text)))
-        if len(text) <= LONG:
-            if len(self._parts) > REMEMBERED:
-                self._parts.clear()
-            self._parts[text] = found
-        return found
-
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers; its parts are remembered."""
-        known = self._parts.get
-        return b"".join([known(p) or self.part(p) for p in parts(text)])
+        """Ids of a text as little-endian 32-bit integers."""
+        return b"".join(map(self.piece, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -192,24 +170,50 @@ class Prefixes:
         return self.vocabulary.read_back(self.last)
 
 
-_VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
+class Coder(ColumnCoder):
+    """Whole columns of texts to ids and back; each distinct part is coded once by its prefixes."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+        tokens = [vocabulary.bytes_of.get(n, b"") for n in range(max(vocabulary.bytes_of, default=-1) + 1)]
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.widths = np.array([len(token) for token in tokens], np.int64)
+        self.begins = np.cumsum(self.widths) - self.widths
+
+    def new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        encode = self.vocabulary.encode
+        found = [encode(key[1:] if key[:1] == " " else " " + key) for key in keys]
+        sizes = np.array([len(ids) for ids in found], np.int64) // 4
+        return np.frombuffer(b"".join(found), "<i4"), np.cumsum(sizes) - sizes, sizes
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of the tokens, one behind the other, and the place behind each token's."""
+        widths = self.widths[ids]
+        return self.data[runs(self.begins[ids], widths)].tobytes(), np.cumsum(widths)
+
+
+_CODERS: dict[tuple[str, str], Coder] = {}
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
+    return coder(path, pattern).vocabulary
+
+
+def coder(path: str, pattern: str) -> Coder:
     """Read once per Python process; every executor has the file at this path."""
     key = path, pattern
-    if key not in _VOCABULARIES:
-        _VOCABULARIES[key] = Vocabulary.read(path, pattern)
-    return _VOCABULARIES[key]
+    if key not in _CODERS:
+        _CODERS[key] = Coder(Vocabulary.read(path, pattern))
+    return _CODERS[key]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``_row`` (the whole row of ``docs``) and ``ids`` ARRAY<INT> of its ``text``."""
     @F.pandas_udf("array<int>")
     def ids(texts):
-        v = vocabulary(path, pattern)
-        return texts.map(lambda t: np.frombuffer(
-            v.encode(t if isinstance(t, str) else ""), "<i4"))
+        found = coder(path, pattern).encode([t if isinstance(t, str) else "" for t in texts])
+        return pd.Series([np.frombuffer(x, "<i4") for x in found])
 
     return docs.select(whole_row(docs).alias("_row"), ids("text").alias("ids"))
 
@@ -218,33 +222,37 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` with ``decoded`` BINARY, the bytes of its ``ids``."""
     @F.pandas_udf("binary")
     def decoded(lists):
-        v = vocabulary(path, pattern)
-        return lists.map(lambda x: v.decode(np.asarray(x, "<u4").tobytes()))
+        return lists.map(lambda x: coder(path, pattern).decode(np.asarray(x, np.int64))[0])
 
     return encoded.withColumn("decoded", decoded("ids"))
 
 
+def _digests(data: bytes, bounds: np.ndarray) -> list[str]:
+    view, at = memoryview(data), bounds.tolist()
+    return [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at, at[1:])]
+
+
 def digests(docs: DataFrame, path: str, pattern: str, keys: list[str],
             with_ids: bool = False) -> DataFrame:
     """``keys`` with ``n_tokens, ids_sha256, decoded_sha256`` of each text, and ``ids`` if asked
     for; else the ids stay in the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        own = coder(path, pattern)
         for batch in batches:
-            count, ids_sha, text_sha, lists = [], [], [], []
-            for value in batch.column("text"):
-                ids = v.encode(value.as_py() or "")
-                count.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(v.decode(ids)).hexdigest())
-                lists.append(ids)
-            columns = [*[batch.column(k) for k in keys], pa.array(count, pa.int64()),
-                       pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if with_ids:
-                bounds = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(
-                    pa.array(bounds), pa.array(np.frombuffer(b"".join(lists), "<i4"))))
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            for rows in slices(batch):
+                ids = own.encode_column(rows.column("text").fill_null(""))
+                ids_sha, text_sha, done = [], [], 0
+                for part in slices(rows, DECODED_BYTES):
+                    own_ids = ids.slice(done, part.num_rows)
+                    done += part.num_rows
+                    flat, ends = own_ids.flatten().to_numpy(), own_ids.offsets.to_numpy() - own_ids.offsets[0].as_py()
+                    text, places = own.decode(flat)
+                    ids_sha += _digests(flat.astype("<u4").tobytes(), 4 * ends.astype(np.int64))
+                    text_sha += _digests(text, np.append(0, places)[ends])
+                sizes = pc.list_value_length(ids).cast(pa.int64())
+                columns = [*[rows.column(k) for k in keys], sizes, pa.array(ids_sha, pa.string()),
+                           pa.array(text_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [ids] * with_ids, schema.names)
 
     schema = docs.select(*keys).schema
     for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"),

@@ -8,16 +8,19 @@ the stripes and row groups that may hold it, and stripes are read in parallel.
 A row has ``doc_id, part, offset, n_tokens, ids``: ``offset`` counts the ids of its own file before
 it, so a document's place in the whole is found by adding the totals of the files before.
 
-An added token that a text spells out (``<|endoftext|>``) is text like any other and gets the ids of its
-characters, where the library's plain call gives the token's own id: no text can end a document.
+Ids are those of the library's plain call, so an added token that a text spells out (``<|endoftext|>``) has
+its own id.
 
-Null ids come first, equal ids are ordered by text. A null text is empty; the end id stands alone
-then. An empty table gives files without rows.
+Null ids come first, equal ids are ordered by a hash of their text, and spread over files by it. A null text is
+empty; the end id stands alone then. A text of any length is one row. An empty table gives files without rows.
+Columns beside ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardspark.llm.bpe import LONG, parts
+from wardspark.llm.columns import ColumnCoder, merged, slices
 from wardspark.llm.common import small, written
 
 OPTIONS = {
@@ -38,34 +41,29 @@ OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-# Parts that a task remembers; then it forgets all and goes on.
-REMEMBERED = 600_000
-# Texts of about so many bytes are encoded at once.
-SLICE_BYTES = 8 << 20
-# A space beside white space; the pattern language of Arrow needs the characters spelt out.
-_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-UNEVEN = f" [{_WHITE}]|[{_WHITE}] "
 FIELDS = "part int, offset bigint, n_tokens bigint, ids array<int>"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-class Encoder:
-    """A tokenizer file, and the ids of the short parts of texts that came more than once.
+class Encoder(ColumnCoder):
+    """A tokenizer file as the library's plain call applies it.
 
-    A part that is a space and a word is known by the word, any other by a space and itself. New
-    words are encoded many at once, one behind the other: the pre-tokenizer cuts before each,
+    New words are encoded many at once, one behind the other: the pre-tokenizer cuts before each,
     so no token spans two, and their ends are found again by the number of bytes of each token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         # a task has one core; threads of the library would only wait for each other
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            added = [token["content"] for token in json.load(file)["added_tokens"]]
+        # no added token: a pattern that nothing matches
+        self.added = "|".join(map(re.escape, added)) or r"[^\x00-\x{10FFFF}]"
         # a byte-level vocabulary writes each byte as one character
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -76,7 +74,7 @@ class Encoder:
         return [np.array(found.ids, "<i4") for found in (
             self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
-    def _new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of parts, and where in them each part's begin, and how many these are."""
         alone = np.array([not k or k[0] == " " or k[-1].isspace() for k in keys], bool)
         sizes, ids = np.zeros(len(keys), np.int64), [np.zeros(0, "<i4")]
@@ -97,65 +95,15 @@ class Encoder:
         begins[order] = np.cumsum(sizes[order]) - sizes[order]
         return np.concatenate(ids + found), begins, sizes
 
-    def _ids(self, keys: list[str], codes: np.ndarray, starts: np.ndarray) -> pa.ListArray:
-        """Lists of ids of texts whose parts are ``codes``, places in ``keys``; a text's parts begin at
-        its place in ``starts``."""
-        found = list(map(self.known.get, keys))
-        missing = np.array([n for n, ids in enumerate(found) if ids is None], np.int64)
-        new = [keys[n] for n in missing.tolist()]
-        old = b"".join([ids for ids in found if ids is not None])
-        sizes = np.array([len(ids or b"") for ids in found], np.int64) // 4
-        begins = np.cumsum(sizes) - sizes
-        new_ids, new_begins, sizes[missing] = self._new(new)
-        begins[missing] = len(old) // 4 + new_begins
-        ids = np.concatenate((np.frombuffer(old, "<i4"), new_ids))
-        runs = codes_of_runs(begins[codes], sizes[codes])
-        ends = np.cumsum(np.add.reduceat(sizes[codes], starts)) if len(starts) else starts
-        if len(self.known) > REMEMBERED:  # the words of the texts at hand are the likeliest to come
-            self.known = {k: ids for k, ids in zip(keys, found) if ids is not None}
-        often = missing[np.bincount(codes, minlength=len(keys))[missing] > 1]
-        data = ids.tobytes()
-        for n, begin, size in zip(*(x.tolist() for x in (often, begins[often], sizes[often]))):
-            if len(keys[n]) <= LONG:
-                self.known[keys[n]] = data[4 * begin:4 * (begin + size)]
-        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()),
-                                        pa.array(ids[runs], pa.int32()))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        found = self.encode_column(pa.array(texts, pa.string()))
-        data, ends = found.flatten().to_numpy().astype("<i4").tobytes(), found.offsets.to_pylist()
-        return [data[4 * a:4 * b] for a, b in zip(ends, ends[1:])]
-
     def encode_column(self, texts: pa.StringArray) -> pa.ListArray:
-        """A list of ids for each text."""
-        uneven = pc.match_substring_regex(texts, UNEVEN)
-        plain = texts.filter(pc.invert(uneven))
-        words = pc.split_pattern(plain, " ")
-        starts = words.offsets.to_numpy()[:-1].astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        # no space before a text's first word
-        first = pc.take(words.flatten(), pa.array(starts)).to_pylist()
-        codes = coded.indices.to_numpy().copy()
-        codes[starts] = len(coded.dictionary) + np.arange(len(starts))
-        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        out = self._ids(keys + [" " + word for word in first], codes, starts)
+        """A list of ids for each text; one that spells out an added token goes to the library whole."""
+        special = pc.match_substring_regex(texts, self.added)
+        plain = texts.filter(pc.invert(special))
+        out = super().encode_column(plain)
         if len(plain) == len(texts):
             return out
-        parted = [[part[1:] if part[:1] == " " and " " not in part[1:] else " " + part
-                   for part in parts(text)] for text in texts.filter(uneven).to_pylist()]
-        places = {key: n for n, key in enumerate(set().union(*parted))}
-        codes = np.array([places[key] for found in parted for key in found], np.int64)
-        starts = np.cumsum([0, *[len(found) for found in parted[:-1]]])
-        rest = self._ids(list(places), codes, starts)
-        order = np.argsort(np.argsort(uneven.to_numpy(zero_copy_only=False), kind="stable"))
-        return pa.concat_arrays([out, rest]).take(pa.array(order))
-
-
-def codes_of_runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers ``start, start + 1, ...``, as many as the size says, of one run after another."""
-    ahead = starts - (np.cumsum(sizes) - sizes)
-    return np.repeat(ahead, sizes) + np.arange(int(sizes.sum()))
+        return merged(special, pa.array(self._library(texts.filter(special).to_pylist()),
+                                        pa.list_(pa.int32())), out)
 
 
 def _encoder(path: str) -> Encoder:
@@ -168,11 +116,8 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, offset = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text").fill_null("")
-            slices = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE_BYTES
-            bounds = [*np.unique(slices, return_index=True)[1].tolist(), batch.num_rows]
-            for at, to in zip(bounds, bounds[1:]):
-                rows, found = batch.slice(at, to - at), encoder.encode_column(texts[at:to])
+            for rows in slices(batch):
+                found = encoder.encode_column(rows.column("text").fill_null(""))
                 ends = found.offsets.to_numpy()[1:].astype(np.int64)
                 flat = np.insert(found.flatten().to_numpy(), ends, end_id)
                 bounds_ids = np.append(0, ends + np.arange(1, len(ends) + 1))
@@ -191,8 +136,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     """Writes the ids of each ``text`` of ``docs`` (``doc_id, text``), an end id after each, as a
     folder of ORC files. ``tokenizer`` is a file that every executor has."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FIELDS}"
-    ordered = (docs.select("doc_id", "text").repartitionByRange("doc_id")
-               .sortWithinPartitions("doc_id", "text"))
+    ordered = (docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text"))
+               .sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
     writer = ordered.mapInArrow(_encode(tokenizer, end_id), schema).write
     writer.options(**OPTIONS).orc(path)
 
