@@ -16,7 +16,9 @@ or token appears once per block.
 
 A text is padded with 0xFE in front and ends with 0xFF, bytes that UTF-8 never uses; the end is
 coded too. A null text is empty and consists of its end. Without training rows every byte costs log
-256, and a token of the base model log 2 (N = V = 0). Repeated rows get equal scores.
+256, and a token of the base model log 2 (N = V = 0). Repeated rows get equal scores; there are no ties to
+break. A text longer than a block is a block of its own, worked through in slices. An empty table gives an empty
+result. Other columns are not looked at, and keys may have any names.
 """
 
 from __future__ import annotations
@@ -35,9 +37,8 @@ from wardspark.llm.common import written
 ORDER = 4
 PAD, END = 0xFE, 0xFF
 END_TOKEN = b" "  # no word holds a space
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 SLICE = 1 << 20  # grams handled at once, and bytes of texts
-DENSE = 1 << 25  # entries of a look-up table; beyond it a sorted search is used
 
 
 def _buffer(texts: list[bytes]) -> np.ndarray:
@@ -182,91 +183,58 @@ def _branch(pairs: np.ndarray):
 class Lengths:
     """Looks up the value of the gram that ends at each place of a buffer.
 
-    ``grams`` are sorted and hold every gram of the buffers. The look-up walks down a trie of dense
-    tables over the bytes in use.
+    ``grams`` are sorted and hold every gram of the buffers.
     """
 
     def __init__(self, grams: np.ndarray, values: np.ndarray):
         self.grams, self.values = grams, values
-        used = np.zeros(256, bool)
-        for k in range(ORDER + 1):
-            used[np.unique((grams >> (8 * k)) & 255)] = True
-        self.code = (np.cumsum(used) - 1).astype(np.int32)
-        self.width = width = int(used.sum())
-        prefixes = [np.unique(grams >> (8 * (ORDER + 1 - k))) for k in range(3, ORDER + 1)]
-        self.dense = max([width ** 3, *[len(p) * width for p in prefixes]]) <= DENSE
-        if not self.dense:
-            return
-        code, head = self.code, prefixes[0]
-        self.first = np.zeros(width ** 3, np.int32)
-        self.first[(code[head >> 16] * width + code[(head >> 8) & 255]) * width
-                   + code[head & 255]] = np.arange(len(head))
-        self.steps = []
-        for short, longer in zip(prefixes, prefixes[1:]):
-            step = np.zeros(len(short) * width, np.int32)
-            step[np.searchsorted(short, longer >> 8) * width + code[longer & 255]] = (
-                np.arange(len(longer)))
-            self.steps.append(step)
-        self.last = np.zeros(len(prefixes[-1]) * width)
-        self.last[np.searchsorted(prefixes[-1], grams >> 8) * width + code[grams & 255]] = values
 
     def of(self, buffer: np.ndarray) -> np.ndarray:
         """One value per place from ``ORDER`` on, 0 where that is padding."""
         out = np.zeros(max(len(buffer) - ORDER, 0))
-        if not self.dense:
-            for at, gram in _grams(buffer):
-                real = gram >= 0
-                out[at:at + len(gram)][real] = self.values[np.searchsorted(self.grams, gram[real])]
-            return out
-        width = self.width
-        for at in range(0, len(out), SLICE):
-            part = self.code[buffer[at:min(at + SLICE, len(out)) + ORDER]]
-            size = len(part) - ORDER
-            state = self.first[(part[:size] * width + part[1:size + 1]) * width
-                               + part[2:size + 2]]
-            for k, step in enumerate(self.steps):
-                state = step[state * width + part[3 + k:size + 3 + k]]
-            out[at:at + size] = self.last[state * width + part[ORDER:]]
-        out[buffer[ORDER:] == PAD] = 0
+        for at, gram in _grams(buffer):
+            real = gram >= 0
+            out[at:at + len(gram)][real] = self.values[np.searchsorted(self.grams, gram[real])]
         return out
 
 
-def _score_block(keys: list[str]):
-    """``keys, n_tokens, n_known, token_log, score`` of the rows of a block."""
+def _base(texts: pa.Array, tokens: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the number of words, the sum of log10(c + 0.5) over its tokens, and how many are known."""
+    words, sizes = _words(texts)
+    coded = words.dictionary_encode()
+    known = tokens.column("token").combine_chunks()
+    value = tokens.column("value").to_numpy()
+    place = pc.index_in(coded.dictionary.cast(pa.binary()), value_set=known).to_numpy(
+        zero_copy_only=False).astype(np.int64)
+    seen = value[place][coded.indices.to_numpy()] if len(words) else np.zeros(0)
+    end = float(value[pc.index(known, pa.scalar(END_TOKEN, pa.binary())).as_py()])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    logs = np.bincount(owner, np.log10(seen + 0.5), len(texts)) + math.log10(end + 0.5)
+    return sizes, logs, np.bincount(owner, seen > 0, len(texts)) + (end > 0)
+
+
+def _score_block():
+    """``_key, n_tokens, n_known, token_log, score`` of the rows of a block."""
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({k: docs.column(k) for k in keys} | {
+            return pa.table({"_key": docs.column("_key"),
                 "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()),
                 "token_log": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         texts = _lowered(docs)
         is_token = pc.is_valid(found.column("token"))
-        tokens = found.filter(is_token)
-        words, sizes = _words(texts)
-        coded = words.dictionary_encode()
-        known = tokens.column("token").combine_chunks()
-        value = tokens.column("value").to_numpy()
-        place = pc.index_in(coded.dictionary.cast(pa.binary()), value_set=known).to_numpy(
-            zero_copy_only=False).astype(np.int64)
-        seen = value[place][coded.indices.to_numpy()] if len(words) else np.zeros(0)
-        end = float(value[pc.index(known, pa.scalar(END_TOKEN, pa.binary())).as_py()])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        logs = np.bincount(owner, np.log10(seen + 0.5), len(texts)) + math.log10(end + 0.5)
-        n_known = np.bincount(owner, seen > 0, len(texts)) + (end > 0)
-
-        grams = found.filter(pc.invert(is_token))
-        key = grams.column("gram").to_numpy()
-        order = np.argsort(key)
+        sizes, logs, n_known = _base(texts, found.filter(is_token))
+        grams = found.filter(pc.invert(is_token)).select(["gram", "value"]).sort_by("gram")
+        lengths = Lengths(grams.column("gram").to_numpy(), grams.column("value").to_numpy())
         raw = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
         raw = raw.to_pylist()
-        lengths = Lengths(key[order], grams.column("value").to_numpy()[order])
         scores = []
         for chunk in _chunks(raw):
             # a text's first gram ends ORDER places after its padding starts
             starts = np.cumsum([0] + [len(t) + ORDER + 1 for t in chunk[:-1]])
             scores.append(np.add.reduceat(lengths.of(_buffer(chunk)), starts))
         scores = np.concatenate(scores)
-        return pa.table({k: docs.column(k) for k in keys} | {
-            "n_tokens": pa.array((sizes + 1).astype(np.int64)),
+        return pa.table({
+            "_key": docs.column("_key"), "n_tokens": pa.array((sizes + 1).astype(np.int64)),
             "n_known": pa.array(n_known.astype(np.int64)),
             "token_log": pa.array(logs), "score": pa.array(scores)})
     return run
@@ -274,15 +242,15 @@ def _score_block(keys: list[str]):
 
 def score(docs: DataFrame, keys: list[str], train: str,
           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keys, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
+    """``_key`` (a struct of the keys), ``n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
-    ``docs`` has the keys, ``text`` and the boolean ``train``; a null there is false. ``score`` is
+    ``docs`` has the keys, whatever their names, ``text`` and the boolean ``train``; a null there is false. ``score`` is
     the log10 probability of the whole text, ``base_score`` that of its tokens one by one.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = total // block_bytes + 1
     dealt = docs.select(
-        F.pmod(F.xxhash64(*keys, "text"), F.lit(blocks)).alias("block"), *keys, "text",
+        F.pmod(F.xxhash64(*keys, "text"), F.lit(blocks)).alias("block"), F.struct(*keys).alias("_key"), "text",
         F.coalesce(train, F.lit(False)).alias("train"))
     counted = written(dealt.select("block", "text", "train").groupBy("block").applyInArrow(
         _count_block, "block long, token binary, gram long, n long"), "counts")
@@ -311,12 +279,12 @@ def score(docs: DataFrame, keys: list[str], train: str,
     n, v = found.filter("first AND value > 0").agg(
         F.sum("value").cast("long"), F.count("*")).head()
     n = n or 0
-    schema = docs.select(*keys).schema.add("n_tokens", "long").add("n_known", "long")
+    schema = dealt.select("_key").schema.add("n_tokens", "long").add("n_known", "long")
     schema = schema.add("token_log", "double").add("score", "double")
     scored = dealt.groupBy("block").cogroup(
         found.select("block", "token", "gram", "value").groupBy("block")).applyInArrow(
-        _score_block(keys), schema)
+        _score_block(), schema)
     each = math.log10(n + 0.5 * (v + 1))
     return scored.select(
-        *keys, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        "_key", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("token_log") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score")
