@@ -4,7 +4,8 @@ Every rule is evaluated once. Policies are versioned masks over the bits, applie
 without another look at the texts. All of it is column functions; no row moves.
 
 A null or empty text has no words, so all measurements are 0 and only ``few_words`` fails.
-Ties, repeated rows and extra columns don't matter: each row is judged by its own text.
+Ties, repeated rows and extra columns don't matter: each row is judged by its own text, however long (a text has
+fewer than 2 ** 31 words). An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -35,21 +36,64 @@ def mask(names: list[str]) -> int:
     return sum(1 << list(RULES).index(n) for n in names)
 
 
-def _repeat_words(words: Column, second: Column, third: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more, from the word lists shifted
-    by 0, 1 and 2. Equal windows are neighbours once sorted."""
-    size = F.size(words)
-    at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    windows = F.sort_array(F.arrays_zip(words.alias("a"), second.alias("b"), third.alias("c"),
-                                        at.alias("at")))
-    twins = F.zip_with(windows, F.slice(windows, 2, F.greatest(size, F.lit(1))), lambda x, y: F.when(
-        (x["c"] == y["c"]) & (x["b"] == y["b"]) & (x["a"] == y["a"]), F.array(x["at"], y["at"])))
-    starts = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
-    steps = F.zip_with(starts, F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))),
+def _window_keys(words: Column) -> Column:
+    """A long for each 3-word window: bits of its hash above its number. Sorted, equal windows are
+    neighbours, and so are a few others that share those bits."""
+    n = F.size(words)
+    return F.transform(
+        F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda word, i: F.shiftleft(
+            F.xxhash64(word, F.get(words, i + 1), F.get(words, i + 2)), 31).bitwiseOR(i.cast("long")))
+
+
+_PLACE = (1 << 31) - 1
+
+
+def _bits(key: Column) -> Column:
+    return F.shiftright(key, 31)
+
+
+def _place(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(_PLACE)).cast("int")
+
+
+def _suspects(keys: Column) -> Column:
+    """Of the sorted window keys those that share their bits with a neighbour."""
+    return F.filter(keys, lambda key, i: F.coalesce(
+        (_bits(key) == _bits(F.get(keys, i + 1))) | (_bits(key) == _bits(F.get(keys, i - 1))), F.lit(False)))
+
+
+def _follower(values: Column) -> Column:
+    return F.slice(values, 2, F.greatest(F.size(values), F.lit(1)))
+
+
+def _covered(places: Column) -> Column:
+    """Words covered by windows at these places, sorted."""
+    steps = F.zip_with(places, _follower(places),
                        lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
 
+def _repeat_words(words: Column, suspects: Column) -> Column:
+    """Words covered by 3-word windows that occur twice or more.
+
+    Windows that share their bits are nearly always equal. Neighbours are compared word by word, and if any
+    two differ, all suspects are sorted by their words.
+    """
+    def word(key: Column, more: int) -> Column:
+        return F.get(words, _place(key) + more)
+
+    unlike = F.exists(F.zip_with(suspects, _follower(suspects), lambda x, y: (_bits(x) == _bits(y)) & ~(
+        (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2)))), lambda x: x)
+    windows = F.sort_array(F.transform(suspects, lambda key: F.struct(
+        _bits(key).alias("bits"), *[word(key, n).alias(c) for n, c in enumerate("abc")], _place(key).alias("at"))))
+    twins = F.zip_with(windows, _follower(windows), lambda x, y: F.when(
+        (x["bits"] == y["bits"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]),
+        F.array(x["at"], y["at"])))
+    equal = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+    return F.when(F.coalesce(unlike, F.lit(False)), _covered(equal)).otherwise(
+        _covered(F.sort_array(F.transform(suspects, _place))))
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``_row`` (the whole input row) and the measurements, all LONG."""
     base = docs.select(whole_row(docs).alias("_row"),
@@ -57,18 +101,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     base = base.withColumn("words", spaced_words(F.col("t")))
     base = base.withColumn("lines", F.filter(F.split("t", "\n"),
                                              lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    length = F.greatest(F.size("words"), F.lit(1))
-    shifted = base.select("*", F.slice("words", 2, length).alias("w2"),
-                          F.slice("words", 3, length).alias("w3"))
+    keyed = base.select("*", F.sort_array(_window_keys(F.col("words"))).alias("keys"))
+    keyed = keyed.select("*", _suspects(F.col("keys")).alias("suspects"))
     found = [
         F.size("words").alias("n_words"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        _repeat_words(F.col("words"), F.col("w2"), F.col("w3")).alias("n_repeat_words"),
+        _repeat_words(F.col("words"), F.col("suspects")).alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
         F.length(F.regexp_replace("t", "[^A-Z]+", "")).alias("n_upper")]
-    found = shifted.select("_row", *found)
+    found = keyed.select("_row", *found)
     return found.select("_row", *[F.col(m).cast("long") for m in MEASURES])
 
 
