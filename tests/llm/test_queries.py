@@ -121,7 +121,7 @@ def test_op5_byte_bpe(spark, folder):
 def test_op7_token_files(spark, folder):
     judge = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     start, wanted = 0, []
-    for key, text, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for key, text, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*judge.encode(text or "", add_special_tokens=False).ids, 0]
         wanted.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

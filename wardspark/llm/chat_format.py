@@ -9,7 +9,9 @@ text, and one substitution takes the escapes out again. In roles a line feed bec
 
 A null text or role is empty, a null turn number comes first, a null conversation id is a
 conversation of its own. Equal turn numbers are ordered by role and text. A formatted conversation is
-one row; its size bounds the memory that a group needs.
+one row; its size bounds the memory that a group needs, and a very long text must fit in it. An attachment of unknown
+size has one token, one of very many is written as one placeholder with their number (``<|image*90000|>``). An empty
+table gives an empty one; columns beside those named are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 TURN, END = "<|turn|>", "<|end|>\n"
 # Tokens of a part: by pixels of a patch, seconds of a frame, pages.
 PATCH, FRAMES_PER_SECOND, TOKENS_PER_PAGE = 28, 25, 256
+# Longer recordings, and those of no number of seconds, count as of unknown length.
+MOST_SECONDS = 1e9
+# A part of more tokens is written as one placeholder with their number.
+MOST_PLACEHOLDERS = 1 << 16
 MEDIA = ["image", "audio", "document"]
 PART = ("struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,"
         "pages:int>")
@@ -52,18 +58,22 @@ def text_part(text: Column) -> Column:
 def tokens_of(part: Column) -> Column:
     """Expanded tokens of a part; 0 for a text, at least 1 for an attachment."""
     def whole(x):
-        return F.greatest(F.coalesce(x, F.lit(1)).cast("int"), F.lit(1))
+        return F.greatest(F.coalesce(x.cast("long"), F.lit(1).cast("long")), F.lit(1).cast("long"))
 
     patches = F.ceil(part["width"] / PATCH) * F.ceil(part["height"] / PATCH)
+    frames = F.when(F.abs(part["seconds"]) < MOST_SECONDS, F.ceil(part["seconds"] * FRAMES_PER_SECOND))
     return (F.when(part["type"] == "image", whole(patches))
-            .when(part["type"] == "audio", whole(F.ceil(part["seconds"] * FRAMES_PER_SECOND)))
-            .when(part["type"] == "document", whole(part["pages"] * TOKENS_PER_PAGE))
-            .otherwise(F.lit(0)))
+            .when(part["type"] == "audio", whole(frames))
+            .when(part["type"] == "document", whole(part["pages"].cast("long") * TOKENS_PER_PAGE))
+            .otherwise(F.lit(0).cast("long")))
 
 
 def _shown(part: Column) -> Column:
     mark = F.concat(F.lit("<|"), part["type"], F.lit("|>"))
-    return (F.when(part["type"].isin(MEDIA), F.repeat(mark, tokens_of(part)))
+    counted = F.concat(F.lit("<|"), part["type"], F.lit("*"), tokens_of(part).cast("string"), F.lit("|>"))
+    placeholders = F.when(tokens_of(part) <= MOST_PLACEHOLDERS, F.repeat(
+        mark, F.least(tokens_of(part), F.lit(MOST_PLACEHOLDERS)).cast("int"))).otherwise(counted)
+    return (F.when(part["type"].isin(MEDIA), placeholders)
             .otherwise(escaped(part["text"])))
 
 

@@ -1,4 +1,4 @@
-"""Hashed words and byte n-grams of a text, with numpy."""
+"""Hashed words and n-grams of a text, with numpy."""
 
 from __future__ import annotations
 
@@ -7,14 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 
-# Bytes handled at once, so that a very long text needs little memory.
+# Units handled at once, so that a very long text needs little memory.
 SLICE = 1 << 20
 _FACTORS = [np.uint32(f) for f in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
 
 
 def byte_grams(data: bytes, lengths: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
     """Buckets, below ``2 ** bits``, of all byte n-grams of the given lengths (5 at most)."""
-    whole = np.frombuffer(data, np.uint8)
+    return grams(np.frombuffer(data, np.uint8), lengths, bits)
+
+
+def character_grams(text: str, lengths: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
+    """The same of n-grams of code points."""
+    return grams(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), lengths, bits)
+
+
+def grams(whole: np.ndarray, lengths: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
     shift = np.uint32(32 - bits)
     for at in range(0, max(len(whole), 1), SLICE):
         part = whole[at:at + SLICE + max(lengths) - 1].astype(np.uint32) + np.uint32(1)

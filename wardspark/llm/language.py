@@ -7,18 +7,20 @@ language. A text costs one count of its n-grams and one small matrix product.
 
 A null text, or one without a letter, is ``und`` with score 0. Rows without a language aren't learned
 from. With one learned language everything with a letter is that language. A family is a fixed
-table; languages outside it are families of their own. Ties go to the first name.
+table; languages outside it are families of their own. Ties go to the first name. Repeated rows get equal
+results; a very long text is counted in slices; identifying keeps whole rows, so no column can clash; an empty table
+gives an empty result, and nothing learned leaves every text ``und``. A letter is a character of a letter category, so number signs are none.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ GRAMS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 400
 EPOCHS = 8
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 # Language families.
 FAMILIES = {
@@ -150,17 +152,20 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fits about ``per_language`` rows of each ``lang`` of ``docs`` (``doc_id, text, lang``)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"lang": batch["lang"], "key": batch["key"],
-                                "x": [vector(t) for t in batch["text"]]})
+            found = [vector(t) for t in batch["text"]]
+            at = [np.flatnonzero(x).astype(np.int16) for x in found]
+            yield pd.DataFrame({"lang": batch["lang"], "key": batch["key"], "at": at,
+                                "share": [x[i] for x, i in zip(found, at)]})
 
     sample = labelled_sample(docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull()), "lang", per_language, F.col("doc_id"))
     rows = (sample.select(F.xxhash64("doc_id", "text").alias("key"), "text", "lang")
             .filter(F.col("text").rlike(r"\p{L}"))
-            .mapInPandas(run, "lang string, key long, x array<float>").toPandas()
+            .mapInPandas(run, "lang string, key long, at array<smallint>, share array<float>").toPandas()
             .sort_values(["lang", "key"]))
-    x = (np.stack([np.asarray(v, np.float32) for v in rows["x"]]) if len(rows)
-         else np.zeros((0, 1 << BITS), np.float32))
+    x = np.zeros((len(rows), 1 << BITS), np.float32)
+    for own, at, share in zip(x, rows["at"], rows["share"]):
+        own[np.asarray(at)] = share
     return Model.fit(x, rows["lang"].to_numpy(dtype=object))
 
 

@@ -1,13 +1,14 @@
 """Quality classifier of supervised subword embeddings.
 
-Words and byte n-grams are hashed to buckets; each bucket has a learned vector. A text is the mean of
+Words and character n-grams are hashed to buckets; each bucket has a learned vector. A text is the mean of
 the vectors of all its features, and a softmax layer over it gives the class. The vectors are
 trained by stochastic gradient descent on a bounded sample of labelled rows; as the layer is linear,
 scoring folds it into the vectors, and every whole text costs one look-up per feature.
 
 An empty or null text has no features: its score is the learned bias alone. Rows without a label
 are only scored. If fewer than two classes are labelled, every score is the share of label 1
-(0.5 without any label). Repeated rows get equal scores.
+(0.5 without any label). Repeated rows get equal scores, so there are no ties to break; a very long text is
+worked through in slices. Scoring keeps whole rows, so no column can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.llm.common import labelled_sample, whole_row
-from wardspark.llm.features import byte_grams, word_buckets
+from wardspark.llm.common import labelled_sample, small, whole_row
+from wardspark.llm.features import character_grams, word_buckets
 
 BITS = 15
 DIM = 16
@@ -33,10 +34,9 @@ RATE = 0.5
 
 
 def buckets(text: object) -> Iterator[np.ndarray]:
-    data = text.encode() if isinstance(text, str) else b""
-    if data:
-        yield word_buckets(data, BITS)
-        yield from byte_grams(data, GRAMS, BITS)
+    if isinstance(text, str) and text:
+        yield word_buckets(text.encode(), BITS)
+        yield from character_grams(text, GRAMS, BITS)
 
 
 def _counted(text: object) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,8 @@ def train(docs: DataFrame, label: str, per_label: int = SAMPLE_PER_LABEL,
     (``doc_id`` and the label) or ``docs`` itself.
 
     The labels are sampled first; only the ids of the sample, about ``per_label`` of each, are
-    broadcast to the texts, which aren't shuffled.
+    broadcast to the texts, which aren't shuffled. Should ids repeat so often that the sample is large, it is
+    joined by a shuffle instead.
     """
     labelled = (docs if labels is None else labels).select(
         "doc_id", F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
@@ -106,7 +107,7 @@ def train(docs: DataFrame, label: str, per_label: int = SAMPLE_PER_LABEL,
             yield pd.DataFrame({"y": batch["y"], "at": [a for a, _ in found],
                                 "n": [n for _, n in found]})
 
-    chosen = F.broadcast(labelled_sample(labelled, "y", per_label, F.col("doc_id")))
+    chosen = small(labelled_sample(labelled, "y", per_label, F.col("doc_id")))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").filter("text != ''")
     fitted = (sample.select("text", "y").mapInPandas(run, "y int, at array<smallint>, n array<float>")
               .toPandas())

@@ -42,7 +42,8 @@ def op2_lm_scoring(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", "text", (fold(F.col("doc_id"), 5) != 1).alias("train"))
     scored = ppm.score(docs, ["doc_id"], "train")
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens",
+    key = F.col("_key.doc_id")
+    return scored.select(key.alias("doc_id"), (fold(key, 5) == 1).alias("held_out"), "n_tokens",
                          "n_known", "train_tokens", "base_score", "score")
 
 

@@ -16,7 +16,8 @@ Links are followed to components by joins and grouped minima until nothing chang
 
 A null or empty text has the fingerprint zero, linked like any other. Repeated rows and rows with
 a null id take part; the component id is the smallest id that isn't null, or null if
-there is none.
+there is none. Texts of any length count whole; other columns may have any names and types; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from wardspark.llm.common import KEY, row_key, whole_row, written
 
@@ -233,10 +235,21 @@ def hex_digits(fp) -> F.Column:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, all columns of ``docs``: that with the smallest id (a null id
-    last), then by hash of its text, then by its other columns."""
+    last), then by hash of its text, then by its other columns, as far as these have an order (maps don't)."""
     found = near_duplicates(docs, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *KEY)).alias("first")
     chosen = found.groupBy("root").agg(first).select("first.k1", "first.k2")
     rows = docs.select(whole_row(docs).alias("_row"), *row_key(docs["doc_id"], docs["text"]))
-    return (rows.join(chosen, KEY).groupBy(*KEY).agg(F.min("_row").alias("_row"))
-            .select("_row.*"))
+    # equal ids and texts: the other columns decide, as far as they have an order
+    others = [F.col(f"_row.`{f.name}`") for f in docs.schema
+              if f.name not in ("doc_id", "text") and _ordered(f.dataType)]
+    one = F.min_by("_row", F.struct(F.lit(0), *others)).alias("_row")
+    return rows.join(chosen, KEY).groupBy(*KEY).agg(one).select("_row.*")
+
+
+def _ordered(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    return not isinstance(kind, (MapType, VariantType))
