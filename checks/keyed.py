@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import base as B
 from checks.registry import check
+from wardspark.operators import compaction
 from wardspark.operators import keyed as K
 from wardspark.operators import log as L
 from wardspark.session import scratch_path
@@ -111,6 +112,29 @@ def _(spark, sf):
     return out.filter("is_active").select("name", "config_data")
 
 
+def _compacted(spark, changes, compact):
+    """The changes in five runs, none of them in order of time; a snapshot after the third."""
+    path = scratch_path(spark, "changes")
+    for run in range(5):
+        compaction.append_changes(changes.filter(F.col("seq") % 5 == run), path, run)
+        if run == 2:
+            compaction.write_snapshot(spark, path, compact, run)
+    return compaction.read_changes(spark, path)
+
+
+@check("rules_compacted", f"WITH {_RULES} SELECT {', '.join(_SHOWN)} FROM rules")
+def _(spark, sf):
+    """The current rules from a snapshot and the two runs after it."""
+    out = K.rules_current(_compacted(spark, _rule_changes(spark, sf), compaction.compact_rules))
+    return out.withColumn("severity", B.six("severity")).select(*_SHOWN)
+
+
+@check("configs_compacted", f"WITH {_CONFIGS} SELECT * FROM configs")
+def _(spark, sf):
+    out = K.configs_current(_compacted(spark, _config_changes(spark, sf), compaction.compact_configs))
+    return out.select("name", "config_data", "is_active", B.stamp("updated_at"))
+
+
 def _audit(spark, sf):
     n = F.col("event_id")
     return B.table(spark, sf, "events").select(

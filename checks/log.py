@@ -10,6 +10,7 @@ from checks import base as B
 from checks.registry import ORACLES, QUERIES, check
 from wardspark.operators import log as L
 from wardspark.operators import metrics as M
+from wardspark.operators import rollup, search_index
 from wardspark.session import scratch_path
 from wardspark.sources import results
 
@@ -95,6 +96,16 @@ def _(spark, sf):
     return rows.select("evaluation_id", B.stamp("timestamp"))
 
 
+@check("search_indexed", ORACLES["search_evaluations"])
+def _(spark, sf):
+    """The same rows by an index of trigrams, appended in two runs."""
+    log, path = B.log(spark, sf), scratch_path(spark, "grams")
+    for n in range(2):
+        search_index.append_index(log.filter(F.col("event_id") % 2 == n), path)
+    rows = search_index.search_indexed(log, path, "sys_em PROMPT")
+    return rows.select("evaluation_id", B.stamp("timestamp"))
+
+
 def _rate(part: str, whole: str) -> str:
     return f"round({part} * 100.0::DOUBLE / {whole} + 1.23e-8, 6) AS pass_rate"
 
@@ -322,6 +333,26 @@ def _(spark, sf):
     return _summary_rows(M.aggregate_periods(B.log(spark, sf), "week"))
 
 
+def _rolled(spark, sf):
+    """Parts of the log appended in three runs, each with rows of every day."""
+    path = scratch_path(spark, "parts")
+    for n in range(3):
+        rollup.append_parts(B.log(spark, sf).filter(F.col("event_id") % 3 == n), path)
+    return rollup.read_parts(spark, path)
+
+
+@check("rollup_daily", f"{_hourly_sql('day')} SELECT * FROM summaries")
+def _(spark, sf):
+    return _summary_rows(rollup.summaries(_rolled(spark, sf), "day"))
+
+
+@check("rollup_latency", ORACLES["period_metrics_latency"])
+def _(spark, sf):
+    """Exact latency percentiles per week from counted values."""
+    out = rollup.period_metrics(_rolled(spark, sf), "week")
+    return out.select(B.stamp("period_start"), "p95_latency_ms", "p99_latency_ms")
+
+
 @check("batch_score_table", f"""
 {B.LOG} SELECT evaluation_id, passed, {', '.join(
     f'round(coalesce({n}, 0.0::DOUBLE) + 1.23e-8, 6) AS {B.KEYS[n]}' for n in B.SCORES[:5])},

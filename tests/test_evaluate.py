@@ -40,7 +40,7 @@ def test_verdicts(spark, tox, vector, text, first):
     r = evaluate(rows(spark, pair(tox=tox, response=text, r=vector))).head()
     assert (r.passed, list(r.flags)[:1]) == (first is None, [first] if first else [])
     assert set(r.scores) == {"toxicity", "alignment", "hallucination_risk"}
-    assert r.evaluation_id.startswith("eval_") and len(r.evaluation_id) == 17
+    assert r.evaluation_id.startswith("eval_") and len(r.evaluation_id) == 29
 
 
 def test_two_decimals_round_half_to_even(spark):

@@ -44,10 +44,10 @@ def test_list_page_and_total(spark):
 
 
 def test_far_page_equals_near_page(spark, monkeypatch):
-    order = [F.col("timestamp").desc(), F.col("evaluation_id").asc()]
+    order = L.NEWEST_FIRST
     near = L.page(log(spark, 60), order, 10, 25).collect()
     monkeypatch.setattr(L, "TOP_ROWS", 0)
-    far = L.page(log(spark, 60), order, 10, 25).orderBy(*order).collect()
+    far = L.page(log(spark, 60), order, 10, 25).orderBy(F.desc("timestamp"), "evaluation_id").collect()
     assert near == far and len(near) == 10
 
 
@@ -114,6 +114,15 @@ def test_metrics_summary_takes_the_newest(spark):
     assert metrics.metrics_summary(log(spark), 1).head().evaluations_per_minute == 0.0
 
 
+def test_flags_and_scores_of_the_newest(spark):
+    """Over the same rows as the counts."""
+    rows = log(spark)
+    kept = rows.orderBy(F.desc("timestamp")).limit(4)
+    for found, wanted in ((metrics.top_flags(rows, 5, 4), metrics.top_flags(kept, 5)),
+                          (metrics.scores_summary(rows, 4), metrics.scores_summary(kept))):
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_histogram_bounds(spark):
     df = spark.createDataFrame([({"m": v},) for v in (-0.2, 0.0, 0.05, 0.999, 1.0)],
                                "scores map<string,double>")

@@ -45,7 +45,7 @@ def test_json_pairs_get_the_same_id_every_time(spark, tmp_path):
     path = tmp_path / "pairs.json"
     path.write_text('{"prompt": "p", "response": "r"}\n{"id": "x", "prompt": "p", "response": "r", '
                     '"metadata": {"k": "v"}}\n')
-    first, second = ([r.id for r in pairs.read_pairs_json(spark, str(path)).collect()]
+    first, second = (sorted(r.id for r in pairs.read_pairs_json(spark, str(path)).collect())
                      for _ in range(2))
     assert first == second and first[1] == "x" and first[0].startswith("item_")
 
@@ -121,3 +121,17 @@ def test_rules_are_appended_once(spark, tmp_path):
 def test_log_source_is_checked(spark):
     with pytest.raises(ValueError):
         results.log_rows(spark.range(1), "elsewhere")
+
+
+def test_scratch_tables_are_gone_after_their_block(spark):
+    from pathlib import Path
+
+    from wardspark.session import scratch_path, scratch_tables
+
+    outside = scratch_path(spark, "stays")
+    spark.range(3).write.parquet(outside)
+    with scratch_tables(spark):
+        inside = scratch_path(spark, "goes")
+        spark.range(3).write.parquet(inside)
+        assert spark.read.parquet(inside).count() == 3
+    assert not Path(inside).exists() and spark.read.parquet(outside).count() == 3

@@ -51,18 +51,22 @@ def test_cache_scores_new_pairs_only(spark, monkeypatch):
 
     def counted(rows, *rest):
         out = real(rows, *rest)
-        scored.append(out)
+        scored.append(out.count())  # before anything is stored
         return out
 
     wanted = by_id(batch.dedup_evaluate(pairs(spark), CONFIG))
     half = pairs(spark).filter("id LIKE '%-1%' OR id LIKE '%-0'")
+    monkeypatch.setattr(cache, "evaluated_copies", counted)
+    every = len({v[0] for v in wanted.values()})
     cache.evaluate_cached(half, store, CONFIG)
     before = store.size(CONFIG)
     assert by_id(cache.evaluate_cached(pairs(spark), store, CONFIG)) == wanted
-    assert 0 < before < store.size(CONFIG) == len({v[0] for v in wanted.values()})
-    monkeypatch.setattr(cache, "evaluated_copies", counted)
+    assert 0 < before < store.size(CONFIG) == every
+    # the last plan of each run is that of the new pairs
+    assert (scored[1], scored[3]) == (before, every - before)
     assert by_id(cache.evaluate_cached(pairs(spark), store, CONFIG)) == wanted
-    assert scored[-1].count() == 0  # the last plan is that of the new pairs
+    assert scored[5] == 0
+    monkeypatch.undo()
     # another setting has results of its own
     other = EvalConfig(toxicity=False, alignment=False, custom_rules=True)
     rule = [Rule("a", "A", "mail", "keyword")]
@@ -79,13 +83,14 @@ def test_stored_results_are_not_shuffled(spark):
     assert found.count() == 1 and found.head().passed
     assert cache.stored_result(pairs(spark), store, "hello", "nothing like it", CONFIG).count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "SelectedBucketsCount: 1 out of 4" in plan
+    assert "EqualTo(pair_digest," in plan
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = out.select("id", "passed")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange") == 1  # the run's own rows
+    assert plan.count("Exchange hashpartitioning") == 1  # the run's own rows
+    assert "Bucketed: true" in plan
 
 
 @pytest.mark.parametrize("start", [0, -5])
@@ -107,7 +112,7 @@ def test_waves_stop_after_a_failure(spark, monkeypatch, start):
     monkeypatch.setattr(batch, "cut_lineage", counted)
     out = batch.evaluate_until_failure(df, "batch", "pos", CONFIG, first_wave=16)
     got = {b: n for b, n in out.groupBy("batch").count().collect()}
-    assert got == {"early": 2, "late": 701, "fine": 50, "one": 1}
+    assert got == {"early": 2, "late": 701, "fine": 50, "one": 1, None: 1}
     assert [s.get("early", 0) for s in sizes] == [16] + [0] * (len(sizes) - 1)
     assert sum(s.get("late", 0) for s in sizes) == 900 and len(sizes) <= 5
     plain = batch.batch_fail_fast(evaluate(df, CONFIG), "batch", "pos")

@@ -62,8 +62,8 @@ def test_complete_late_and_never_complete_batches(spark):
     second = [("2024-01-01 00:30:00", "whole", False, 300)] * 100 + [("2024-01-01 00:30:00", "slow", True, 2)]
     # two hours later the time of "never" is out; "slow" comes in time
     third = [("2024-01-01 01:20:00", "slow", True, 2), ("2024-01-01 02:30:00", "last", True, 5)]
-    fourth = [("2024-01-01 02:31:00", "never", True, 9)]
-    stream = as_stream(spark, [first, second, third, fourth], schema)
+    fourth, fifth = [("2024-01-01 02:31:00", "last", True, 5)], [("2024-01-01 02:32:00", "never", True, 9)]
+    stream = as_stream(spark, [first, second, third, fourth, fifth], schema)
     out, _ = drained(spark, jobs.batch_events(stream, "batch", "size", wait_seconds=3600))
     got = sorted((tuple(r) for r in out.collect()), key=repr)
     assert got == sorted([("batch.completed", "whole", 300, 100, 200), ("batch.completed", "slow", 2, 2, 0),

@@ -151,16 +151,17 @@ def metrics_summary(log: DataFrame, size: int | None = None) -> DataFrame:
         F.min("timestamp").alias("first"), F.max("timestamp").alias("last")))
 
 
-def scores_summary(log: DataFrame) -> DataFrame:
-    return (log.select(F.explode("scores").alias("metric", "value"))
+def scores_summary(log: DataFrame, size: int | None = None) -> DataFrame:
+    """Extremes and averages over the whole log, or its newest ``size`` evaluations, as in ``metrics_summary``."""
+    return (newest(log, size).select(F.explode("scores").alias("metric", "value"))
             .filter(F.col("value").isNotNull())
             .groupBy("metric").agg(F.min("value").alias("min"), F.max("value").alias("max"),
                                    F.avg("value").alias("avg")))
 
 
-def top_flags(log: DataFrame, limit: int = 10) -> DataFrame:
-    """Most frequent flag types; ties go by name."""
-    return (log.select(F.explode("flags").alias("flag"))
+def top_flags(log: DataFrame, limit: int = 10, size: int | None = None) -> DataFrame:
+    """Most frequent flag types of the whole log, or of its newest ``size`` evaluations; ties go by name."""
+    return (newest(log, size).select(F.explode("flags").alias("flag"))
             .groupBy(flag_type(F.col("flag"), 50).alias("flag")).agg(F.count("*").alias("count"))
             .orderBy(F.desc("count"), "flag").limit(limit))
 

@@ -86,14 +86,14 @@ def dedup_evaluate(df: DataFrame, config: EvalConfig = EvalConfig(), rule_list=(
 
 
 def batch_fail_fast(df: DataFrame, batch: str, position: str) -> DataFrame:
-    """Per batch the rows up to and including the first one that did not pass.
+    """Per batch the rows up to and including the first one that did not pass; a null batch is one, too.
 
     The first failures are pre-aggregated per task; no batch is ever gathered or sorted. Both sides read ``df``: store
     results that are dear, or evaluate them by ``evaluate_until_failure``.
     """
-    first = (df.filter(~F.col("passed")).groupBy(batch)
+    first = (df.filter(~F.col("passed")).groupBy(F.col(batch).alias("_batch"))
              .agg(F.min(position).alias("_first")))
-    return (df.join(first, batch, "left")
+    return (df.join(first, df[batch].eqNullSafe(first["_batch"]), "left").drop("_batch")
             .filter(F.col("_first").isNull() | (F.col(position) <= F.col("_first")))
             .drop("_first"))
 

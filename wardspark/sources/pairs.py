@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from wardspark import schemas
 
@@ -62,44 +61,37 @@ def read_pairs_json(spark: SparkSession, path: str) -> DataFrame:
         "id", F.concat(F.lit("item_"), F.substring(made, 1, 24)))).drop("_row")
 
 
-def next_turns(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, next``: the next higher turn number of each turn that has one.
-
-    Turns are ordered within stretches of turn numbers, then the stretches that hold any within
-    stretches of stretches, and so on, so no window holds more than 65,536 rows, however long a
-    conversation is or however its numbers are spaced.
-    """
-    bits = 32 if isinstance(turns.schema["turn"].dataType, IntegerType) else 64
-    level = (turns.select("conv_id", F.col("turn").cast("long").alias("first"))
-             .filter("conv_id IS NOT NULL AND first IS NOT NULL").distinct()
-             .withColumns({"last": F.col("first"), "at": F.col("first")}))
-    found = None
-    for _ in range(bits // _STRETCH_BITS):
-        stretch = F.shiftright("at", _STRETCH_BITS)
-        inside = Window.partitionBy("conv_id", stretch).orderBy("at")
-        links = (level.withColumn("next", F.lead("first").over(inside))
-                 .filter("next IS NOT NULL").select("conv_id", F.col("last").alias("turn"), "next"))
-        found = links if found is None else found.unionByName(links)
-        level = level.groupBy("conv_id", stretch.alias("at")).agg(
-            F.min("first").alias("first"), F.max("last").alias("last"))
-    # only the lowest and the highest stretch, of negative and other numbers, are left
-    ends = level.groupBy("conv_id").agg(
-        F.max(F.when(F.col("at") < 0, F.col("last"))).alias("turn"),
-        F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("next"))
-    return found.unionByName(ends.filter("turn IS NOT NULL AND next IS NOT NULL"))
+def _border_turns(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, next``: the last turn of each stretch of turn numbers and the first one of the next
+    stretch that holds any. Nothing for conversations within one stretch."""
+    ends = (turns.select("conv_id", F.col("turn").cast("long").alias("turn"))
+            .groupBy("conv_id", F.shiftright("turn", _STRETCH_BITS).alias("stretch"))
+            .agg(F.min("turn").alias("first"), F.max("turn").alias("turn")))
+    along = Window.partitionBy("conv_id").orderBy("stretch")
+    return (ends.withColumn("next", F.lead("first").over(along)).filter("next IS NOT NULL")
+            .select("conv_id", "turn", "next"))
 
 
 def pairs_from_conversations(turns: DataFrame) -> DataFrame:
     """Each user turn with the next turn of its conversation, if that is the assistant's.
 
-    The turn numbers of a conversation are distinct, but may have gaps. All joins are on
-    (conversation, turn number), however long a conversation may be.
+    The turn numbers of a conversation are distinct, but may have gaps. Turns are ordered within stretches of
+    65,536 turn numbers, so a conversation of any length is spread over many tasks; only the pairs across two stretches
+    need joins, which are empty for most tables.
     """
+    placed = turns.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text")
+    inside = Window.partitionBy("conv_id", F.shiftright(F.col("turn").cast("long"), _STRETCH_BITS)).orderBy("turn")
+    after = F.lead(F.struct("role", "text")).over(inside)
+    within = (placed.withColumn("_after", after).filter("role = 'user' AND _after.role = 'assistant'")
+              .select("conv_id", "turn", F.col("text").alias("prompt"), F.col("_after.text").alias("response")))
+
     def side(role, number, name):
-        return turns.filter(F.col("role") == role).select(
+        return placed.filter(F.col("role") == role).select(
             "conv_id", F.col("turn").alias(number), F.col("text").alias(name))
 
-    asked, answered = side("user", "turn", "prompt"), side("assistant", "next", "response")
-    followed = answered.join(next_turns(turns), ["conv_id", "next"]).drop("next")
-    return asked.join(followed, ["conv_id", "turn"]).select(
+    across = (_border_turns(placed).join(side("user", "turn", "prompt"), ["conv_id", "turn"])
+              .join(side("assistant", "next", "response"), ["conv_id", "next"])
+              .select("conv_id", F.col("turn").cast(turns.schema["turn"].dataType).alias("turn"), "prompt",
+                      "response"))
+    return within.unionByName(across).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", "turn", "prompt", "response")
