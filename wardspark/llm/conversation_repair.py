@@ -14,7 +14,8 @@ are large, so memory is bounded however long a conversation is. The file has no
 
 Null roles and texts count as one space, null turns come first, equal turns are ordered by role and text; the null
 conversation is one of its own. An empty role has the initial of a space, too. Roles other than user, assistant and
-system are told by their first letter alone. Other columns are not looked at. An empty table gives an empty result.
+system are told by their first letter alone. A very long text is one row like any other; rows that repeat are faults.
+Other columns are not looked at, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ reduction is finished, the proofs are joined to the outer one, and each leaf is
 
 A null field is part of its leaf (``-``), a null group is a group of its own, first in order, and a null order
 key comes before all others. Rows with equal keys are ordered by their leaf; rows that are equal in all
-fields get neighbouring places in any order. Texts are hashed whole, where they are read, and never
+fields get neighbouring places in any order. Texts of any length are hashed whole, where they are read, and never
 shuffled. An empty table has no root and an empty manifest. Columns that aren't fields are not looked at, whatever
 they are called.
 """

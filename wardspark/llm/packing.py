@@ -15,8 +15,9 @@ a group of like sequences, so the plan grows with the lengths and not with the d
 Words are found, and told apart, by Arrow; the tokenizer library sees each new word once. This holds for a tokenizer
 that drops white space and marks the ends of words. Texts with an added token (``<|``) go to the library whole.
 
-A null text is empty: one piece, the end id. Equal rows are packed as often as they come. An empty table
-gives an empty result. Columns beside ``doc_id`` and ``text`` are not looked at.
+A null text is empty: one piece, the end id. A text of any length is cut into pieces. Equal rows are packed as often
+as they come; of combinations that tie the one with the longest piece is taken. An empty table gives an empty result.
+Columns beside ``doc_id`` and ``text`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -129,8 +129,8 @@ def op10_language_id(spark, sf):
 @query
 def op11_packing(spark, sf):
     pieces = packing.cut(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",
-                                       "offset")
+    return packing.pack(pieces).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
+                                       "ids_crc32", "sequence_id", "offset")
 
 
 @query
