@@ -32,7 +32,7 @@ from wardspark.llm.columns import LONG, ColumnCoder, runs, slices
 from wardspark.llm.common import whole_row
 
 # Pieces that a task remembers; then it forgets all and goes on.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 # Texts of about so many bytes are decoded at once.
 DECODED_BYTES = 1 << 20
 
