@@ -7,8 +7,8 @@ segment of the item (twenty windows) would start, and the proposals for one plac
 combined to a bit mask of the terms found. A window whose key terms are all there is then
 compared with the document word by word.
 
-A document's postings come from one task, which combines the proposals before anything is shuffled, so what moves is
-one small row per place proposed. No key gathers anything: counts are combined per task, and a document's matches are
+Only the postings asked for are shuffled, by document, and stay there: the intersection and the list of matches of a
+document need no further shuffle. No key gathers anything: counts are combined per task, and a document's matches are
 at most those of its own words. The matches go back to the documents by a broadcast if there are few, else
 by a join that shuffles the documents once. Rows with a null or empty text have no words; a very long text is one row
 like any other. Repeated rows each get the same result (a row is found again by id and text). Test
@@ -26,8 +26,8 @@ from wardspark.llm.common import KEY, ascii_lower, row_key, small, whole_row, wr
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 RAREST = 3
-# The matches of more documents than this are joined by a shuffle, never broadcast.
-FEW_DOCUMENTS = 20_000
+# More matches than this, of some 130 bytes each, are joined with the documents by a shuffle, never broadcast.
+FEW_MATCHES = 500_000
 # Windows of a segment; with the words of the last they fit a mask of 64 bits.
 SEGMENT = 20
 
@@ -55,11 +55,11 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``k1, k2, pos, term``: the places of the given terms (distinct) in the documents; other terms are
-    dropped where the texts are read."""
+    """``k1, k2, pos, term``: the places of the given terms (distinct) in the documents, all those of a document in
+    one partition; other terms are dropped where the texts are read."""
     rows = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
     places = rows.select(*KEY, F.posexplode(term_list(F.col("text"))).alias("pos", "term"))
-    return places.join(small(terms), "term", "left_semi")
+    return places.join(small(terms), "term", "left_semi").repartition(*KEY)
 
 
 def rarest_terms(docs: DataFrame, phrases: DataFrame, rarest: int | None = RAREST) -> DataFrame:
@@ -111,7 +111,8 @@ def matched(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     by_doc = written(intersect(index, phrases, keys).groupBy(*KEY).agg(
         F.collect_list(F.struct("start", F.col("terms").alias("want"), "items")).alias("found")), "matches")
     rows = docs.select(whole_row(docs).alias("_row"), *row_key(docs["doc_id"], docs["text"]))
-    joined = rows.join(small(by_doc, FEW_DOCUMENTS), KEY, "left")
+    few = (by_doc.agg(F.sum(F.size("found"))).head()[0] or 0) <= FEW_MATCHES
+    joined = rows.join(F.broadcast(by_doc) if few else by_doc, KEY, "left")
     told = joined.select("_row", "found", term_list(F.col("_row.text")).alias("terms"))
     same = F.filter(F.coalesce("found", F.array().cast(by_doc.schema["found"].dataType)),
                     lambda x: F.slice("terms", x["start"] + 1, F.size(x["want"])) == x["want"])
