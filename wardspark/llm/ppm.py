@@ -17,7 +17,8 @@ or token appears once per block.
 A text is padded with 0xFE in front and ends with 0xFF, bytes that UTF-8 never uses; the end is
 coded too. A null text is empty and consists of its end. Without training rows every byte costs log
 256, and a token of the base model log 2 (N = V = 0). Repeated rows get equal scores; there are no ties to
-break. A text longer than a block is a block of its own, worked through in slices. An empty table gives an empty
+break. Rows that are equal in keys and text very often are dealt once, count as often as they come, and get their score
+back by a join, so no block holds the copies. A text longer than a block is a block of its own, worked through in slices. An empty table gives an empty
 result. Other columns are not looked at, and keys may have any names.
 """
 
@@ -32,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardspark.llm.common import written
+from wardspark.llm.common import KEY, small, written
 
 ORDER = 4
 PAD, END = 0xFE, 0xFF
 END_TOKEN = b" "  # no word holds a space
 BLOCK_BYTES = 8 << 20
 SLICE = 1 << 20  # grams handled at once, and bytes of texts
+COPIES = 100  # rows that are equal in key and text more often than this are dealt once
 
 
 def _buffer(texts: list[bytes]) -> np.ndarray:
@@ -105,22 +107,19 @@ def _lowered(table: pa.Table) -> pa.Array:
 def _count_block(table: pa.Table) -> pa.Table:
     """``block, token, gram, n`` of one block: training counts of each distinct token and gram
     in it, 0 for those that only other rows hold."""
-    texts, train = _lowered(table), table.column("train").combine_chunks()
-    flags = train.to_numpy(zero_copy_only=False)
+    texts = _lowered(table)
+    # how often a row counts: its copies, or not at all
+    weights = table.column("weight").to_numpy()
     words, sizes = _words(texts)
     coded = words.dictionary_encode()
-    of_train = np.repeat(flags, sizes)
-    at = coded.indices.to_numpy()
-    n_words = np.bincount(at[of_train], minlength=len(coded.dictionary))
+    n_words = np.bincount(coded.indices.to_numpy(), np.repeat(weights, sizes), len(coded.dictionary))
     raw = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
     raw = raw.to_pylist()
-    learned = _gram_counts([t for t, f in zip(raw, flags) if f])
-    others = _gram_counts([t for t, f in zip(raw, flags) if not f])
-    grams, n_grams = _summed([learned[0], others[0]],
-                             [learned[1], np.zeros(len(others[0]), np.int64)])
+    parts = [(w, _gram_counts([t for t, own in zip(raw, weights) if own == w])) for w in np.unique(weights)]
+    grams, n_grams = _summed([keys for _, (keys, _) in parts], [w * counts for w, (_, counts) in parts])
     tokens = coded.dictionary.cast(pa.binary()).to_pylist() + [END_TOKEN]
     total = len(tokens) + len(grams)
-    n = np.concatenate((n_words, [int(flags.sum())], n_grams)).astype(np.int64)
+    n = np.concatenate((n_words, [int(weights.sum())], n_grams)).astype(np.int64)
     gram_column = np.concatenate((np.full(len(tokens), -1, np.int64), grams))
     block = table.column("block")[0].as_py()
     return pa.table({"block": pa.array(np.full(total, block, np.int64)),
@@ -217,7 +216,7 @@ def _score_block():
     """``_key, n_tokens, n_known, token_log, score`` of the rows of a block."""
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({"_key": docs.column("_key"),
+            return pa.table({c: docs.column(c) for c in ("_key", *KEY)} | {
                 "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()),
                 "token_log": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         texts = _lowered(docs)
@@ -233,8 +232,8 @@ def _score_block():
             starts = np.cumsum([0] + [len(t) + ORDER + 1 for t in chunk[:-1]])
             scores.append(np.add.reduceat(lengths.of(_buffer(chunk)), starts))
         scores = np.concatenate(scores)
-        return pa.table({
-            "_key": docs.column("_key"), "n_tokens": pa.array((sizes + 1).astype(np.int64)),
+        return pa.table({c: docs.column(c) for c in ("_key", *KEY)} | {
+            "n_tokens": pa.array((sizes + 1).astype(np.int64)),
             "n_known": pa.array(n_known.astype(np.int64)),
             "token_log": pa.array(logs), "score": pa.array(scores)})
     return run
@@ -249,10 +248,20 @@ def score(docs: DataFrame, keys: list[str], train: str,
     """
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = total // block_bytes + 1
-    dealt = docs.select(
-        F.pmod(F.xxhash64(*keys, "text"), F.lit(blocks)).alias("block"), F.struct(*keys).alias("_key"), "text",
-        F.coalesce(train, F.lit(False)).alias("train"))
-    counted = written(dealt.select("block", "text", "train").groupBy("block").applyInArrow(
+    weight = F.coalesce((F.col(train) if isinstance(train, str) else train).cast("long"), F.lit(0))
+    whole = [x for c in [*map(F.col, keys), F.col("text")] for x in (c.isNull(), c)] + [weight]
+    rows = docs.select(*[F.xxhash64(F.lit(n), *whole).alias(k) for n, k in enumerate(KEY)],
+                       F.struct(*keys).alias("_key"), "text", weight.alias("weight"))
+    # rows repeated very often, as a whole, are dealt once and count as often as they come
+    often = written(rows.groupBy(*KEY).agg(F.count("*").alias("copies")).filter(F.col("copies") > COPIES), "often")
+    some = often.limit(1).count() > 0
+    block = F.pmod(F.xxhash64(*KEY), F.lit(blocks)).alias("block")
+    dealt = rows.select(block, *KEY, "_key", "text", "weight")
+    if some:
+        once = rows.join(small(often), KEY).dropDuplicates(KEY).withColumn("weight", F.col("weight") * F.col("copies"))
+        dealt = rows.join(small(often.select(*KEY)), KEY, "left_anti").unionByName(once.drop("copies")).select(
+            block, *KEY, "_key", "text", "weight")
+    counted = written(dealt.select("block", "text", "weight").groupBy("block").applyInArrow(
         _count_block, "block long, token binary, gram long, n long"), "counts")
 
     # tokens: a token has one row per block at most
@@ -279,11 +288,16 @@ def score(docs: DataFrame, keys: list[str], train: str,
     n, v = found.filter("first AND value > 0").agg(
         F.sum("value").cast("long"), F.count("*")).head()
     n = n or 0
-    schema = dealt.select("_key").schema.add("n_tokens", "long").add("n_known", "long")
+    schema = dealt.select("_key", *KEY).schema.add("n_tokens", "long").add("n_known", "long")
     schema = schema.add("token_log", "double").add("score", "double")
-    scored = dealt.groupBy("block").cogroup(
+    scored = dealt.select("block", *KEY, "_key", "text").groupBy("block").cogroup(
         found.select("block", "token", "gram", "value").groupBy("block")).applyInArrow(
         _score_block(), schema)
+    if some:
+        scored = written(scored, "scored")
+        own = scored.join(small(often.select(*KEY)), KEY, "left_semi").drop("_key")
+        copies = rows.select("_key", *KEY).join(small(written(own, "scored-once")), KEY)
+        scored = scored.join(small(often.select(*KEY)), KEY, "left_anti").unionByName(copies)
     each = math.log10(n + 0.5 * (v + 1))
     return scored.select(
         "_key", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
