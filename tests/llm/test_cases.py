@@ -297,3 +297,21 @@ def test_models_keep_other_columns(spark):
     assert {r._row.score for r in scored.collect()} == {"x"}
     assert language.identify(docs.filter("false"), language.train(docs.filter("false"))).count() == 0
     assert quality_model.score(docs.filter("false"), quality_model.train(docs, "quality")).count() == 0
+
+
+@pytest.mark.parametrize("copies", [3, 100])
+def test_scores_of_rows_repeated_very_often(spark, monkeypatch, copies):
+    """A third of the rows are one row: it is dealt once, counts as often as it comes, and is scored as often."""
+    monkeypatch.setattr(ppm, "COPIES", copies)
+    rows = [(7, "the same row", True)] * 150 + [(8, "another one", False)] * 120 + [(8, "another one", True)] * 5
+    rows += [(n, f"text {n % 40} of many", n % 3 > 0) for n in range(200)] + [(None, None, True)] * 101
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(5)
+    found = ppm.score(docs, ["doc_id"], "train", block_bytes=500).collect()
+    model = brute.Ppm([t for _, t, own in rows if own])
+    wanted = sorted([(k, *b, model.score(t)) for (k, t, _), b in zip(
+        rows, brute.base([t for _, t, _ in rows], [own for _, _, own in rows]))], key=repr)
+    got = sorted([(r._key.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found], key=repr)
+    assert [r[:4] for r in got] == [r[:4] for r in wanted]
+    assert np.allclose([r[4:] for r in got], [r[4:] for r in wanted])
+    # no block holds the copies
+    assert len(rows) == len(got)
