@@ -31,8 +31,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 from wardspark.llm.columns import LONG, ColumnCoder, runs, slices
 from wardspark.llm.common import whole_row
 
-# Pieces that a task remembers; then it forgets all and goes on.
-REMEMBERED = 250_000
+# Pieces, and parts, that a task remembers; then it forgets all and goes on.
+REMEMBERED = 150_000
+# Texts of about so many bytes are encoded at once.
+SLICE_BYTES = 4 << 20
 # Texts of about so many bytes are decoded at once.
 DECODED_BYTES = 1 << 20
 
@@ -174,7 +176,7 @@ class Coder(ColumnCoder):
     """Whole columns of texts to ids and back; each distinct part is coded once by its prefixes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.vocabulary = vocabulary
         tokens = [vocabulary.bytes_of.get(n, b"") for n in range(max(vocabulary.bytes_of, default=-1) + 1)]
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
@@ -239,7 +241,7 @@ def digests(docs: DataFrame, path: str, pattern: str, keys: list[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, SLICE_BYTES):
                 ids = own.encode_column(rows.column("text").fill_null(""))
                 ids_sha, text_sha, done = [], [], 0
                 for part in slices(rows, DECODED_BYTES):
@@ -253,6 +255,8 @@ def digests(docs: DataFrame, path: str, pattern: str, keys: list[str],
                 columns = [*[rows.column(k) for k in keys], sizes, pa.array(ids_sha, pa.string()),
                            pa.array(text_sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [ids] * with_ids, schema.names)
+                # what Arrow has freed goes back to the machine, on which other tasks run
+                pa.default_memory_pool().release_unused()
 
     schema = docs.select(*keys).schema
     for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"),

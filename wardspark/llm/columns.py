@@ -53,7 +53,8 @@ class ColumnCoder:
     A part that is a space and a word is known by the word, any other by a space and itself.
     """
 
-    def __init__(self):
+    def __init__(self, remembered: int | None = None):
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
 
     def new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +75,7 @@ class ColumnCoder:
         ids = np.concatenate((np.frombuffer(old, "<i4"), new_ids))
         places = runs(begins[codes], sizes[codes])
         ends = np.cumsum(np.add.reduceat(sizes[codes], starts)) if len(starts) else starts
-        if len(self.known) > REMEMBERED:  # the words of the texts at hand are the likeliest to come
+        if len(self.known) > (self.remembered or REMEMBERED):  # the words of the texts at hand are the likeliest to come
             self.known = {k: ids for k, ids in zip(keys, found) if ids is not None}
         often = missing[np.bincount(codes, minlength=len(keys))[missing] > 1]
         data = ids.tobytes()

@@ -27,7 +27,7 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 RAREST = 3
 # More matches than this, of some 130 bytes each, are joined with the documents by a shuffle, never broadcast.
-FEW_MATCHES = 500_000
+FEW_MATCHES = 100_000
 # Windows of a segment; with the words of the last they fit a mask of 64 bits.
 SEGMENT = 20
 
