@@ -185,7 +185,7 @@ def test_overlap_with_repeated_rows_and_both_joins(spark, monkeypatch):
     items = spark.createDataFrame([("i", passage)], "item_id string, text string")
     windows = brute.item_windows([("i", passage)])
     wanted = sorted(repr((k, *brute.overlap(t, windows)[:3])) for k, t in texts)
-    for few in (500_000, 0):
+    for few in (100_000, 0):
         monkeypatch.setattr(decontamination, "FEW_MATCHES", few)
         found = decontamination.overlap(docs, items).collect()
         assert sorted(repr((r._row.doc_id, r.n_words, r.n_hit, r.n_items)) for r in found) == wanted
