@@ -9,8 +9,8 @@ compared with the document word by word.
 
 Only the postings asked for are shuffled, by document, and stay there: the intersection and the list of matches of a
 document need no further shuffle. No key gathers anything: counts are combined per task, and a document's matches are
-at most those of its own words. The matches go back to the documents by a broadcast if there are few, else
-by a join that shuffles the documents once. Rows with a null or empty text have no words; a very long text is one row
+at most those of its own words. The matches go back to the documents by a join that shuffles
+these once. Rows with a null or empty text have no words; a very long text is one row
 like any other. Repeated rows each get the same result (a row is found again by id and text). Test
 items without words are ignored; items without id mark words but aren't counted as items. Other columns stay inside
 ``_row``, whatever their names. Empty tables give no matches.
@@ -26,8 +26,6 @@ from wardspark.llm.common import KEY, ascii_lower, row_key, small, whole_row, wr
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 RAREST = 3
-# More matches than this, of some 130 bytes each, are joined with the documents by a shuffle, never broadcast.
-FEW_MATCHES = 100_000
 # Windows of a segment; with the words of the last they fit a mask of 64 bits.
 SEGMENT = 20
 
@@ -108,11 +106,10 @@ def matched(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = docs.select("doc_id", "text")
     keys = written(rarest_terms(texts, phrases), "keys")
     index = postings(texts, written(keys.select("term").distinct(), "key-terms"))
-    by_doc = written(intersect(index, phrases, keys).groupBy(*KEY).agg(
-        F.collect_list(F.struct("start", F.col("terms").alias("want"), "items")).alias("found")), "matches")
+    by_doc = intersect(index, phrases, keys).groupBy(*KEY).agg(
+        F.collect_list(F.struct("start", F.col("terms").alias("want"), "items")).alias("found"))
     rows = docs.select(whole_row(docs).alias("_row"), *row_key(docs["doc_id"], docs["text"]))
-    few = (by_doc.agg(F.sum(F.size("found"))).head()[0] or 0) <= FEW_MATCHES
-    joined = rows.join(F.broadcast(by_doc) if few else by_doc, KEY, "left")
+    joined = rows.join(by_doc, KEY, "left")
     told = joined.select("_row", "found", term_list(F.col("_row.text")).alias("terms"))
     same = F.filter(F.coalesce("found", F.array().cast(by_doc.schema["found"].dataType)),
                     lambda x: F.slice("terms", x["start"] + 1, F.size(x["want"])) == x["want"])
