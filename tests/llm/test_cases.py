@@ -178,17 +178,15 @@ def test_licences_of_nothing_and_other_columns(spark):
     assert licences.scan(docs.filter("false"), licences.template_table(spark)).count() == 0
 
 
-def test_overlap_with_repeated_rows_and_both_joins(spark, monkeypatch):
+def test_overlap_with_repeated_rows(spark):
     passage = "the quick brown fox jumps over the lazy dog near the old river bank"
     texts = [(n % 3, f"{passage} {n % 2}" if n % 4 else "nothing here") for n in range(40)] + [(None, passage)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     items = spark.createDataFrame([("i", passage)], "item_id string, text string")
     windows = brute.item_windows([("i", passage)])
     wanted = sorted(repr((k, *brute.overlap(t, windows)[:3])) for k, t in texts)
-    for few in (100_000, 0):
-        monkeypatch.setattr(decontamination, "FEW_MATCHES", few)
-        found = decontamination.overlap(docs, items).collect()
-        assert sorted(repr((r._row.doc_id, r.n_words, r.n_hit, r.n_items)) for r in found) == wanted
+    found = decontamination.overlap(docs, items).collect()
+    assert sorted(repr((r._row.doc_id, r.n_words, r.n_hit, r.n_items)) for r in found) == wanted
 
 
 # ---- models, by plain versions
