@@ -169,12 +169,16 @@ _STORED: dict[tuple, str] = {}
 
 def stored(spark: SparkSession, sf: str, label: str, make) -> DataFrame:
     """``make(spark, sf)`` written once per session: log queries read a log, as in use, and don't score it."""
+    return spark.read.parquet(stored_path(spark, sf, label, make))
+
+
+def stored_path(spark: SparkSession, sf: str, label: str, make) -> str:
     key = (spark.sparkContext.applicationId, sf, label)
     if key not in _STORED:
         path = scratch_path(spark, label)
         make(spark, sf).write.parquet(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return _STORED[key]
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,6 +186,14 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf, "log", _log)
 
 
+def log_stream(spark: SparkSession, sf: str, batches: int) -> DataFrame:
+    """The log's own files as a stream of about so many micro-batches; no copy is made."""
+    rows = log(spark, sf)
+    files = -(-len(rows.inputFiles()) // batches)
+    return (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(files, 1))
+            .parquet(stored_path(spark, sf, "log", _log)))
+
+
 def _log(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     size = turns.agg(F.max("conv_id") + 1).scalar()

@@ -114,8 +114,8 @@ def _(spark, sf):
 def _(spark, sf):
     """The replayed pairs of the log, each one kept once, over several micro-batches. The delay spans the log, since
     its rows come in any order."""
-    rows = B.log(spark, sf).select("timestamp", "prompt", "response").repartition(4)
-    return _drained(spark, jobs.stream_dedup(_as_stream(spark, rows, 2), late="60 days")).select("pair_key")
+    rows = B.log_stream(spark, sf, 2).select("timestamp", "prompt", "response")
+    return _drained(spark, jobs.stream_dedup(rows, late="60 days")).select("pair_key")
 
 
 @check("batch_events", f"""

@@ -68,3 +68,19 @@ def test_complete_late_and_never_complete_batches(spark):
     got = sorted((tuple(r) for r in out.collect()), key=repr)
     assert got == sorted([("batch.completed", "whole", 300, 100, 200), ("batch.completed", "slow", 2, 2, 0),
                           ("batch.completed", None, 1, 1, 0), ("batch.incomplete", "never", 4, 4, 0)], key=repr)
+
+
+def test_the_log_is_streamed_without_a_copy(spark, monkeypatch):
+    """Micro-batches are made of the log's own files, so a log of any size is neither dealt out nor written again."""
+    import __spark_entry__ as entry
+    from checks import streams
+
+    made = []
+
+    def noted(session, label):
+        made.append(label)
+        return scratch_path(session, label)
+
+    monkeypatch.setattr(streams, "scratch_path", noted)
+    assert entry.queries()["stream_dedup"](spark, "/root/testdata/sf0.001").count() == 34
+    assert made == ["stream-out", "stream-checkpoint"]
