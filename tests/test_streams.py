@@ -84,3 +84,28 @@ def test_the_log_is_streamed_without_a_copy(spark, monkeypatch):
     monkeypatch.setattr(streams, "scratch_path", noted)
     assert entry.queries()["stream_dedup"](spark, "/root/testdata/sf0.001").count() == 34
     assert made == ["stream-out", "stream-checkpoint"]
+
+
+def test_hours_come_from_files_of_many_tasks(spark, monkeypatch):
+    """Each ten days are one micro-batch, however many tasks wrote them."""
+    import __spark_entry__ as entry
+    from checks import base, streams
+
+    made = []
+
+    def noted(session, label):
+        made.append((label, scratch_path(session, label)))
+        return made[-1][1]
+
+    def log(session, sf):
+        seconds = F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 400)")
+        return session.range(0, 6000, 1, 4).select(
+            seconds.alias("timestamp"), (F.col("id") % 2 == 0).alias("passed"), F.col("id").cast("double").alias("latency_ms"),
+            F.create_map(F.lit("hallucination_risk"), F.lit(0.5)).alias("scores")).repartition(4)
+
+    monkeypatch.setattr(streams, "scratch_path", noted)
+    monkeypatch.setattr(base, "log", log)
+    hours = entry.queries()["stream_hourly"](spark, "").collect()
+    assert len(hours) == 666 and all(r.total_evaluations == 9 for r in hours)
+    paths = dict(made)
+    assert len(spark.read.parquet(paths["stream-in"]).inputFiles()) > 3
