@@ -82,7 +82,7 @@ def _(spark, sf):
     results.append_evaluations(log, path)
     wanted = log.filter("source = 'cli'").agg(F.max("evaluation_id")).head()[0]
     found = results.find_evaluation(spark, path, wanted)
-    known = log.select("evaluation_id", "id").distinct()
+    known = log.filter(F.col("evaluation_id") == wanted).select("evaluation_id", "id").distinct()
     return found.join(known, "evaluation_id").select(
         "evaluation_id", "id", "passed", F.date_format("dt", "yyyy-MM-dd").alias("dt"))
 

@@ -312,3 +312,24 @@ def test_ranking_starts_no_job_before_it_is_asked_for(spark):
     assert list(context.statusTracker().getJobIdsForGroup("lazy")) == []
     context.setJobGroup("", "")
     assert running_total(rows.filter("false"), [], ["evaluation_id"], "n").count() == 0
+
+
+def test_full_days_are_written_where_they_are(spark):
+    """Tasks with many rows of a day write them themselves, so that no text is shuffled; quiet days are still balanced."""
+    made = spark.range(0, 40_000, 1, 2).select(
+        F.concat(F.lit("eval_"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24)).alias("evaluation_id"),
+        (F.lit(START).cast("timestamp") + F.make_dt_interval((F.col("id") % 2).cast("int"))).alias("timestamp"),
+        F.concat(F.lit("p"), "id").alias("prompt"), F.lit("r").alias("response"), F.lit(True).alias("passed"),
+        F.create_map(F.lit("toxicity"), F.lit(0.5)).alias("scores"), F.array(F.lit("f")).alias("flags"))
+    path = scratch_path(spark, "log")
+    results.append_evaluations(made, path)
+    stored = results.read_log(spark, path)
+    assert len(stored.inputFiles()) == 4 and all(".zstd." in f for f in stored.inputFiles())
+    assert stored.count() == 40_000 == stored.select("prompt").distinct().count()
+    row = stored.filter("prompt = 'p7'").head()
+    assert results.find_evaluation(spark, path, row.evaluation_id).count() == 1
+    assert stored.filter("prompt_hash <> sha2(prompt, 256) OR metadata <> '{}' OR source <> 'api'").count() == 0
+    quiet = scratch_path(spark, "log")
+    results.append_evaluations(made.repartition(8), quiet)
+    days = {f.rsplit("dt=", 1)[1] for f in results.read_log(spark, quiet).inputFiles()}
+    assert len(days) == 2 and results.read_log(spark, quiet).count() == 40_000

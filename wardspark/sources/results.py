@@ -55,11 +55,8 @@ def read_results_json(spark: SparkSession, path: str) -> DataFrame:
         "detailed_results")
 
 
-def log_rows(results: DataFrame, source: str = "api") -> DataFrame:
-    """Rows of the evaluation log from results with a ``timestamp``."""
-    if source not in LOG_SOURCES:
-        raise ValueError(f"source must be one of {LOG_SOURCES}")
-
+def _log_columns(results: DataFrame, source: str) -> list[Column]:
+    """The columns of the evaluation log but for its day."""
     def optional(name, kind, default=None):
         return (F.col(name) if name in results.columns
                 else F.lit(default).cast(kind).alias(name))
@@ -69,33 +66,58 @@ def log_rows(results: DataFrame, source: str = "api") -> DataFrame:
             return F.lit("{}").alias(name)
         return F.coalesce(F.to_json(name), F.lit("{}")).alias(name)
 
-    return results.select(
-        "evaluation_id", "timestamp", "prompt", "response",
-        hashing.text_hash(F.col("prompt")).alias("prompt_hash"),
-        hashing.text_hash(F.col("response")).alias("response_hash"),
-        "passed", "scores", "flags", as_json("metadata"), as_json("detailed_results"),
-        optional("latency_ms", "double", 0.0), optional("source", "string", source),
-        optional("user_id", "string"), optional("session_id", "string"),
-        F.to_date("timestamp").alias("dt"))
+    return [*map(F.col, ("evaluation_id", "timestamp", "prompt", "response")),
+            hashing.text_hash(F.col("prompt")).alias("prompt_hash"),
+            hashing.text_hash(F.col("response")).alias("response_hash"),
+            *map(F.col, ("passed", "scores", "flags")), as_json("metadata"), as_json("detailed_results"),
+            optional("latency_ms", "double", 0.0), optional("source", "string", source),
+            optional("user_id", "string"), optional("session_id", "string")]
+
+
+def _check_source(source: str) -> None:
+    if source not in LOG_SOURCES:
+        raise ValueError(f"source must be one of {LOG_SOURCES}")
+
+
+def log_rows(results: DataFrame, source: str = "api") -> DataFrame:
+    """Rows of the evaluation log from results with a ``timestamp``."""
+    _check_source(source)
+    return results.select(*_log_columns(results, source), F.to_date("timestamp").alias("dt"))
+
+
+# Rows that a task has of a day, on average, from which on they are written where they are.
+ROWS_PER_FILE = 10_000
+_NEEDED = ("evaluation_id", "timestamp", "prompt", "response", "passed", "scores", "flags", "metadata",
+           "detailed_results", "latency_ms", "source", "user_id", "session_id")
 
 
 def append_evaluations(results: DataFrame, path: str, source: str = "api") -> None:
     """Appends to the log, partitioned by day, and the days of the ids to a table beside it.
 
-    Rows are balanced by day with adaptive splitting, so that a busy day is written by many
-    tasks and a quiet one by few; inside a file they are sorted for row-group skipping.
+    A pass over the times tells how many rows of a day a task has. If these make files worth having, each task writes its
+    own rows and no text is shuffled. Else rows are balanced by day with adaptive splitting, so that a busy day is written by
+    many tasks and a quiet one by few; digests and JSON are made after that. Inside a file rows are sorted for row-group skipping.
     """
-    rows = log_rows(results, source)
+    _check_source(source)
+    rows = (results.select(*[c for c in results.columns if c in _NEEDED])
+            .withColumn("dt", F.to_date("timestamp")))
+    if "source" not in rows.columns:
+        rows = rows.withColumn("source", F.lit(source))
     # ids first: one without a row is harmless, a row without its id would not be found
     (rows.select("evaluation_id", "dt", _drawer(F.col("evaluation_id")).alias("drawer"))
      .repartition("drawer").sortWithinPartitions("drawer", "evaluation_id")
      .write.mode("append").options(**_bloom("evaluation_id")).partitionBy("drawer").parquet(ids_path(path)))
-    (rows.hint("rebalance", "dt").sortWithinPartitions("dt", "source", "timestamp")
-     .write.mode("append").options(**_bloom("evaluation_id")).partitionBy("dt").parquet(path))
+    files = rows.groupBy(F.spark_partition_id().alias("task"), "dt").agg(F.count("*").alias("n"))
+    total, count = files.agg(F.sum("n"), F.count("*")).head()
+    balanced = rows if (total or 0) >= ROWS_PER_FILE * count else rows.hint("rebalance", "dt")
+    ordered = balanced.sortWithinPartitions("dt", "source", "timestamp")
+    (ordered.select(*_log_columns(ordered, source), "dt")
+     .write.mode("append").options(compression="zstd", **_bloom("evaluation_id")).partitionBy("dt").parquet(path))
 
 
 def _bloom(column: str) -> dict[str, str]:
-    return {f"parquet.bloom.filter.enabled#{column}": "true"}
+    """A Bloom filter as large as the values ask for."""
+    return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def ids_path(path: str) -> str:
