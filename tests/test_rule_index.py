@@ -129,3 +129,25 @@ def test_no_rules(spark, texts):
     assert rules.rule_hits(texts, "t", none).count() == 0
     assert {r.score for r in rules.rule_score(texts, "t", none).collect()} == {0.0}
     assert rules.rule_hits(texts.filter("false"), "t", table(spark, listed())).count() == 0
+
+
+def test_all_literals():
+    assert rule_index.all_literals(r"(?:cat|dog)[.,]\s+bird") == [["cat", "dog"], ["bird"]]
+    assert rule_index.all_literals(r"\d+x?") == [] and rule_index.needed_literals("a\x00bc", "regex") == ["bc"]
+
+
+def test_texts_are_joined_without_their_windows(spark, texts):
+    """A text meets many keys; its list of windows isn't copied for each."""
+    index = rule_index.rule_index(table(spark, listed()), "both")
+    plan = rule_index.indexed_hits(texts, "t", index)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[:plan.index("Join Inner")]
+    assert "_held" not in joined and "array_intersect" not in plan
+
+
+def test_a_rule_met_under_several_keys_is_tried_once(spark):
+    made = [Rule("r", "R", "(?:cat|dog|bird|\tox)s? [0-9]+", "regex", 0.7), Rule("z", "Z", "a\x00b,\x00q", "keyword", 0.2),
+            Rule("n", "N", "x\x00yy", "regex", 0.3)]
+    texts = spark.createDataFrame([(1, "cat dog birds \tox 7"), (2, "dog cat 1"), (3, "bird"), (4, "a\x00b q"),
+                                   (5, "xx\x00yyy"), (6, "\x00q yy")], "n int, t string")
+    got = sorted((r.n, r.rule_id) for r in rules.rule_hits(texts, "t", table(spark, made)).collect())
+    assert got == [(1, "r"), (2, "r"), (4, "z"), (5, "n"), (6, "z")]
