@@ -352,3 +352,20 @@ def test_token_slices(monkeypatch):
     assert [r["n_tokens"] for r in rows] == [len(ids) for ids in wanted]
     assert [r["offset"] for r in rows] == [sum(map(len, wanted[:n])) for n in range(len(wanted))]
     assert {r["part"] for r in rows} == {3}
+
+
+def test_counts_of_the_language_model_are_dropped(spark):
+    """Once the values are found, the tables of counts that led there take no disk."""
+    from pathlib import Path
+
+    from wardspark.llm import ppm
+    from wardspark.session import shared_folder
+
+    def tables():
+        folder = Path(shared_folder(spark).removeprefix("file:"))
+        return {p.name for label in ("counts", "grams", "found") for p in folder.glob(f"{label}-*")}
+
+    before = tables()
+    docs = spark.createDataFrame([(n, f"some words {n}", n % 2 == 0) for n in range(20)], "doc_id long, text string, train boolean")
+    assert ppm.score(docs, ["doc_id"], "train").filter("score < 0").count() == 20
+    assert {name.split("-")[0] for name in tables() - before} == {"found"}

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardspark.llm.common import KEY, small, written
+from wardspark.session import scratch_path, scratch_tables
 
 ORDER = 4
 PAD, END = 0xFE, 0xFF
@@ -239,28 +240,11 @@ def _score_block():
     return run
 
 
-def score(docs: DataFrame, keys: list[str], train: str,
-          block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``_key`` (a struct of the keys), ``n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
+_FOUND = "block long, token binary, gram long, value double, first boolean"
 
-    ``docs`` has the keys, whatever their names, ``text`` and the boolean ``train``; a null there is false. ``score`` is
-    the log10 probability of the whole text, ``base_score`` that of its tokens one by one.
-    """
-    total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = total // block_bytes + 1
-    weight = F.coalesce((F.col(train) if isinstance(train, str) else train).cast("long"), F.lit(0))
-    whole = [x for c in [*map(F.col, keys), F.col("text")] for x in (c.isNull(), c)] + [weight]
-    rows = docs.select(*[F.xxhash64(F.lit(n), *whole).alias(k) for n, k in enumerate(KEY)],
-                       F.struct(*keys).alias("_key"), "text", weight.alias("weight"))
-    # rows repeated very often, as a whole, are dealt once and count as often as they come
-    often = written(rows.groupBy(*KEY).agg(F.count("*").alias("copies")).filter(F.col("copies") > COPIES), "often")
-    some = often.limit(1).count() > 0
-    block = F.pmod(F.xxhash64(*KEY), F.lit(blocks)).alias("block")
-    dealt = rows.select(block, *KEY, "_key", "text", "weight")
-    if some:
-        once = rows.join(small(often), KEY).dropDuplicates(KEY).withColumn("weight", F.col("weight") * F.col("copies"))
-        dealt = rows.join(small(often.select(*KEY)), KEY, "left_anti").unionByName(once.drop("copies")).select(
-            block, *KEY, "_key", "text", "weight")
+
+def _write_found(dealt: DataFrame, path: str) -> None:
+    """Writes the counts of the tokens and the code lengths of the grams of each block."""
     counted = written(dealt.select("block", "text", "weight").groupBy("block").applyInArrow(
         _count_block, "block long, token binary, gram long, n long"), "counts")
 
@@ -283,8 +267,36 @@ def score(docs: DataFrame, keys: list[str], train: str,
         "block", F.lit(None).cast("binary").alias("token"), "gram", "value",
         F.lit(False).alias("first"))
 
-    found = written(tokens.select("block", "token", F.lit(-1).cast("long").alias("gram"),
-                                  F.col("value").cast("double"), "first").union(of_grams), "found")
+    tokens.select("block", "token", F.lit(-1).cast("long").alias("gram"), F.col("value").cast("double"),
+                  "first").union(of_grams).write.parquet(path)
+
+
+def score(docs: DataFrame, keys: list[str], train: str,
+          block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``_key`` (a struct of the keys), ``n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
+
+    ``docs`` has the keys, whatever their names, ``text`` and the boolean ``train``; a null there is false. ``score`` is
+    the log10 probability of the whole text, ``base_score`` that of its tokens one by one.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    blocks = total // block_bytes + 1
+    weight = F.coalesce((F.col(train) if isinstance(train, str) else train).cast("long"), F.lit(0))
+    whole = [x for c in [*map(F.col, keys), F.col("text")] for x in (c.isNull(), c)] + [weight]
+    rows = docs.select(*[F.xxhash64(F.lit(n), *whole).alias(k) for n, k in enumerate(KEY)],
+                       F.struct(*keys).alias("_key"), "text", weight.alias("weight"))
+    # rows repeated very often, as a whole, are dealt once and count as often as they come
+    often = written(rows.groupBy(*KEY).agg(F.count("*").alias("copies")).filter(F.col("copies") > COPIES), "often")
+    some = often.limit(1).count() > 0
+    block = F.pmod(F.xxhash64(*KEY), F.lit(blocks)).alias("block")
+    dealt = rows.select(block, *KEY, "_key", "text", "weight")
+    if some:
+        once = rows.join(small(often), KEY).dropDuplicates(KEY).withColumn("weight", F.col("weight") * F.col("copies"))
+        dealt = rows.join(small(often.select(*KEY)), KEY, "left_anti").unionByName(once.drop("copies")).select(
+            block, *KEY, "_key", "text", "weight")
+    path = scratch_path(docs.sparkSession, "found")
+    with scratch_tables(docs.sparkSession):  # counts aren't needed once the values are found
+        _write_found(dealt, path)
+    found = docs.sparkSession.read.schema(_FOUND).parquet(path)
     n, v = found.filter("first AND value > 0").agg(
         F.sum("value").cast("long"), F.count("*")).head()
     n = n or 0
