@@ -46,3 +46,13 @@ def test_entry(spark):
 def test_exported_counters_cover_the_whole_log():
     for name in ("metrics_summary", "prometheus_rows"):
         assert "LIMIT" not in entry.oracle_sql()[name]
+
+
+def test_texts_are_dealt_out_without_a_sort(spark):
+    """A file that one task reads is dealt out by key; dealing in turn would have it sorted by that task."""
+    from checks import base
+
+    made = spark.range(100).selectExpr("id AS doc_id", "'t' AS text")
+    plan = base.dealt(made)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and "hashpartitioning" in plan
+    assert base.dealt(made).distinct().count() == 100
