@@ -79,6 +79,17 @@ def test_word_coder_equals_the_library(monkeypatch):
     assert own.encode(pa.array([], pa.string()))[1].tolist() == []
 
 
+def test_word_coder_holds_no_more_words_than_it_may(monkeypatch):
+    judge, own = Tokenizer.from_file(WORD_BPE), packing.WordCoder(WORD_BPE)
+    monkeypatch.setattr(packing, "REMEMBERED", 30)
+    for n in [20, 20, 5, 40, 1, 20]:
+        texts = [" ".join(f"word{n}x{i}" for i in range(n)) + " " + "long" * 20] * 2 + [f"once{n}"]
+        ids, sizes = own.encode(pa.array(texts, pa.string()))
+        assert ids.tolist() == [i for t in texts for i in judge.encode(t, add_special_tokens=False).ids]
+        assert len(own.known) <= 30 and f"once{n}" not in own.known and "long" * 20 not in own.known
+        assert len(own.sizes) == len(own.known) and own.sizes.sum() == len(own.ids)
+
+
 TEXTS = [(1, "Some words. " * 3), (2, "a b c d " * 30), (3, "a b c d " * 30), (3, "a b c d " * 30), (4, None), (5, ""),
          (None, "no id"), (None, None), (6, "x <|endoftext|> y"), (7, "word " * 100), (8, "Ünïcode É 日本語 😀, ok.")]
 
@@ -108,6 +119,20 @@ def test_packing(docs, length):
     assert set(whole) == set(held)
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_packing_writes_the_pieces_only(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", most)  # joined by shuffle, or by broadcast
+    paths = []
+    monkeypatch.setattr("wardspark.session._OPEN", [paths])
+    packed = packing.pack(packing.cut(docs, WORD_BPE, 1, 10), 10)
+    judge = Tokenizer.from_file(WORD_BPE)
+    wanted = sorted([(k, *p[:4]) for k, t in TEXTS for p in brute.pieces(t, judge, 1, 10)], key=repr)
+    rows = packed.collect()
+    assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows], key=repr) == wanted
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    assert len(paths) == 1 and "/pieces-" in paths[0]
+
+
 def test_packing_nothing(docs):
     assert packing.pack(packing.cut(docs.filter("false"), WORD_BPE)).count() == 0
 

@@ -35,12 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardspark.llm.columns import runs, slices
-from wardspark.llm.common import written
+from wardspark.llm.columns import LONG, runs, slices
+from wardspark.llm.common import BROADCAST_ROWS, written
 
 LENGTH = 4096
-# Words that a task remembers; then it forgets all and goes on.
-REMEMBERED = 500_000
+# Words that a task remembers at most; then it forgets all and goes on.
+REMEMBERED = 200_000
+# Texts of about so many bytes are encoded at once.
+SLICE_BYTES = 4 << 20
 # New words are given to the library in lines of so many.
 LINE = 200
 PIECE = "piece int, start long, length int, ids_crc32 long"
@@ -49,7 +51,8 @@ _CODERS: dict[str, "WordCoder"] = {}
 
 
 class WordCoder:
-    """A tokenizer that drops white space, and the ids of the words that it has met."""
+    """A tokenizer that drops white space, and the ids of short words that came more than once among texts at
+    hand."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,21 +69,26 @@ class WordCoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.begins, self.sizes = (np.zeros(0, np.int32), np.zeros(0, np.int64),
-                                             np.zeros(0, np.int64))
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one behind the other, and how many each has."""
         lines = [self.cut.join(words[i:i + LINE]) + self.cut for i in range(0, len(words), LINE)]
-        ids = np.concatenate([np.array(x, np.int32) for x in self._library(lines)])
+        found = [np.array(x, np.int32) for n in range(0, len(lines), LINE) for x in self._library(lines[n:n + LINE])]
+        ids = np.concatenate([np.zeros(0, np.int32), *found])
         cuts = np.flatnonzero(ids == self.cut_id)
-        begins = np.concatenate(([0], cuts[:-1] + 1))
+        return np.delete(ids, cuts), np.diff(cuts, prepend=-1).astype(np.int32) - 1
+
+    def _remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(self.known) + len(words) > REMEMBERED:
+            self.forget()
+        words, sizes = words[:REMEMBERED], sizes[:REMEMBERED]
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.begins = np.concatenate((self.begins, begins + len(self.ids)))
-        self.sizes = np.concatenate((self.sizes, cuts - begins))
-        self.ids = np.concatenate((self.ids, ids))
+        self.ids = np.concatenate((self.ids, ids[:sizes.sum()]))
+        self.sizes = np.concatenate((self.sizes, sizes))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each has."""
@@ -90,17 +98,23 @@ class WordCoder:
         lowered = pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z])([.,])", r"\1 \2")
         lists = pc.ascii_split_whitespace(lowered)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.forget()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         get = self.known.get
-        new = [word for word in words if get(word) is None]
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        sizes = self.sizes[place]
-        bounds = np.concatenate(([0], np.cumsum(sizes)))[lists.offsets.to_numpy()]
-        ids = self.ids[runs(self.begins[place], sizes)]
+        place = np.fromiter((get(word, -1) for word in words), np.int64, len(words))
+        fresh = np.flatnonzero(place < 0)
+        new = [words[n] for n in fresh.tolist()]
+        new_ids, new_sizes = self._new(new)
+        place[fresh] = len(self.sizes) + np.arange(len(fresh))
+        pool, word_sizes = np.concatenate((self.ids, new_ids)), np.concatenate((self.sizes, new_sizes))
+        begins = np.cumsum(word_sizes, dtype=np.int64) - word_sizes
+        place = place[codes]
+        sizes = word_sizes[place]
+        bounds = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[lists.offsets.to_numpy()]
+        ids = pool[runs(begins[place], sizes)]
+        often = np.bincount(codes, minlength=len(words))[fresh] > 1
+        often &= np.fromiter((len(word) <= LONG for word in new), bool, len(new))
+        self._remember([new[n] for n in np.flatnonzero(often).tolist()], new_ids[np.repeat(often, new_sizes)],
+                       new_sizes[often])
         if len(plain) == len(texts):
             return ids, np.diff(bounds)
         odd = odd.to_numpy(zero_copy_only=False)
@@ -121,7 +135,7 @@ def _cut(tokenizer: str, end_id: int, length: int, with_ids: bool):
         coder, part = _coder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)  # pieces of each length so far
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, SLICE_BYTES):
                 ids, sizes = coder.encode(rows.column("text").fill_null(""))
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id).astype("<u4", copy=False)
@@ -271,13 +285,15 @@ def _places(patterns, length: int) -> dict[str, np.ndarray]:
 
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """``pieces`` (as ``cut`` gives them) with ``sequence_id`` and ``offset`` in place of ``part`` and ``rank``."""
-    own = written(pieces.groupBy("length", "part").count(), "lengths")
-    counts = np.zeros(length + 1, np.int64)
-    for n, many in own.groupBy("length").agg(F.sum("count")).collect():  # ``length`` rows at most
+    own = pieces.groupBy("length", "part").count()
+    counts, rows = np.zeros(length + 1, np.int64), 0
+    for n, many, parts in own.groupBy("length").agg(F.sum("count"), F.count("*")).collect():  # ``length`` rows at most
         counts[n] = many
+        rows += parts
     runs_of = _places(plan(counts, length), length)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = own.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    bases = F.broadcast(bases) if rows <= BROADCAST_ROWS else bases
     ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
