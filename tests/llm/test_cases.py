@@ -313,3 +313,31 @@ def test_scores_of_rows_repeated_very_often(spark, monkeypatch, copies):
     assert np.allclose([r[4:] for r in got], [r[4:] for r in wanted])
     # no block holds the copies
     assert len(rows) == len(got)
+
+
+@pytest.mark.parametrize("size", [1, 100, 1 << 16])
+def test_short_pieces_are_coded_side_by_side(monkeypatch, size):
+    import random
+    import tiktoken
+    own = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    judge = tiktoken.Encoding("judge", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks,
+                              special_tokens={})
+    rand = random.Random(5)
+    words = ["".join(rand.choices(["th", "e", "ing", "é", "日", "x", "7", "'s", ".", " "], k=k % 20)) for k in range(600)]
+    monkeypatch.setattr(bpe, "PIECE_BYTES", size)
+    monkeypatch.setattr(bpe, "REMEMBERED", 400)  # pairs are forgotten on the way
+    # no Python call for each byte of a short piece
+    monkeypatch.setattr(bpe.Vocabulary, "last_token", None)
+    ids, begins, sizes = bpe.Coder(own).new(words)
+    wanted = [judge.encode_ordinary(w[1:] if w[:1] == " " else " " + w) for w in words]
+    assert [ids[a:a + n].tolist() for a, n in zip(begins, sizes)] == wanted
+    assert np.frombuffer(own.encode(" ".join(words[:90])), "<u4").tolist() == judge.encode_ordinary(" ".join(words[:90]))
+
+
+def test_byte_bpe_with_few_tokens():
+    own = bpe.Vocabulary({b"a": 0, b"b": 1, b"ab": 2, b"cab": 3}, ".+")
+    ids, sizes = own.pieces(["abb", "", "cab", "ba"])
+    assert ids.tolist() == [2, 1, 3, 1, 0] and sizes.tolist() == [2, 0, 1, 2]
+    assert [x.tolist() for x in own.pieces([])] == [[], []]
+    with pytest.raises(ValueError, match="byte 99 "):
+        own.pieces(["ab", "acb"])

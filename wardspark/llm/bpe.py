@@ -31,8 +31,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 from wardspark.llm.columns import LONG, ColumnCoder, runs, slices
 from wardspark.llm.common import whole_row
 
-# Pieces, and parts, that a task remembers; then it forgets all and goes on.
+# Parts that a task remembers; then it forgets all and goes on. Of pairs of tokens, four times as many.
 REMEMBERED = 150_000
+# Pieces of about so many bytes are coded side by side.
+PIECE_BYTES = 64 << 10
 # Texts of about so many bytes are encoded at once.
 SLICE_BYTES = 4 << 20
 # Texts of about so many bytes are decoded at once.
@@ -50,8 +52,21 @@ class Vocabulary:
         self.pattern = regex.compile(space.replace(r"\s", r"\p{White_Space}")
                                      .replace(r"\S", r"\P{White_Space}"))
         self._pairs: dict[int, bool] = {}
-        self._prefixes: dict[bytes, int] = {}
-        self._pieces: dict[str, bytes] = {}
+        # most pairs are kept as arrays, which are smaller and are asked for many at once
+        self._seen, self._may = pd.Index(np.array([-1])), np.array([False])
+        # the beginnings of tokens, numbered: each is known by that of its first bytes and its last byte
+        number = {b"": 0}
+        self.rank_at, edges = [-1], []
+        for token, rank in ranks.items():
+            for end in range(1, len(token) + 1):
+                if token[:end] not in number:
+                    edges.append(number[token[:end - 1]] << 8 | token[end - 1])
+                    number[token[:end]] = len(edges)
+                    self.rank_at.append(-1)
+            self.rank_at[number[token]] = rank
+        self.edges, self.rank_at = pd.Index(np.array(edges, np.int64)), np.array(self.rank_at, np.int64)
+        self.widths = np.zeros(max(self.bytes_of, default=-1) + 1, np.int64)
+        self.widths[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
@@ -101,38 +116,97 @@ class Vocabulary:
             end -= len(self.bytes_of[out[-1]])
         return out[::-1]
 
+    def tokens_in(self, data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and rank of every token found in ``data``; ``left``: bytes from a place to its piece's end."""
+        at, node = np.flatnonzero(left), np.zeros(np.count_nonzero(left), np.int64)
+        begins, tokens, width = [at[:0]], [at[:0]], 0
+        while len(at):
+            node = self.edges.get_indexer(node << 8 | data[at + width]) + 1
+            width += 1
+            rank = self.rank_at[node]
+            begins.append(at[rank >= 0])
+            tokens.append(rank[rank >= 0])
+            more = (node > 0) & (left[at] > width)
+            at, node = at[more], node[more]
+        return np.concatenate(begins), np.concatenate(tokens)
+
+    def all_may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = self._seen.get_indexer(keys)
+        out, new = self._may[at], np.flatnonzero(at < 0)
+        codes, fresh = pd.factorize(keys[new])
+        found = [(self._pairs.get(key), key) for key in fresh.tolist()]
+        out[new] = np.array([self.may_follow(key >> 32, key & 0xFFFFFFFF) if known is None else known
+                             for known, key in found], bool)[codes]
+        if len(self._pairs) > 1000 + len(self._may) // 4:
+            if len(self._may) > 4 * REMEMBERED:
+                self._seen, self._may = self._seen[:1], self._may[:1]
+            keys, may = np.array(list(self._pairs)), np.array(list(self._pairs.values()), bool)
+            new = self._seen.get_indexer(keys) < 0
+            self._seen, self._may = self._seen.append(pd.Index(keys[new])), np.append(self._may, may[new])
+            self._pairs.clear()
+        return out
+
+    def side_by_side(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one behind the other, and how many each has.
+
+        The prefixes of all pieces grow together. Tokens are tried by where they begin, so a
+        prefix meets the longest token that may end it first.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        left = np.repeat(ends, sizes) - np.arange(len(data))
+        begins, tokens = self.tokens_in(data, left)
+        before = (np.repeat(sizes, sizes) - left)[begins]
+        order = np.argsort(before.astype(np.uint16), kind="stable")  # pieces have at most LONG bytes
+        begins, tokens = begins[order], tokens[order]
+        places = begins + self.widths[tokens] - 1
+        last = np.full(len(data), -1)
+        bounds = np.append(0, np.cumsum(np.bincount(before)))
+        for start, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            tried = a + np.flatnonzero(last[places[a:b]] < 0)
+            if start:
+                tried = tried[last[begins[tried] - 1] >= 0]
+                tried = tried[self.all_may_follow(last[begins[tried] - 1], tokens[tried])]
+            last[places[tried]] = tokens[tried]
+        at, first = (ends - 1)[sizes > 0], (ends - sizes)[sizes > 0]
+        whole = (last[at] >= 0) & (self.widths[last[at]] == at + 1 - first)
+        lost = np.flatnonzero((last < 0) & ~np.repeat(whole, at + 1 - first))
+        if len(lost):
+            raise ValueError(f"byte {data[lost[0]]} isn't in the vocabulary")
+        chosen = np.zeros(len(data) + 1, np.int64)
+        while len(at):
+            chosen[at + 1] = 1
+            at = at - self.widths[last[at]]
+            at, first = at[at >= first], first[at >= first]
+        counts = np.cumsum(chosen)
+        return last[chosen[1:] > 0].astype("<i4"), counts[ends] - counts[ends - sizes]
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of the pattern, one behind the other, and how many each has."""
+        found, held, size = [(np.zeros(0, "<i4"), np.zeros(0, np.int64))], [], 0
+        for data in map(str.encode, texts):
+            if size and size + len(data) > PIECE_BYTES or held and len(data) > LONG:
+                found.append(self.side_by_side(held))
+                held, size = [], 0
+            rank = self.ranks.get(data)
+            if len(data) > LONG:
+                ids = [rank] if rank is not None else Prefixes(self, data).ids()
+                found.append((np.array(ids, "<i4"), np.array([len(ids)])))
+            else:
+                held.append(data)
+                size += len(data)
+        found.append(self.side_by_side(held))
+        return tuple(map(np.concatenate, zip(*found)))
+
     def piece(self, text: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of one match of the pattern. Pieces that begin
-        alike share the tokens of their prefixes."""
-        found = self._pieces.get(text)
-        if found is not None:
-            return found
-        data = text.encode()
-        rank = self.ranks.get(data)
-        if rank is not None:
-            ids = [rank]
-        elif len(data) > LONG:
-            ids = Prefixes(self, data).ids()
-        else:
-            known, last = self._prefixes, []
-            for end in range(1, len(data) + 1):
-                token = known.get(data[:end])
-                if token is None:
-                    token = known[data[:end]] = self.last_token(data, end, last)
-                last.append(token)
-            ids = self.read_back(last)
-            if len(known) > 2 * REMEMBERED:
-                known.clear()
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= LONG:
-            if len(self._pieces) > REMEMBERED:
-                self._pieces.clear()
-            self._pieces[text] = found
-        return found
+        """Ids, as little-endian 32-bit integers, of one match of the pattern."""
+        return self.pieces([text])[0].tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
-        return b"".join(map(self.piece, self.pattern.findall(text)))
+        return self.pieces(self.pattern.findall(text))[0].tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -184,10 +258,15 @@ class Coder(ColumnCoder):
         self.begins = np.cumsum(self.widths) - self.widths
 
     def new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        encode = self.vocabulary.encode
-        found = [encode(key[1:] if key[:1] == " " else " " + key) for key in keys]
-        sizes = np.array([len(ids) for ids in found], np.int64) // 4
-        return np.frombuffer(b"".join(found), "<i4"), np.cumsum(sizes) - sizes, sizes
+        cut = self.vocabulary.pattern.findall
+        found = [cut(key[1:] if key[:1] == " " else " " + key) for key in keys]
+        number: dict[str, int] = {}
+        codes = np.array([number.setdefault(piece, len(number)) for pieces in found for piece in pieces], np.int64)
+        ids, sizes = self.vocabulary.pieces(list(number))
+        own = np.append(0, np.cumsum(sizes[codes]))
+        bounds = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+        ids = ids[runs((np.cumsum(sizes) - sizes)[codes], sizes[codes])]
+        return ids, own[bounds[:-1]], np.diff(own[bounds])
 
     def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of the tokens, one behind the other, and the place behind each token's."""
