@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from wardspark.llm import (bpe, chat_format, columns, decontamination, features, language, licences, ppm,
+from wardspark.llm import (bpe, chat_format, columns, common, decontamination, features, language, licences, ppm,
                            quality_model, quality_rules, simhash, token_files)
 from wardspark.session import scratch_path
 
@@ -341,3 +341,33 @@ def test_byte_bpe_with_few_tokens():
     assert [x.tolist() for x in own.pieces([])] == [[], []]
     with pytest.raises(ValueError, match="byte 99 "):
         own.pieces(["ab", "acb"])
+
+
+def test_tables_of_short_rows_have_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "FEW_FILES", 4)
+    made, write = {}, common.written
+
+    def counted(df, label, parts=None):
+        out = write(df, label, parts)
+        made.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        monkeypatch.setattr(simhash, "written", counted)
+        monkeypatch.setattr(decontamination, "written", counted)
+        pairs = spark.range(300).selectExpr("id * 10 AS a", "id * 10 + 1 + id % 3 AS b")
+        roots = {tuple(r) for r in simhash.components(pairs).collect()}
+        assert roots == {(n, k * 10) for k in range(300) for n in (k * 10, k * 10 + 1 + k % 3)}
+        items = spark.createDataFrame([(k, " ".join(f"w{k}x{n}" for n in range(12))) for k in range(40)], "item_id long, text string")
+        docs = spark.createDataFrame([(k, " ".join(f"w{k}x{n}" for n in range(k % 14))) for k in range(40)], "doc_id long, text string")
+        hits = {r._row.doc_id: r.n_hit for r in decontamination.overlap(docs, items).collect()}
+        assert hits == {k: min(k % 14, 12) if k % 14 > 9 else 0 for k in range(40)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = max(4, spark.sparkContext.defaultParallelism)
+    assert set(made) >= {"edges", "roots", "vocabulary", "keys", "key-terms", "wanted", "lists"}
+    assert max(max(n) for n in made.values()) <= most

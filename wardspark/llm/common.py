@@ -11,6 +11,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # More rows than this are joined by shuffle, never broadcast.
 BROADCAST_ROWS = 200_000
+# A table of few short rows gets so many files at most, or as many as there are cores if that is more.
+FEW_FILES = 48
 
 
 def spaced_words(text: Column) -> Column:
@@ -41,6 +43,16 @@ def written(df: DataFrame, label: str, parts: list[str] | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` in partitions enough for all cores, without one more shuffle; for tables of short rows.
+
+    Where a shuffle leaves many small partitions, each would be a file, and for each file a local
+    store without Hadoop's native library starts a process that shares the executor's memory.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(FEW_FILES, cores))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardspark.llm.common import KEY, ascii_lower, row_key, small, whole_row, written
+from wardspark.llm.common import KEY, ascii_lower, few, row_key, small, whole_row, written
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
@@ -65,7 +65,7 @@ def rarest_terms(docs: DataFrame, phrases: DataFrame, rarest: int | None = RARES
     documents (None: all its terms), and how many these are. Phrases with a term that never
     occurs are left out."""
     parts = phrases.select("window", F.posexplode("terms").alias("offset", "term"))
-    vocabulary = written(parts.select("term").distinct(), "vocabulary")
+    vocabulary = written(few(parts.select("term").distinct()), "vocabulary")
     counts = (docs.select(F.explode(term_list(F.col("text"))).alias("term"))
               .join(small(vocabulary), "term", "left_semi").groupBy("term").count())
     counted = parts.join(counts, "term", "left")
@@ -85,10 +85,10 @@ def intersect(index: DataFrame, phrases: DataFrame, keys: DataFrame) -> DataFram
     placed = keys.join(phrases.select("window", "item", "seg", "at"), "window").withColumn(
         "bit", F.col("at") + F.col("offset"))
     need = placed.groupBy("window").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("need"))
-    wanted = written(phrases.join(need, "window"), "wanted")
+    wanted = written(few(phrases.join(need, "window")), "wanted")
     fewest = placed.groupBy("item", "seg").agg(F.min("full").alias("fewest"))
-    lists = written(placed.select("term", "item", "seg", "bit").distinct()
-                    .join(fewest, ["item", "seg"]), "lists")
+    lists = written(few(placed.select("term", "item", "seg", "bit").distinct()
+                        .join(fewest, ["item", "seg"])), "lists")
     proposed = index.join(small(lists), "term").select(
         *KEY, "item", "seg", "fewest", (F.col("pos") - F.col("bit")).alias("base"),
         F.expr("shiftleft(1L, bit)").alias("mask"))
@@ -102,10 +102,10 @@ def intersect(index: DataFrame, phrases: DataFrame, keys: DataFrame) -> DataFram
 def matched(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """``_row`` (the whole row of ``docs``), ``n_words`` and ``hits``, a list of
     ``(start, len, items)``, for each document."""
-    phrases = written(windows(items.select("item_id", "text"), width), "windows")
+    phrases = written(few(windows(items.select("item_id", "text"), width)), "windows")
     texts = docs.select("doc_id", "text")
-    keys = written(rarest_terms(texts, phrases), "keys")
-    index = postings(texts, written(keys.select("term").distinct(), "key-terms"))
+    keys = written(few(rarest_terms(texts, phrases)), "keys")
+    index = postings(texts, written(few(keys.select("term").distinct()), "key-terms"))
     by_doc = intersect(index, phrases, keys).groupBy(*KEY).agg(
         F.collect_list(F.struct("start", F.col("terms").alias("want"), "items")).alias("found"))
     rows = docs.select(whole_row(docs).alias("_row"), *row_key(docs["doc_id"], docs["text"]))
@@ -142,8 +142,8 @@ def near_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
                                     F.array_distinct(term_list(F.col("text"))).alias("terms"))
                      .filter(F.size("terms") > 0), "phrases")
     texts = docs.select("doc_id", "text")
-    keys = written(rarest_terms(texts, wanted, None), "near-keys")
-    index = postings(texts, written(keys.select("term").distinct(), "near-terms"))
+    keys = written(few(rarest_terms(texts, wanted, None)), "near-keys")
+    index = postings(texts, written(few(keys.select("term").distinct()), "near-terms"))
     at = index.join(small(keys), "term")
     block = F.floor(F.col("pos") / span)
     anchors = (at.filter("rank = 0").select(*KEY, "window", "full", F.col("pos").alias("p"),

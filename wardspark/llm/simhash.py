@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from wardspark.llm.common import KEY, row_key, whole_row, written
+from wardspark.llm.common import KEY, few, row_key, whole_row, written
 
 BITS = 64
 RADIUS = 3
@@ -193,9 +193,9 @@ def components(edges: DataFrame) -> DataFrame:
     own root. Written after each round; the number of rounds grows with the logarithm of the
     longest path for the star-like links made here.
     """
-    both = written(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    state = written(both.groupBy(F.col("a").alias("node")).agg(
-        F.least(F.min("b"), F.col("node")).alias("root")), "roots")
+    both = written(few(edges.union(edges.select(F.col("b"), F.col("a"))).distinct()), "edges")
+    state = written(few(both.groupBy(F.col("a").alias("node")).agg(
+        F.least(F.min("b"), F.col("node")).alias("root"))), "roots")
     while True:
         seen = both.join(state.select(F.col("node").alias("b"), "root"), "b")
         around = seen.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -207,8 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.col("root").alias("old"), F.least("low", F.coalesce("heard", "low"))
             .alias("up"))
         over = own.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        state = written(own.join(over, "up").select(
-            "node", F.col("top").alias("root"), (F.col("top") != F.col("old")).alias("moved")),
+        state = written(few(own.join(over, "up").select(
+            "node", F.col("top").alias("root"), (F.col("top") != F.col("old")).alias("moved"))),
             "roots")
         if not state.filter("moved").limit(1).count():
             return state.select("node", "root")
